@@ -73,3 +73,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def utf8(column) -> tuple:
+    """(bytes, starts) of an Arrow string array as numpy arrays; text i is bytes[starts[i]:starts[i + 1]] and a null is empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[starts[0] : starts[-1]], starts - starts[0]

@@ -24,3 +24,27 @@ def op6_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
+
+
+@query
+def op1_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query
+def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch
+    from .rans import read_token_files, write_token_files
+
+    path = scratch(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return read_token_files(spark, path)
