@@ -48,3 +48,11 @@ def op8_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path)
+
+
+@query
+def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import mark
+
+    r = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
