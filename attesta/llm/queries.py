@@ -63,3 +63,11 @@ def op7_trie_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85).drop("key")
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    r = remove_repeats(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
