@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-A document's vector holds the counts of its hashed byte trigrams; a fixed random projection takes the unit vector to
-``dims`` numbers, and their Hilbert key orders the documents so that like ones are neighbours.  A range shuffle on
+A document's vector holds the counts of its hashed byte trigrams; a fixed random projection takes the vector to
+three numbers, and their Hilbert key orders the documents so that like ones are neighbours.  A range shuffle on
 (key, id, hash) deals them out in that order; each task concatenates its documents' ids and cuts every
 ``length`` ids.  The rest of a task is cut into runs whose lengths are powers of two, so nothing is padded at all.
 
@@ -56,27 +56,26 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(texts, dims: int = 4, bits: int = 12, seed: int = 7) -> np.ndarray:
-    """The Hilbert key of each text of an Arrow string array."""
+def curve_keys(texts, bits: int = 16, seed: int = 7) -> np.ndarray:
+    """The Hilbert key of each text of an Arrow string array: three random signs for each hashed trigram, summed.
+
+    The three sums run in one integer, 21 bits each, so a block holds fewer than 2**21 trigrams.
+    """
     data, starts = utf8(texts)
-    axes = np.random.default_rng(seed).standard_normal((1 << 16, dims)).astype(np.float32)
-    sums = np.zeros((len(starts) - 1, dims))
-    block = 1 << 22
-    for lo in range(0, len(data), block):  # bounded memory, whatever the batch
-        part = data[lo : lo + block + 2].astype(np.uint32)
-        if len(part) < 3:
-            break
-        code = (part[:-2] * np.uint32(31 * 257) + part[1:-1] * np.uint32(257) + part[2:]) & np.uint32(0xFFFF)
-        code = code[:block]
-        first = np.searchsorted(starts, lo, "right") - 1
-        last = np.searchsorted(starts, lo + len(code) - 1, "right") - 1
+    lanes = np.random.default_rng(seed).integers(0, 2, (1 << 16, 3)).astype(np.int64) @ np.array([1, 1 << 21, 1 << 42])
+    sums = np.zeros((len(starts) - 1, 3))
+    block = 1 << 20
+    for lo in range(0, len(data) - 2, block):  # bounded memory, whatever the batch
+        part = data[lo : lo + block + 2].astype(np.uint16)
+        code = part[:-2] * np.uint16(31 * 257) + part[1:-1] * np.uint16(257) + part[2:]
+        first = int(np.searchsorted(starts, lo, "right")) - 1
+        last = int(np.searchsorted(starts, lo + len(code) - 1, "right")) - 1
         cuts = np.maximum(starts[first : last + 1] - lo, 0)
-        lens = np.diff(np.append(cuts, len(code)))
-        for d in range(dims):
-            run = np.concatenate([[0.0], np.cumsum(axes[code, d], dtype=np.float64)])
-            sums[first : last + 1, d] += run[cuts + lens] - run[cuts]
-    norm = np.sqrt(np.maximum(np.diff(starts), 1))[:, None]
-    cells = np.clip((sums / norm / 8 + 0.5) * (1 << bits), 0, (1 << bits) - 1)
+        some = np.flatnonzero(np.diff(np.append(cuts, len(code))))  # texts with bytes here
+        got = np.add.reduceat(lanes[code], cuts[some])
+        sums[first + some] += np.stack([(got >> (21 * d)) & ((1 << 21) - 1) for d in range(3)], axis=1)
+    n = np.diff(starts)[:, None]
+    cells = np.clip(((2 * sums - n) / np.sqrt(np.maximum(n, 1)) / 16 + 0.5) * (1 << bits), 0, (1 << bits) - 1)
     return hilbert_keys(cells, bits).astype(np.int64)
 
 

@@ -71,3 +71,34 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = remove_repeats(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    r = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r.select("doc_id", F.array_join("license_sentences", ",").alias("license_sentences"), F.array_join("licenses", ",").alias("licenses"), "n_license_sentences")
+
+
+@query
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def _oracles() -> None:
+    from .licenses import ORACLE
+
+    ORACLES["op4_license_sentences"] = ORACLE
+
+
+_oracles()
