@@ -1,0 +1 @@
+"""Whole plans: the question-answering session and the registered queries."""
