@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, row_key, written
+from .common import let, replaced, row_key, written
 
 VARIABLE = r"[^\s]*[0-9@][^\s]*"
 
@@ -36,24 +36,28 @@ class LineParams:
 
 
 def masked_tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(line, VARIABLE, "<*>"), r"\s"), "")
+    masked = F.when(line.rlike("[0-9@]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+    return F.array_remove(F.split(masked, r"\s"), "")
 
 
 def _lines(docs: DataFrame, p: LineParams) -> DataFrame:
-    """A row for each line long enough: key, idx, tok, its hash lh and leaf."""
+    """A row for each line long enough: key, idx, the hash lh of its tokens and the leaf it falls into."""
     rows = docs.select(row_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("idx", "line"))
     rows = rows.select("key", "idx", masked_tokens(F.col("line")).alias("tok")).where(F.size("tok") >= p.min_tokens)
-    return rows.select("key", "idx", "tok", F.xxhash64("tok").alias("lh"), F.xxhash64(F.size("tok"), F.slice("tok", 1, p.depth)).alias("leaf"))
+    return rows.select("key", "idx", F.xxhash64("tok").alias("lh"), F.xxhash64(F.size("tok"), F.slice("tok", 1, p.depth)).alias("leaf"))
 
 
-def templates(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """(lh, template, support) for each masked line whose template recurs."""
-    lines = _lines(docs, p)
+def templates(docs: DataFrame, lines: DataFrame, p: LineParams = LineParams()) -> DataFrame:
+    """(lh, leaf, th, template, support) for each masked line whose template recurs; ``lines`` are those of ``docs``."""
     # documents of equal text count once, by the text's hash; hashes alone are shuffled
     distinct = lines.select("leaf", "lh", F.col("key.h").alias("c")).distinct().groupBy("leaf", "lh").agg(F.count(F.lit(1)).alias("n"))
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("s")).where(F.col("s") >= p.min_docs).select("leaf")
-    open_lines = distinct.join(leaves, "leaf", "left_semi")
-    text = lines.join(open_lines.select("lh"), "lh", "left_semi").groupBy("lh").agg(F.min("tok").alias("tok"))
+    open_lines = written(distinct.join(leaves, "leaf", "left_semi"), "open-lines")
+    # the words of an open line are read where it first stands
+    first = lines.groupBy("lh").agg(F.min(F.struct("key", "idx")).alias("at")).join(open_lines.select("lh"), "lh", "left_semi")
+    places = first.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("at.idx", "lh")).alias("places"))
+    text = docs.select(row_key().alias("key"), "text").join(places, "key").select(let(F.split("text", "\n"), lambda x: F.transform("places", lambda y: F.struct(y["lh"].alias("lh"), F.get(x, y["idx"]).alias("line")))).alias("x"))
+    text = text.select(F.explode("x").alias("x")).select("x.lh", masked_tokens(F.col("x.line")).alias("tok")).dropDuplicates(["lh"])
     tokens = open_lines.join(text, "lh").select("leaf", "lh", "n", F.posexplode("tok").alias("pos", "t"))
     constant = tokens.groupBy("leaf", "pos", "t").agg(F.sum("n").alias("s")).where((F.col("s") >= p.min_docs) & (F.col("t") != "<*>")).drop("s")
     general = tokens.join(constant.withColumn("fix", F.col("t")), ["leaf", "pos", "t"], "left")
@@ -67,8 +71,9 @@ def templates(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
 
 def line_dedup(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, ``n_lines`` and ``n_dropped``; ``n_chars``, where there is one, follows the text."""
-    recurring = written(templates(docs, p), "templates")
-    found = _lines(docs, p).select("key", "idx", "lh").join(recurring.select("lh", "leaf", "th"), "lh")
+    rows = written(_lines(docs, p), "lines")
+    recurring = written(templates(docs, rows, p), "templates")
+    found = rows.select("key", "idx", "lh").join(recurring.select("lh", "leaf", "th"), "lh")
     first = found.groupBy("leaf", "th").agg(F.min(F.struct("key", "idx")).alias("first"))
     gone = found.join(first, ["leaf", "th"]).where(F.struct("key", "idx") != F.col("first"))
     gone = gone.groupBy("key").agg(F.collect_set("idx").alias("__gone"))
