@@ -85,6 +85,8 @@ def decode_block(data: bytes, n: int, slots: np.ndarray, freqs: np.ndarray, cums
             x[need] = (x[need] << shift) | words[at : at + len(need)].astype(np.uint64)
             at += len(need)
         state[:m] = x
+    if at != len(words) or (state != LOW).any():  # the coders end where they began
+        raise ValueError("a block is damaged")
     return out
 
 
