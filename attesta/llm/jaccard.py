@@ -3,7 +3,7 @@
 A document's set holds its distinct word n-grams, in one global order.  Two documents link when ``percent`` of their
 union is in both.  Documents of equal sets are one class, so copies never meet as pairs.
 
-1.  Prefixes.  A set of size n, in order of hash, emits its first n - ceil(percent n) + l(n) n-grams, l(n) = ceil(n / 20).  Similar
+1.  Prefixes.  A set of size n, in order of hash, emits its first n - ceil(percent n) + l(n) n-grams, l(n) = ceil(3 n / 20).  Similar
     sets share at least min(l(n), l(m)) of these.  N-grams that one class alone has are dropped; a class with fewer shared ones than
     its smallest possible partner asks for is alone.  Of the rest, ordered by how many classes hold them, the same bound
     leaves a short prefix of the rarest n-grams, and what two classes share there puts them in one block.
@@ -66,7 +66,8 @@ def least(size, percent: int):
 
 
 def surplus(size):
-    return (size + 19) // 20
+    """How many n-grams two prefixes share beyond none: the more, the fewer classes that share a passage alone meet in a block."""
+    return (3 * size + 19) // 20
 
 
 class Node:
@@ -199,7 +200,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _blocks(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component): classes that may have links, with their block."""
-    bound = lambda n: F.floor((F.floor((n * percent + 99) / 100) + 19) / 20)  # noqa: E731  the surplus of the smallest partner
+    bound = lambda n: F.floor((3 * F.floor((n * percent + 99) / 100) + 19) / 20)  # noqa: E731  the surplus of the smallest partner
     grams = classes.select("cls", "n", F.explode("prefix").alias("t"))
     counts = grams.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
     shared = grams.join(counts, "t").groupBy("cls").agg(F.first("n").alias("n"), F.collect_list(F.struct("c", "t")).alias("s"))
