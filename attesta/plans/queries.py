@@ -17,6 +17,7 @@ from ..operators import chunk as K
 from ..operators import convert, dense, evaluate, fuse, lexical, regime, validate, verify
 from ..sources import chunks as C
 from ..sources import pages as P
+from ..sources.scratch import written
 from .session import RagSession, pack_context
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,9 +257,9 @@ def sources(t, leg: DataFrame | None = None) -> DataFrame:
 
 
 def _checked(t):
-    leg = lexical_leg(t).cache()
-    a, s = answers(t, leg).cache(), sources(t, leg).cache()
-    q = verify.read_segments(a, s)
+    leg = written(lexical_leg(t), "leg")
+    a, s = written(answers(t, leg), "answers"), written(sources(t, leg), "sources")
+    q = written(verify.read_segments(a, s), "quotes")
     return a, s, q, verify.attribution(a, q, s)
 
 
@@ -286,7 +287,7 @@ def cited_ids(t):
 
 @query(f"{CHECK_SQL} SELECT question_id, pos, cid, class, base FROM classes")
 def id_classes(t):
-    leg = lexical_leg(t).cache()
+    leg = written(lexical_leg(t), "leg")
     return verify.classify_ids(answers(t, leg), sources(t, leg))
 
 

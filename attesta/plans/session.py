@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.models import REFUSAL, Embedder, Reranker, extractive_chat, hashed_embedder, overlap_reranker
 from ..operators import dense as D
 from ..operators import fuse, lexical, regime, verify
+from ..sources.scratch import written
 
 
 def pack_context(kept: DataFrame, docs: DataFrame, cid: str = "id", cite: str = "citation", body: str = "body") -> DataFrame:
@@ -23,6 +24,7 @@ def pack_context(kept: DataFrame, docs: DataFrame, cid: str = "id", cite: str =
 class RagSession:
     """A corpus (id, instrument, citation, date_basis, version_date, body, text, and a vector or none) and the models that read it.
 
+    What several steps read (a few rows a question) is written to the shared folder, which also keeps plans short.
     The gate stands before rerank, pre-flight and generation, so what it refuses costs no model call.  ``preflight`` maps a question
     column to the one-line reply about instruments; without it every question passes.  ``aliases`` is (instrument, alias).
     """
@@ -63,10 +65,10 @@ class RagSession:
 
         Refusals of gate and pre-flight are verified by default: they claim nothing.
         """
-        hits = self.dense(questions).cache()
+        hits = written(self.dense(questions), "hits")
         best = D.gate(D.best_dense(questions, hits), self.floor)
         asked = questions.join(best, "question_id")
-        passed = asked.where("not refused").cache()
+        passed = written(asked.where("not refused"), "passed")
         none = F.array().cast("array<string>")
         if self.preflight is None:
             passed = passed.withColumns({"declared": none, "verdict": F.lit("pass")})
@@ -74,12 +76,13 @@ class RagSession:
             passed = passed.withColumn("reply", self.preflight(F.col("question")))
             said = regime.declared(passed, self.aliases, "question_id")
             passed = passed.join(said.withColumnRenamed("reply_id", "question_id"), "question_id").withColumn("verdict", regime.verdict(F.col("declared"), F.col("reply"), self.strict)).drop("reply")
+            passed = written(passed, "verdicts")
         go = passed.where("verdict = 'pass'")
         kept = fuse.rerank(self.fused(go, hits.join(go.select("question_id"), "question_id", "left_semi")), go, self.corpus, self.keep, reranker=self.reranker)
-        # a few sources a question: kept, as all the checks read them
-        sources = kept.join(self.corpus.select("id", "body"), "id").select("question_id", F.col("place").alias("rank"), "id", "body").cache()
+        sources = written(kept.join(self.corpus.select("id", "body"), "id").select("question_id", F.col("place").alias("rank"), "id", "body"), "sources")
         first = sources.where("rank = 0").select("question_id", F.col("id").alias("__id"), F.col("body").alias("__body"))
-        said = go.join(first, "question_id", "left").withColumn("answer", F.coalesce(self.chat(F.col("__id"), F.col("__body")), F.lit(REFUSAL))).drop("__id", "__body").cache()
+        said = go.join(first, "question_id", "left").withColumn("answer", F.coalesce(self.chat(F.col("__id"), F.col("__body")), F.lit(REFUSAL))).drop("__id", "__body")
+        said = written(said, "answers")
         checks = check_answers(said, sources)
         done = said.join(checks, "question_id").withColumn("mode", F.when(regime.is_refusal(F.col("answer")), "refused-generation").otherwise("answered"))
         cols = ["question_id", "question", "mode", "answer", F.col("best").alias("best_dense"), "declared", "n_quotes", "n_missed", "n_unknown", "n_wrong", "verified"]
@@ -92,9 +95,9 @@ class RagSession:
 
 def check_answers(answers: DataFrame, sources: DataFrame, text: str = "answer") -> DataFrame:
     """(question_id, n_quotes, n_missed, n_unknown, n_wrong, verified) of answers against their sources (question_id, rank, id, body)."""
-    norm = verify.normalized_sources(sources)
-    quotes = verify.read_segments(answers, norm, text=text)
-    ids = verify.classify_ids(answers, norm, text=text)
+    norm = written(verify.normalized_sources(sources), "bodies")
+    quotes = written(verify.read_segments(answers, norm, text=text), "quotes")
+    ids = written(verify.classify_ids(answers, norm, text=text), "ids")
     wrong = verify.misattributed(verify.attribution(answers, quotes, norm, text=text))
     return verify.verified(answers, quotes, ids, wrong)
 
