@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
-WS = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="attesta-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+from ..sources.scratch import scratch, shared_dir, written
 
+__all__ = ["WS", "connected_components", "let", "replaced", "row_key", "scratch", "shared_dir", "utf8", "written"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
+WS = r"[\x20\x09-\x0D]"
 
 
 def let(value: Column, body) -> Column:
@@ -56,7 +36,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     each round to the shared folder.  The number of rounds grows with the logarithm of the longest path.
     Nothing but one count a round reaches the driver.  Hot labels are summed before the shuffle.
     """
-    spark = edges.sparkSession
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     both = written(edges.unionAll(edges.select("b", "a")).distinct().toDF("a", "b"), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
