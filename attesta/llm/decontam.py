@@ -107,7 +107,7 @@ def _bound(seq, sa, lo, hi, d, word, right: bool):
         if not open_.any():
             return lo
         mid = (lo + hi) >> 1
-        here = seq[sa[np.minimum(mid, len(sa) - 1)] + d]
+        here = seq[np.minimum(sa[np.minimum(mid, len(sa) - 1)] + d, len(seq) - 1)]  # a closed search may look past the end
         down = (here <= word) if right else (here < word)
         lo, hi = np.where(open_ & down, mid + 1, lo), np.where(open_ & ~down, mid, hi)
 
