@@ -279,7 +279,7 @@ def _by_windows(segments: DataFrame, length: int) -> DataFrame:
     return hit.select("fp", "sh", F.col("w").cast(WINDOWS).alias("w"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
     keyed = _keyed(docs)
     rows = written(_anchor_rows(keyed, length, gram), "anchors")
@@ -290,10 +290,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: in
     segments = written(_segment_rows(keyed, found, length), "segments")
     counted = segments.join(copies, "k", "left").groupBy("fp", "sh").agg(F.first("seg").alias("seg"), F.sum(F.coalesce("rows", F.lit(1))).alias("times"))
     distinct = written(counted.withColumn("many", F.col("times") > 1), "distinct")
-    crowded = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c"))
-    # an anchor of one segment that came more than once needs no array of its own, but costs little in one
-    crowded = written(crowded.where(F.col("c") > crowd).select("fp"), "crowded")
-    hits = _by_shards(distinct.join(crowded, "fp", "left_anti"), length)
+    others = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max("times").alias("times"))
+    # an anchor of one segment has no other to compare: if that came more than once, so did each of its windows
+    alone = distinct.join(others.where("c = 1 and times > 1").select("fp"), "fp", "left_semi")
+    hits = alone.select("fp", "sh", F.array(F.struct(F.lit(0).alias("a"), (F.length("seg") - length).alias("b"))).cast(WINDOWS).alias("w"))
+    hits = hits.unionAll(_by_shards(distinct.join(others.where(f"c > 1 and c <= {crowd} or c = 1 and times = 1").select("fp"), "fp", "left_semi"), length))
+    crowded = written(others.where(F.col("c") > crowd).select("fp"), "crowded")
     if crowded.limit(1).count():
         hits = hits.unionAll(_by_windows(distinct.join(crowded, "fp"), length))
     spans = segments.select("fp", "sh", "k", "first").join(hits, ["fp", "sh"])
