@@ -10,8 +10,9 @@ A task packs segments into shards of ``SHARD_BYTES`` at most, builds the suffix
 common prefixes of neighbours by Kasai's method, stepping through all segments side by side.  A window is repeated where it shares
 ``length`` bytes with a neighbour or its segment came more than once.  When a group of one anchor is larger than a shard's rest, its
 segments go to two shards, and the two are merged by binary search of one's windows among the other's suffixes.
-An anchor with more than ``crowd`` different segments would be too much for one task: each of its windows is dealt by
-its own 128-bit hash instead and counted.
+An anchor with more than ``crowd`` different segments would be too much for one task.  Its segments are cut into parts of up to
+``PART`` windows by their distance to the anchor, and a part is dealt by the hash of the bytes that all windows at these distances
+share, to shards again.  If more than ``crowd`` parts still meet, their windows are dealt by their own 128-bit hash and counted.
 
 Edge cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a repeated row (same id and text)
 is a copy like any other, so both lose their windows; null doc_ids pass through; an empty table gives an empty table; other input
@@ -31,6 +32,7 @@ from .common import utf8, written
 
 BATCH_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
+PART = 16
 #: An odd constant for the polynomial over bytes.
 BASE = 0x9FB21C651E98DF25
 
@@ -61,8 +63,8 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
-    """(hash, text, first window, number of windows) of each anchor of the texts in ``data``."""
-    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    """(hash, text, first window, number of windows, distance from the first window) of each anchor of the texts in ``data``."""
+    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
     if len(data) < length:
         return none
     h = gram_hashes(data, gram)
@@ -75,7 +77,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
     a, t = at[ok], text[ok]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
     first = np.flatnonzero(new)
-    return h[a[first]], t[first], ok[first] - starts[t[first]], np.diff(np.append(first, len(a)))
+    return h[a[first]], t[first], ok[first] - starts[t[first]], np.diff(np.append(first, len(a))), a[first] - ok[first]
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -197,14 +199,14 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             keys = batch.column("k").to_numpy()
             for lo, hi in batches_of_texts(starts, BATCH_BYTES):
                 part = starts[lo : hi + 1]
-                fp, t, first, n = anchors(data[part[0] : part[-1]], part - part[0], length, gram)
-                yield pa.RecordBatch.from_pydict({"fp": pa.array(fp.view(np.int64)), "k": pa.array(keys[lo + t]), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+                fp, t, first, n, off = anchors(data[part[0] : part[-1]], part - part[0], length, gram)
+                yield pa.RecordBatch.from_pydict({"fp": pa.array(fp.view(np.int64)), "k": pa.array(keys[lo + t]), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "off": pa.array(off.astype(np.int32))})
 
-    return docs.select("k", "text").mapInArrow(work, "fp long, k long, first int, n int")
+    return docs.select("k", "text").mapInArrow(work, "fp long, k long, first int, n int, off int")
 
 
 def _segment_rows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(fp, sh, k, first, seg) of the anchors ``found`` (k, a: array of fp, first, n)."""
+    """(fp, sh, k, first, off, seg) of the anchors ``found`` (k, a: array of fp, first, n, off)."""
 
     def work(batches):
         import pyarrow as pa
@@ -215,10 +217,10 @@ def _segment_rows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 out = []
                 for k, text, a in zip(part.column("k").to_pylist(), part.column("text").to_pylist(), part.column("a").to_pylist()):
                     raw = text.encode()
-                    out += [(x["fp"], k, x["first"], raw[x["first"] : x["first"] + x["n"] + length - 1]) for x in a]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())], names=["fp", "k", "first", "seg"])
+                    out += [(x["fp"], k, x["first"], x["off"], raw[x["first"] : x["first"] + x["n"] + length - 1]) for x in a]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.binary())], names=["fp", "k", "first", "off", "seg"])
 
-    rows = docs.select("k", "text").dropDuplicates(["k"]).join(found, "k").mapInArrow(work, "fp long, k long, first int, seg binary")
+    rows = docs.select("k", "text").dropDuplicates(["k"]).join(found, "k").mapInArrow(work, "fp long, k long, first int, off int, seg binary")
     return rows.withColumn("sh", F.xxhash64("seg"))
 
 
@@ -279,6 +281,28 @@ def _by_windows(segments: DataFrame, length: int) -> DataFrame:
     return hit.select("fp", "sh", F.col("w").cast(WINDOWS).alias("w"))
 
 
+def _parts(segments: DataFrame, length: int) -> DataFrame:
+    """(fp, sh, lo, part_fp, part_sh, seg, times): segments cut by their windows' distance to the anchor; lo is the part's first window."""
+    n = F.length("seg") - (length - 1)
+    bucket = F.sequence(F.floor((F.col("off") - n + 1) / PART), F.floor(F.col("off") / PART))
+    rows = segments.select("fp", "sh", "times", "off", "seg", n.alias("n"), F.explode(bucket).alias("q")).withColumn("near", (F.col("off") - PART * F.col("q")).cast("int"))
+    rows = rows.withColumns({"lo": F.greatest(F.lit(0), F.col("near") - (PART - 1)), "hi": F.least(F.col("n") - 1, F.col("near"))})
+    shared = F.substring(F.col("seg"), F.col("near") + 1, F.lit(length - PART + 1))
+    rows = rows.withColumns({"part_fp": F.xxhash64("fp", "q", shared), "part": F.substring(F.col("seg"), F.col("lo") + 1, F.col("hi") - F.col("lo") + length)})
+    return rows.select("fp", "sh", "lo", "part_fp", F.xxhash64("part").alias("part_sh"), F.col("part").alias("seg"), "times")
+
+
+def _decide(distinct: DataFrame, length: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, crowded): runs of repeated windows (fp, sh, w), and the anchors of too many segments (fp, sh, seg, times) to tell."""
+    others = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max("times").alias("times"))
+    # an anchor of one segment has no other to compare: if that came more than once, so did each of its windows
+    alone = distinct.join(others.where("c = 1 and times > 1").select("fp"), "fp", "left_semi")
+    hits = alone.select("fp", "sh", F.array(F.struct(F.lit(0).alias("a"), (F.length("seg") - length).alias("b"))).cast(WINDOWS).alias("w"))
+    some = distinct.join(others.where(f"c > 1 and c <= {crowd} or c = 1 and times = 1").select("fp"), "fp", "left_semi")
+    hits = hits.unionAll(_by_shards(some.withColumn("many", F.col("times") > 1), length))
+    return hits, written(others.where(F.col("c") > crowd).select("fp"), "crowded")
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
     keyed = _keyed(docs)
@@ -286,18 +310,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: in
     often = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("fp")
     # of repeated rows one is followed, with the number of them
     copies = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    found = rows.join(often, "fp").groupBy("k").agg(F.collect_set(F.struct("fp", "first", "n")).alias("a"))
+    found = rows.join(often, "fp").groupBy("k").agg(F.collect_set(F.struct("fp", "first", "n", "off")).alias("a"))
     segments = written(_segment_rows(keyed, found, length), "segments")
-    counted = segments.join(copies, "k", "left").groupBy("fp", "sh").agg(F.first("seg").alias("seg"), F.sum(F.coalesce("rows", F.lit(1))).alias("times"))
-    distinct = written(counted.withColumn("many", F.col("times") > 1), "distinct")
-    others = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max("times").alias("times"))
-    # an anchor of one segment has no other to compare: if that came more than once, so did each of its windows
-    alone = distinct.join(others.where("c = 1 and times > 1").select("fp"), "fp", "left_semi")
-    hits = alone.select("fp", "sh", F.array(F.struct(F.lit(0).alias("a"), (F.length("seg") - length).alias("b"))).cast(WINDOWS).alias("w"))
-    hits = hits.unionAll(_by_shards(distinct.join(others.where(f"c > 1 and c <= {crowd} or c = 1 and times = 1").select("fp"), "fp", "left_semi"), length))
-    crowded = written(others.where(F.col("c") > crowd).select("fp"), "crowded")
+    counted = segments.join(copies, "k", "left").groupBy("fp", "sh").agg(F.first("seg").alias("seg"), F.first("off").alias("off"), F.sum(F.coalesce("rows", F.lit(1))).alias("times"))
+    distinct = written(counted, "distinct")
+    hits, crowded = _decide(distinct, length, crowd)
     if crowded.limit(1).count():
-        hits = hits.unionAll(_by_windows(distinct.join(crowded, "fp"), length))
+        parts = written(_parts(distinct.join(crowded, "fp"), length), "parts")
+        own = parts.groupBy(F.col("part_fp").alias("fp"), F.col("part_sh").alias("sh")).agg(F.first("seg").alias("seg"), F.sum("times").alias("times"))
+        own = written(own, "distinct-parts")
+        found, still = _decide(own, length, crowd)
+        if still.limit(1).count():
+            found = found.unionAll(_by_windows(own.join(still, "fp"), length))
+        back = parts.select("fp", "sh", "lo", "part_fp", "part_sh").join(found.toDF("part_fp", "part_sh", "w"), ["part_fp", "part_sh"])
+        hits = hits.unionAll(back.select("fp", "sh", F.transform("w", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b"))).cast(WINDOWS).alias("w")))
     spans = segments.select("fp", "sh", "k", "first").join(hits, ["fp", "sh"])
     spans = spans.select("k", F.transform("w", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"] + length).alias("b"))).alias("w"))
     spans = spans.groupBy("k").agg(F.sort_array(F.flatten(F.collect_list("w"))).alias("w"))
