@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MARKER = r"\[[a-z0-9-]+#[^\]]*\]"
 MIN_SPAN = 20
@@ -19,7 +20,7 @@ def fold_punct(c: Column | str) -> Column:
     return F.replace(F.translate(col(c), "‘’“”—–", "''\"\"--"), F.lit("…"), F.lit("..."))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(texts):
     import unicodedata
 
