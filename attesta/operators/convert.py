@@ -30,6 +30,7 @@ CONTAINERS = frozenset("html body div section article main header footer nav asi
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre figcaption caption address".split())
 BLOCK_SCHEMA = "doc_id long, ord int, kind string, level int, text string, anchor string, table_no int, row int, col int"
 NODE_SCHEMA = "doc_id long, node int, tag string, state string, chars int"
+SIBLINGS = frozenset("p li dt dd tr td th".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -48,7 +49,7 @@ class _Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.at.tag == "p":
+        if tag == self.at.tag and tag in SIBLINGS:  # an open one of these ends where the next begins
             self.at = self.at.up
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
