@@ -50,7 +50,7 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 class TextEncoder:
     """Keeps at most ``max_pieces`` pieces' ids; a full store is emptied."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
