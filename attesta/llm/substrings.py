@@ -153,7 +153,8 @@ def repeated_in_shard(segments: list[bytes], many: list[bool], length: int) -> t
     starts = np.concatenate([[0], np.cumsum(size)])[:-1]
     text = np.frombuffer(b"".join(segments), np.uint8)
     ends = np.repeat(starts + size, size)
-    sa = suffix_array(text, ends, length)
+    # settled to the longest segment's end: the common prefixes' steps hold on a fully sorted array alone
+    sa = suffix_array(text, ends, int(size.max()))
     lcp = common_prefixes(text, starts, sa, ends, length)
     hit = lcp >= length
     twin = np.zeros(len(text), bool)

@@ -72,3 +72,15 @@ def test_merging_two_shards():
 def test_long_texts_are_cut_in_overlapping_parts():
     x = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
     assert np.array_equal(S.sliding_argmin(x, 137), np.array([i + int(np.argmin(x[i : i + 137])) for i in range(5000 - 136)]))
+
+
+def test_segments_that_share_more_than_256_bytes():
+    r = random.Random(11)
+    draw = lambda n: bytes(r.choice(b"ab") for _ in range(n))
+    for _ in range(150):
+        shared = draw(r.randint(257, 335))
+        segs = [shared + b"b", shared + b"a", *(draw(336) for _ in range(6))]
+        segs[:2] = [s + draw(336 - len(s)) for s in segs[:2]]
+        count = Counter(s[i : i + 200] for s in segs for i in range(len(s) - 199))
+        flags, _ = S.repeated_in_shard(segs, [False] * len(segs), 200)
+        assert [f.tolist() for f in flags] == [[count[s[i : i + 200]] > 1 for i in range(len(s) - 199)] for s in segs]
