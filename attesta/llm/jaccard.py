@@ -10,11 +10,12 @@ union is in both.  Documents of equal sets are one class, so copies never meet a
     No link crosses blocks.
 2.  Blocks.  A block of up to ``tile`` classes goes to one task.  In a larger one, ``pivots`` rounds each compare all classes with
     one that is not linked yet, row by row, and label those that link with it.  Tiles of up to ``tile`` classes of one label
-    then meet in pairs, but for two tiles of the same label, so that no group ever holds more than two tiles.
+    then meet in pairs, so that no group ever holds more than two tiles.
 3.  Prefix tree.  Within a tile the sets, rarest n-gram first, form a trie.  A set walks it once, and the overlap counted down to a
     node serves all sets below.  A subtree is left when its sizes can't reach the threshold, or when the overlap
-    so far plus the n-grams that remain on the shorter side can't.  Sets that are connected already are skipped.
-4.  Links of all tiles are connected; a component's id is its smallest doc_id.
+    so far plus the n-grams that remain on the shorter side can't.  Each similar pair is found once, in one group.
+4.  Links of all tiles are counted: a task sends a class's number of linked documents and, of the pairs, those that connect.
+    These make components; a component's id is its smallest doc_id.
 
 N-grams and classes are known by 64-bit hashes; two of a million different ones collide with a chance of 3e-8.
 
@@ -119,9 +120,9 @@ def build_trie(rows: list[np.ndarray], sizes: list[int], order: list[int]) -> No
     return root
 
 
-def trie_links(sets: list[np.ndarray], percent: int, probes: list[bool], labels: list[int | None]) -> list[tuple[int, int]]:
-    """Links (i, j) that connect what all similar pairs of a probe and another set connect; sets of one label are connected already."""
-    k = len(sets)
+def similar_pairs(sets: list[np.ndarray], percent: int, probes: list[bool]) -> list[tuple[int, int]]:
+    """Each similar pair (i, j) once: of a probe and a set that is none or, where all are probes, of any two sets."""
+    k, every = len(sets), all(probes)
     if k < 2:
         return []
     sizes = [len(s) for s in sets]
@@ -136,18 +137,11 @@ def trie_links(sets: list[np.ndarray], percent: int, probes: list[bool], labels:
         r = np.sort(ranks[at : at + n])
         rows.append(r[np.searchsorted(r, rare) :] - rare)
         at += n
-    order = sorted(range(k), key=lambda i: rows[i].astype(">u4").tobytes())
+    order = sorted((i for i in range(k) if every or not probes[i]), key=lambda i: rows[i].astype(">u4").tobytes())
+    if not order:
+        return []
     root = build_trie(rows, sizes, order)
-    named: dict[int, int] = {}
-    parent = [i if labels[i] is None else named.setdefault(labels[i], i) for i in range(k)]
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
+    pairs = []
     has = np.zeros(max(len(tokens) - rare, 1), bool)
     for x in range(k):
         if not probes[x]:
@@ -164,17 +158,39 @@ def trie_links(sets: list[np.ndarray], percent: int, probes: list[bool], labels:
             need = (percent * (n + max(node.low, least(n, percent))) + 99 + percent) // (100 + percent)
             left = len(own) - int(np.searchsorted(own, node.last, "right"))
             for y in node.ends:
-                if y != x and 100 * got >= percent * (n + sizes[y] - got):
-                    a, b = find(x), find(y)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        links.append((x, y))
+                if (y > x or not every) and 100 * got >= percent * (n + sizes[y] - got):
+                    pairs.append((x, y))
             if node.kids and got + min(node.rest, left) >= need:
                 todo += [(kid, got) for kid in node.kids]
         has[own] = False
+    return pairs
+
+
+def connecting(pairs: list[tuple[int, int]], labels: list[int | None]) -> list[tuple[int, int]]:
+    """Those of the pairs that connect what all of them connect; sets of one label are connected already."""
+    named: dict[int, int] = {}
+    parent = [i if label is None else named.setdefault(label, i) for i, label in enumerate(labels)]
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = []
+    for x, y in pairs:
+        a, b = find(x), find(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((x, y))
     return links
 
 
+def trie_links(sets: list[np.ndarray], percent: int, probes: list[bool], labels: list[int | None]) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what all similar pairs connect; see :func:`similar_pairs` and :func:`connecting`."""
+    return connecting(similar_pairs(sets, percent, probes), labels)
+
+
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """key, doc_id, n_shingles, cls (null for an empty set) and the prefix of each document."""
 
@@ -234,7 +250,7 @@ def _linked_to_pivot(pairs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _tile_links(tiles: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group (block, i, j) of rows (cls, label, probe, text)."""
+    """Of each group (block, i, j) of rows (cls, copies, label, probe, text): links (a, b, 0) that connect it, and (a, a, n) for a class with n linked documents."""
 
     def work(batches):
         import pyarrow as pa
@@ -242,17 +258,23 @@ def _tile_links(tiles: DataFrame, n: int, percent: int) -> DataFrame:
         now, rows = None, []
 
         def links():
-            cls, labels, probes, sets = zip(*rows) if rows else ((),) * 4
-            return [(cls[a], cls[b]) for a, b in trie_links(list(sets), percent, probes, labels)]
+            cls, copies, labels, probes, sets = zip(*rows) if rows else ((),) * 5
+            alone = bool(rows) and now[1] != now[2] and all(probes)  # the second tile is empty
+            pairs = [] if alone else similar_pairs(list(sets), percent, list(probes))
+            near = [0] * len(rows)  # summed here, so that a large group's pairs are never shuffled
+            for a, b in pairs:
+                near[a] += copies[b]
+                near[b] += copies[a]
+            return [(cls[a], cls[b], 0) for a, b in connecting(pairs, labels)] + [(c, c, m) for c, m in zip(cls, near) if m]
 
         def table(out):
-            return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+            return pa.RecordBatch.from_pydict({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate("abn")})
 
         for batch in batches:
             out = []
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                cols = [part.column(c).to_pylist() for c in ("block", "i", "j", "cls", "label", "probe")]
+                cols = [part.column(c).to_pylist() for c in ("block", "i", "j", "cls", "copies", "label", "probe")]
                 for (block, i, j, *row), s in zip(zip(*cols), ngram_sets(part.column("text"), n)):
                     if (block, i, j) != now:
                         out += links()
@@ -264,11 +286,11 @@ def _tile_links(tiles: DataFrame, n: int, percent: int) -> DataFrame:
 
     order = ["block", "i", "j"]
     dealt = tiles.repartition(*order).sortWithinPartitions(*order)
-    return dealt.select(*order, "cls", "label", "probe", "text").mapInArrow(work, "a long, b long")
+    return dealt.select(*order, "cls", "copies", "label", "probe", "text").mapInArrow(work, "a long, b long, n long")
 
 
 def _crowded_links(crowd: DataFrame, n: int, percent: int, tile: int, pivots: int) -> DataFrame:
-    """Links (a, b) of blocks too large for one task; crowd: cls, block, text."""
+    """Rows (a, b, n) like :func:`_tile_links` of blocks too large for one task; crowd: cls, copies, block, text."""
     labels = written(crowd.select("cls", "block", F.lit(None).cast("long").alias("label")), "labels")
     links = None
     for _ in range(pivots):
@@ -282,40 +304,46 @@ def _crowded_links(crowd: DataFrame, n: int, percent: int, tile: int, pivots: in
     # the name of a tile: its label's hash, or 0 without one, and its number
     name = lambda sub: F.when(F.col("label").isNull(), F.struct(F.lit(0).alias("l"), F.lit(0).cast("long").alias("c"), sub.alias("s"))).otherwise(F.struct(F.lit(1).alias("l"), F.col("label").alias("c"), sub.alias("s")))
     tiles = count.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("sub"), "label").select("block", name(F.col("sub")).alias("t"))
-    pairs = tiles.select("block", F.col("t").alias("i")).join(tiles.select("block", F.col("t").alias("j")), "block").where("i <= j and (i.l = 0 or i.c <> j.c)")
+    pairs = tiles.select("block", F.col("t").alias("i")).join(tiles.select("block", F.col("t").alias("j")), "block").where("i <= j")
     pairs = pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("t"))
     member = crowd.join(labels.select("cls", "label"), "cls").join(count.select("block", F.col("label").alias("lab"), "parts").withColumnRenamed("block", "blk"), (F.col("block") == F.col("blk")) & F.col("label").eqNullSafe(F.col("lab")))
-    member = member.select("block", "cls", "label", "text", name(F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("t"))
-    # the first tile of a pair is the one without a label, if there is one: its classes are the probes
+    member = member.select("block", "cls", "copies", "label", "text", name(F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("t"))
+    # the first tile's classes are the probes
     met = member.join(pairs, ["block", "t"]).withColumn("probe", F.col("t") == F.col("i"))
-    found = _tile_links(met.select("block", "i", "j", "cls", "label", "probe", "text"), n, percent)
-    return found if links is None else links.unionAll(found)
+    found = _tile_links(met.select("block", "i", "j", "cls", "copies", "label", "probe", "text"), n, percent)
+    # the pivots' links only connect: their pairs are counted where their tiles meet
+    return found if links is None else found.unionAll(links.select("a", "b", F.lit(0).cast("long").alias("n")))
 
 
 def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, tile: int = 128, pivots: int = 3) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id) for each document; ``key`` is :func:`.common.row_key`."""
+    """(doc_id, key, n_shingles, component_id, n_links) for each document; ``key`` is :func:`.common.row_key`, ``n_links`` the number of other documents it links with."""
     signed = written(_signatures(docs, n, percent), "sets")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.col("n_shingles")).alias("n"), F.min("key").alias("key"), F.first("prefix").alias("prefix"))
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.col("n_shingles")).alias("n"), F.min("key").alias("key"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     blocks = _blocks(classes, percent)
     links = None
     if blocks.limit(1).count():
         # one document of each class stands for it
-        heads = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes.select("cls", "key"), "cls")
-        members = docs.select(row_key().alias("key"), "text").join(heads, "key").select("cls", "block", "text").dropDuplicates(["cls"])
+        heads = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes.select("cls", "key", "copies"), "cls")
+        members = docs.select(row_key().alias("key"), "text").join(heads, "key").select("cls", "copies", "block", "text").dropDuplicates(["cls"])
         members = written(members, "members")
         large = written(members.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > tile).select("block"), "large")
         small = members.join(large, "block", "left_anti")
         zero = F.lit(0).cast("long")
-        links = _tile_links(small.select("block", zero.alias("i"), zero.alias("j"), "cls", F.lit(None).cast("long").alias("label"), F.lit(True).alias("probe"), "text"), n, percent)
+        links = _tile_links(small.select("block", zero.alias("i"), zero.alias("j"), "cls", "copies", F.lit(None).cast("long").alias("label"), F.lit(True).alias("probe"), "text"), n, percent)
         if large.limit(1).count():
             links = links.unionAll(_crowded_links(members.join(large, "block"), n, percent, tile, pivots))
+        links = written(links.groupBy("a", "b").agg(F.sum("n").alias("n")), "links")
+        near = links.where("a = b").select(F.col("a").alias("cls"), F.col("n").alias("near"))
         links = connected_components(links)
     else:
-        links = blocks
-    named = signed.join(links.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        links, near = blocks, classes.select("cls", F.lit(0).cast("long").alias("near"))
+    # copies of one set link with each other and with all that their class links with
+    each = classes.select("cls", "copies").join(links.select(F.col("node").alias("cls"), "component"), "cls", "left").join(near, "cls", "left")
+    each = each.select("cls", F.coalesce("component", "cls").alias("component"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    named = signed.join(each, "cls", "left")
     ids = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(ids, "component", "left")
-    return out.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -87,3 +87,25 @@ def test_trie_is_brute_force():
 
         want = [(i, j) for i in range(k) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)]
         assert components(jaccard.trie_links(sets, percent, [True] * k, labels)) == components(want)
+
+
+def test_trie_finds_each_pair_once():
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        sets = [np.unique(r.integers(0, 40, r.integers(1, 30))).astype(np.uint64) for _ in range(r.integers(2, 25))]
+        percent, k = int(r.choice([50, 70, 85, 100])), len(sets)
+        want = [(j, i) for i in range(k) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)]
+        assert sorted(jaccard.similar_pairs(sets, percent, [True] * k)) == sorted(want)
+        probes = (r.random(k) < 0.5).tolist()
+        if not all(probes):
+            assert sorted(tuple(sorted(p)) for p in jaccard.similar_pairs(sets, percent, probes)) == sorted(p for p in want if probes[p[0]] != probes[p[1]])
+
+
+@pytest.mark.parametrize("tile, pivots", [(128, 3), (12, 2)])
+def test_every_link_is_counted(spark, rows, tile, pivots):
+    rows = [*rows, (2000, rows[0][1]), (2000, rows[0][1]), (None, rows[0][1])]
+    sets = [grams(t, 4) for _, t in rows]
+    like = lambda s, e: 100 * len(s & e) >= 85 * len(s | e)
+    want = [(d, len(s), sum(bool(s) and like(s, e) for e in sets) - bool(s)) for (d, _), s in zip(rows, sets)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, tile, pivots)
+    assert sorted(((x.doc_id, x.n_shingles, x.n_links) for x in got.collect()), key=repr) == sorted(want, key=repr)
