@@ -316,7 +316,10 @@ def _crowded_links(crowd: DataFrame, n: int, percent: int, tile: int, pivots: in
 
 
 def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, tile: int = 128, pivots: int = 3) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id, n_links) for each document; ``key`` is :func:`.common.row_key`, ``n_links`` the number of other documents it links with."""
+    """(doc_id, key, n_shingles, component, component_id, n_links) for each document; ``key`` is :func:`.common.row_key`, ``n_links`` the number of other documents it links with.
+
+    ``component`` tells components apart (null for an empty set); components whose members have null or repeated ids may share a ``component_id``.
+    """
     signed = written(_signatures(docs, n, percent), "sets")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.col("n_shingles")).alias("n"), F.min("key").alias("key"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     blocks = _blocks(classes, percent)
@@ -343,13 +346,13 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, tile: int = 128
     named = signed.join(each, "cls", "left")
     ids = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(ids, "component", "left")
-    return out.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", "key", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the smallest doc_id.  Repeated rows (same id and text) become one; documents without words all stay."""
     classes = jaccard_join(docs, n, percent)
-    best = classes.where("n_shingles > 0").groupBy("component_id").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
+    best = classes.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
     keyed = docs.withColumn("__key", row_key()).dropDuplicates(["__key"])
     sets = classes.groupBy("key").agg(F.max("n_shingles").alias("__n")).join(best, "key", "left").select(F.col("key").alias("__key"), "__n", F.col("first").alias("__first"))
     return keyed.join(sets, "__key").where("__n = 0 or __first").drop("__key", "__n", "__first")

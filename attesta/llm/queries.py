@@ -62,7 +62,7 @@ def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 def op7_trie_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_join
 
-    return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85).drop("key")
+    return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85).drop("key", "component")
 
 
 @query

@@ -109,3 +109,10 @@ def test_every_link_is_counted(spark, rows, tile, pivots):
     want = [(d, len(s), sum(bool(s) and like(s, e) for e in sets) - bool(s)) for (d, _), s in zip(rows, sets)]
     got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, tile, pivots)
     assert sorted(((x.doc_id, x.n_shingles, x.n_links) for x in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_unlike_documents_of_null_or_equal_ids_all_stay(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(12))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("d"))]
+    left = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(((x.doc_id, x.text) for x in left), key=repr) == sorted(rows[:-1], key=repr)
