@@ -2,8 +2,8 @@
 
 ``TextEncoder`` gives a text's ids as little-endian unsigned 32-bit bytes.  It cuts a text where the tokenizer's own
 first split always cuts (before a lone space, between a run of letters and digits and what follows), encodes each
-distinct piece once, as long as it is remembered, and joins the pieces' ids; texts with characters beyond Latin are
-encoded whole.
+distinct piece once, as long as it is remembered, and joins the pieces' ids; texts with characters beyond Latin,
+and texts that hold the literal of an added token (<|endoftext|>, which becomes that token's id), are encoded whole.
 """
 
 from __future__ import annotations
@@ -57,7 +57,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: the tokenizer takes these out before its first split
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
 
@@ -68,6 +69,9 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for t in texts:
+            if any(x in t for x in self.added):
+                out.append(self._encode([t])[0])
+                continue
             cut = pieces(t)
             if len(cut) == 1 and len(t) > 64:
                 out.append(self._encode(cut)[0])

@@ -106,3 +106,12 @@ def test_images(n):
 def test_skewed_text_shrinks():
     ids = np.random.default_rng(0).geometric(0.05, 1 << 18).astype("<u4")
     assert len(rans.write_image([1], [len(ids)], ids)) < 0.25 * ids.nbytes
+
+
+def test_added_tokens_encode_like_the_library():
+    from tokenizers import Tokenizer
+
+    texts = ["ends <|endoftext|> here", "<|endoftext|>", "a,<|endoftext|>b\nc <|endoftext|><|endoftext|> d", "long words " * 20 + "<|endoftext|>", "<|endoftext", "plain words, only"]
+    library = Tokenizer.from_file(tokenizer_path())
+    got = [np.frombuffer(x, "<u4").tolist() for x in TextEncoder(tokenizer_path()).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [2412, 220, 50256, 994]
