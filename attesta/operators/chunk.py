@@ -156,10 +156,12 @@ def unclaimed(pars: DataFrame, chunks_: DataFrame) -> DataFrame:
 
 def size_report(chunks_: DataFrame) -> DataFrame:
     """(kind, n, smallest, median, p90, largest, over): sizes by kind; median and p90 are order statistics at n // 2 and int(0.9 n), from 0."""
-    w = Window.partitionBy("kind").orderBy("chars", "id")
-    ranked = chunks_.select("kind", "chars", F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("kind")).alias("n"))
-    at = lambda i: F.max(F.when(F.col("r") == i + 1, F.col("chars")))
+    # chunks of a kind and size are counted before the shuffle; the window then runs over distinct sizes alone
+    sizes = chunks_.groupBy("kind", "chars").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("kind")
+    ranked = sizes.select("kind", "chars", "c", F.sum("c").over(w.orderBy("chars").rowsBetween(Window.unboundedPreceding, 0)).alias("r"), F.sum("c").over(w).alias("n"))
+    at = lambda i: F.max(F.when((F.col("r") > i) & (F.col("r") - F.col("c") <= i), F.col("chars")))
     return ranked.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.min("chars").alias("smallest"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 9 / 10)).alias("p90"), F.max("chars").alias("largest"),
-        F.sum((F.col("chars") > 4000).cast("long")).alias("over"),
+        F.sum("c").alias("n"), F.min("chars").alias("smallest"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 9 / 10)).alias("p90"), F.max("chars").alias("largest"),
+        F.sum((F.col("chars") > 4000).cast("long") * F.col("c")).alias("over"),
     )

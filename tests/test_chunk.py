@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from attesta.operators import chunk as K
@@ -58,3 +60,16 @@ def test_sequence_faults(spark):
     assert got == {2: "repeat", 3: "gap", 6: "out-of-order", 7: "not-a-number"}
     roman = spark.createDataFrame([(1, i, x) for i, x in enumerate(["I", "II", "IV", "V"])], "d long, i int, l string")
     assert [r.label for r in validate.roman_faults(roman, "d", "i", "l").collect()] == ["IV"]
+
+
+def test_sizes_are_counted_before_they_are_ranked(spark):
+    r = random.Random(6)
+    rows = [(r.choice("abc"), r.choice([1, 2, 3, 4000, 4001, r.randint(1, 6000)]), str(i)) for i in range(400)] + [("one", 7, "x"), (None, 3, "y"), (None, 5, "z")]
+    out = K.size_report(spark.createDataFrame(rows, "kind string, chars int, id string"))
+    want = []
+    for kind in {k for k, _, _ in rows}:
+        s = sorted(c for k, c, _ in rows if k == kind)
+        want.append((kind, len(s), s[0], s[len(s) // 2], s[len(s) * 9 // 10], s[-1], sum(c > 4000 for c in s)))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("Window")  # the window's input is aggregated
