@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch, shared_dir, written
+from ..sources.scratch import discard, owned, scratch, shared_dir, written
 
-__all__ = ["WS", "connected_components", "let", "replaced", "row_key", "scratch", "shared_dir", "utf8", "written"]
+__all__ = ["WS", "connected_components", "discard", "free_name", "let", "owned", "replaced", "row_key", "scratch", "shared_dir", "utf8", "written"]
 
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]"
@@ -23,6 +23,14 @@ def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in columns}], *[v.alias(k) for k, v in columns.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name beginning with two underscores and ``name`` that ``df`` doesn't have in any case of letters."""
+    taken, own = {c.lower() for c in df.columns}, f"__{name}"
+    while own.lower() in taken:
+        own += "_"
+    return own
+
+
 def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
     """Identifies a document row by id and text, so that null and repeated ids do no harm: equal rows get equal keys, and every operator here gives equal rows equal results."""
     doc_id, text = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
@@ -38,7 +46,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     both = written(edges.unionAll(edges.select("b", "a")).distinct().toDF("a", "b"), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    start = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    labels = start
     for _ in range(rounds):
         near = both.join(labels.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
         hooked = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
@@ -48,8 +57,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(step.join(jump, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
         changed = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
+        discard(start)
+        start, labels = new, new.select("node", "label")
         if not changed:
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

@@ -60,45 +60,74 @@ def test_no_labels_and_empty_tables(spark):
 
 
 def brute_lines(rows, p):
-    mask = lambda s: tuple(x for x in re.split(r"[ \t\n\x0b\f\r]", re.sub(r"[^ \t\n\x0b\f\r]*[0-9@][^ \t\n\x0b\f\r]*", "<*>", s)) if x)
-    all_ = [(d if d is not None else -(2**63), i, mask(x), t) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    all_ = [x for x in all_ if len(x[2]) >= p.min_tokens]
+    """Written from the docstring: every count is a number of different texts."""
+    split = lambda s: tuple(x for x in re.split(r"[ \t\n\x0b\f\r]", s) if x)
+    mask = lambda s: split(re.sub(r"[^ \t\n\x0b\f\r]*[0-9@][^ \t\n\x0b\f\r]*", "<*>", s))
+    order = lambda d: d if d is not None else -(2**63)
+    lines_ = [(order(d), i, split(x), mask(x), t) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if split(x)]
     leaf = lambda t: (len(t), t[: p.depth])
-    n, per_leaf, tok, support = defaultdict(set), Counter(), Counter(), Counter()
-    for _, _, t, text in all_:
-        n[t].add(text)
-    for t, s in n.items():
-        per_leaf[leaf(t)] += len(s)
-        for k, w in enumerate(t):
-            tok[leaf(t), k, w] += len(s)
-    template = {}
-    for t, s in n.items():
-        if per_leaf[leaf(t)] >= p.min_docs:
-            template[t] = tuple(w if w != "<*>" and tok[leaf(t), k, w] >= p.min_docs else "<*>" for k, w in enumerate(t))
-            support[leaf(t), template[t]] += len(s)
+    in_leaf, with_token, exact, with_template = (defaultdict(set) for _ in range(4))
+    for _, _, raw, t, text in lines_:
+        exact[raw if len(t) < p.min_tokens else t].add(text)
+        if len(t) >= p.min_tokens:
+            in_leaf[leaf(t)].add(text)
+            for k, w in enumerate(t):
+                with_token[leaf(t), k, w].add(text)
+
+    def template(t):
+        return tuple(w if w != "<*>" and len(with_token[leaf(t), k, w]) >= p.min_docs else "<*>" for k, w in enumerate(t))
+
+    for _, _, _, t, text in lines_:
+        if len(t) >= p.min_tokens:
+            with_template[leaf(t), template(t)].add(text)
+
+    def recurs(raw, t):
+        if len(t) < p.min_tokens:
+            return raw if len(exact[raw]) >= p.min_docs else None
+        g = template(t)
+        if len(with_template[leaf(t), g]) >= p.min_docs and sum(w != "<*>" for w in g) >= p.constant_share * len(g):
+            return leaf(t), g
+        return t if len(t) >= p.long_tokens and len(exact[t]) >= p.long_docs else None
+
     first, gone = {}, defaultdict(set)
-    for d, i, t, _ in sorted(all_, key=lambda x: x[:2]):
-        g = template.get(t)
-        if g and support[leaf(t), g] >= p.min_docs and sum(w != "<*>" for w in g) >= p.constant_share * len(g):
-            if first.setdefault((leaf(t), g), (d, i)) != (d, i):
-                gone[d].add(i)
-    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d if d is not None else -(2**63)]) for d, t in rows}
+    for d, i, raw, t, _ in sorted(lines_, key=lambda x: x[:2]):
+        g = recurs(raw, t)
+        if g and (first.setdefault(g, (d, i)) != (d, i) or not p.keep_first):
+            gone[d].add(i)
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[order(d)]) for d, t in rows}
 
 
-def test_templates_are_brute_force(spark):
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_templates_are_brute_force(spark, keep_first):
     r = random.Random(1)
-    p = lines.LineParams(min_docs=4)
+    p = lines.LineParams(min_docs=4, long_tokens=9, keep_first=keep_first)
     body = lambda: " ".join(r.choice("alpha beta gamma delta eps zeta eta".split()) + str(r.choice(["", "", 1])) for _ in range(r.randint(1, 8)))
-    rows = [(i, "\n".join([body() for _ in range(3)] + [f"Copyright by the firm {r.choice(['A', 'B', 'C', 'D', 'E'])} in {r.randint(1990, 2020)} all rights", ""][: r.randint(0, 2)])) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, rows[0][1]), (104, rows[0][1]), (None, "Copyright by the firm Z in 1999 all rights")]
+    long_ = [" ".join(r.choice("one two three four five".split()) for _ in range(9)) for _ in range(12)]
+    rows = [(i, "\n".join([body() for _ in range(3)] + [f"Copyright by the firm {r.choice(['A', 'B', 'C', 'D', 'E'])} in {r.randint(1990, 2020)} all rights", ""][: r.randint(0, 2)] + r.sample(long_, r.randint(0, 1)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, rows[0][1]), (104, rows[0][1]), (None, "Copyright by the firm A in 1999 all rights")]
+    rows += [(105, "\n".join(f"The capital of {x} is {x}ville" for x in "abcdefghij")), (106, "\n".join(["some words of it here"] * 9))]
     df = spark.createDataFrame([(d, t, 5, 1) for d, t in rows], "doc_id long, text string, n_chars long, key int")
     got = {x.doc_id: x for x in lines.line_dedup(df, p).collect()}
-    want = brute_lines(rows, p)
-    assert {d: x.text for d, x in got.items()} == want and any(x.n_dropped for x in got.values())
-    assert got[None].text == rows[-1][1] and got[0].key == 1  # the first occurrence stays, other columns too
+    assert {d: x.text for d, x in got.items()} == brute_lines(rows, p) and any(x.n_dropped for x in got.values())
+    assert got[0].key == 1 and got[105].n_dropped == got[106].n_dropped == 0
+    assert (got[None].text == rows[64 + 1][1]) == keep_first
     assert all(x.n_chars == (len(x.text) if x.n_dropped else 5) for x in got.values())
 
 
+def test_one_document_keeps_its_alike_lines_and_ten_lose_theirs(spark):
+    alike = lambda k, n: "\n".join(f"The capital of place{chr(97 + i // 26)}{chr(97 + i % 26)} is town{k}" for i in range(n))
+    df = spark.createDataFrame([(0, alike("x", 50)), (1, "other words stand here")], "doc_id long, text string")
+    assert {x.n_dropped for x in lines.line_dedup(df).collect()} == {0}
+    df = spark.createDataFrame([(i, f"{chr(97 + i) * 3} {chr(98 + i) * 2} {chr(99 + i) * 4} {chr(97 + i) * 5}\nAll content on this site is free\nYes.") for i in range(10)], "doc_id long, text string")
+    assert [x.n_dropped for x in lines.line_dedup(df).orderBy("doc_id").collect()] == [0] + [2] * 9
+
+
+def test_a_long_passage_recurs_in_two_documents(spark):
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(51))
+    df = spark.createDataFrame([(3, f"one\n{passage}"), (4, f"two\n{passage}"), (5, f"three\n{passage[:60]}"), (6, f"four\n{passage[:60]}")], "doc_id long, text string")
+    assert [x.text for x in lines.line_dedup(df).orderBy("doc_id").collect()] == [f"one\n{passage}", "two", f"three\n{passage[:60]}", f"four\n{passage[:60]}"]
+
+
 def test_lines_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.line_dedup(df).count() == 0
