@@ -17,6 +17,8 @@ results; an empty table gives an empty table; clashing input columns give way to
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,6 +127,10 @@ TEXT_RULES = [
 GNU = {"GPL": ("general", ["1", "2", "3"]), "LGPL": ("lesser general", ["2 1", "3"]), "AGPL": ("affero general", ["3"])}
 
 
+#: Every known sentence, as written, holds one of these; a text without any is not cut at all.
+KEYS = ("license", "licence", "spdx", "permission", "permitted", "redistribut", "warrant", "software", "reserved", "unencumbered", "waived", "acknowledgement", "cc0", "cc ", "cc-", "commons", "gpl", "mpl", "cddl", "eupl", "under")
+
+
 def _tables() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
     """(sentences and their identifiers, rules): the fixed texts, and by rule what names and GNU notices give."""
     known, rules = {text: name for name, text in TEXTS.items()}, list(TEXT_RULES)
@@ -160,7 +166,7 @@ def _tables() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
         for n in own:
             for form in dict.fromkeys((n, n if n.endswith(("license", "licence")) else f"{n} license")):
                 known[f"under {form}"] = known[f"under {form} the license"] = name
-                if " " in form:  # as a title; a single word says too little
+                if " " in form and any(k in form for k in KEYS):  # as a title; a single word says too little
                     known[form] = known[f"the {form}"] = name
                 if later:
                     known[f"under {form} or later"] = known[f"under {form} or any later version"] = f"{name}-or-later"
@@ -213,9 +219,14 @@ def sentence_ids(text: Column) -> Column:
         cut = F.transform(F.filter(F.split(t, stop), lambda s: F.length(s) >= LEAST), plain)
         return F.array_compact(F.transform(cut, named))
 
-    lower = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), LEADER, "$1"), LABEL, "$1 ")
-    both = let(lower, lambda t: F.struct(found(t, STOP).alias("a"), found(t, LINE).alias("b")))
-    return let(both, lambda x: F.concat(x["a"], F.filter(x["b"], lambda i: ~F.array_contains(x["a"], i))))
+    def both(t: Column) -> Column:
+        return F.struct(found(t, STOP).alias("a"), found(t, LINE).alias("b"))
+
+    lower = F.lower(text)
+    bare = F.regexp_replace(F.regexp_replace(lower, LEADER, "$1"), LABEL, "$1 ")
+    ids = let(let(bare, both), lambda x: F.concat(x["a"], F.filter(x["b"], lambda i: ~F.array_contains(x["a"], i))))
+    some = reduce(or_, [lower.contains(k) for k in KEYS])
+    return F.when(some, ids).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -166,6 +166,10 @@ def test_published_texts(spark, text, want):
     assert licenses.scan_licenses(df).first().licenses == want
 
 
+def test_every_known_sentence_has_a_key():
+    assert [s for s in licenses.SENTENCES if not any(k in s for k in licenses.KEYS)] == []
+
+
 def test_licence_table_edge_cases(spark):
     rows = [(None, MIT, 1), (None, MIT, 1), (1, None, 1), (2, "", 1), (3, "nothing here", 1), (4, "Released under the MIT License. All rights reserved.", 1), (5, "x" * 10**6 + ". Released  under the\tMIT license", 1), (None, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, licenses int")
