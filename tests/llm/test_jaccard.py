@@ -49,10 +49,10 @@ def rows():
     return out + [(1000, None), (1001, ""), (1002, "a b"), (1003, "A\tB"), (1004, "a b c"), (1005, " ")]
 
 
-@pytest.mark.parametrize("n, percent, tile, pivots", [(4, 85, 128, 3), (4, 85, 12, 2), (3, 60, 25, 1)])
-def test_brute_force(spark, rows, n, percent, tile, pivots):
+@pytest.mark.parametrize("n, percent, tile", [(4, 85, 256), (4, 85, 12), (3, 60, 25)])
+def test_brute_force(spark, rows, n, percent, tile):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_join(df, n, percent, tile, pivots).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_join(df, n, percent, tile).collect()}
     assert got == brute(rows, n, percent)
 
 
@@ -76,7 +76,6 @@ def test_trie_is_brute_force():
         sets = [np.unique(r.integers(0, 40, r.integers(1, 30))).astype(np.uint64) for _ in range(r.integers(2, 25))]
         percent = int(r.choice([50, 70, 85, 100]))
         k = len(sets)
-        labels = [None] * k
 
         def components(links):
             root = list(range(k))
@@ -86,7 +85,7 @@ def test_trie_is_brute_force():
             return root
 
         want = [(i, j) for i in range(k) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)]
-        assert components(jaccard.trie_links(sets, percent, [True] * k, labels)) == components(want)
+        assert components(jaccard.connecting(jaccard.similar_pairs(sets, percent, [True] * k), k)) == components(want)
 
 
 def test_trie_finds_each_pair_once():
@@ -101,13 +100,13 @@ def test_trie_finds_each_pair_once():
             assert sorted(tuple(sorted(p)) for p in jaccard.similar_pairs(sets, percent, probes)) == sorted(p for p in want if probes[p[0]] != probes[p[1]])
 
 
-@pytest.mark.parametrize("tile, pivots", [(128, 3), (12, 2)])
-def test_every_link_is_counted(spark, rows, tile, pivots):
+@pytest.mark.parametrize("tile", [256, 12])
+def test_every_link_is_counted(spark, rows, tile):
     rows = [*rows, (2000, rows[0][1]), (2000, rows[0][1]), (None, rows[0][1])]
     sets = [grams(t, 4) for _, t in rows]
     like = lambda s, e: 100 * len(s & e) >= 85 * len(s | e)
     want = [(d, len(s), sum(bool(s) and like(s, e) for e in sets) - bool(s)) for (d, _), s in zip(rows, sets)]
-    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, tile, pivots)
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, tile)
     assert sorted(((x.doc_id, x.n_shingles, x.n_links) for x in got.collect()), key=repr) == sorted(want, key=repr)
 
 
@@ -116,3 +115,22 @@ def test_unlike_documents_of_null_or_equal_ids_all_stay(spark):
     rows = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("d"))]
     left = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
     assert sorted(((x.doc_id, x.text) for x in left), key=repr) == sorted(rows[:-1], key=repr)
+
+
+def test_a_block_of_20000_classes_is_dealt_in_bounded_groups(spark):
+    r = np.random.default_rng(4)
+    n = np.concatenate([r.integers(20, 2000, 14_000), np.full(6_000, 300), [10**6]])
+    df = spark.createDataFrame([(i, x, 1, 7, "") for i, x in enumerate(n.tolist())], "cls long, n long, copies long, block long, text string")
+    got = jaccard._tiles(df, 85, 256).toPandas()
+    weight = np.maximum(n, jaccard.UNIT)
+    per = got.assign(w=weight[got.cls.to_numpy()]).where(got.cls != len(n) - 1).groupby(["i", "j", "probe"]).w.sum()
+    assert per.max() < 2.5 * 256 * jaccard.UNIT  # a task's group, whatever the block's size
+    groups = got.groupby("cls").apply(lambda x: {(i, j): p for i, j, p in zip(x.i, x.j, x.probe)}, include_groups=False)
+    for a, b in r.integers(0, len(n), (4000, 2)):
+        if a != b and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b]):
+            assert sum(g[0] == g[1] or p != groups[b][g] for g, p in groups[a].items() if g in groups[b]) == 1
+
+
+def test_sparse_sets_are_not_walked():
+    sets = [np.arange(100 * i, 100 * i + 50, dtype=np.uint64) for i in range(400)] + [np.arange(49, dtype=np.uint64)]
+    assert jaccard.similar_pairs(sets, 85, [True] * 401) == [(0, 400)]
