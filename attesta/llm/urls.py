@@ -1,16 +1,18 @@
 """URL filters: rules first, then a ratio of two character language models.
 
 The models are smoothed variable-order Markov models of accepted and of rejected URLs: the chance of a character after
-its last k characters is that after its last k - 1, corrected by what was counted, for k up to ``order``.  Labels come from the rules and from
-words in the host that mark spam.  Counts cover every labelled URL but each fifth by hash, which is held out; on those the
+its last k characters is that after its last k - 1, corrected by what was counted, for k up to ``order``.  Labels are what the rules
+say, or a table of labelled URLs beside them.  Counts cover every labelled URL but each fifth by hash, which is held out; on those the
 threshold for the mean log-likelihood difference a character is calibrated.
 
-Counts live in ``slots`` hashed cells a model, a fixed size, so what tasks emit, the shuffle of a task, the driver's copy and the
-broadcast are bounded whatever the input.
+Each order counts in a table of its own, of ``slots`` hashed cells at most, for contexts and for contexts with a character: a fixed size, so
+what tasks emit, the shuffle of a task, the driver's copy and the broadcast are bounded whatever the input.  Contexts that
+share a cell are counted together; an order's table fills as the labelled URLs' different contexts near ``slots``.
 
 Edge cases: a null url, or one without "://", has an empty host and path and no rule, and its characters are those of an empty text: it
 scores 0 and is allowed unless the threshold is positive; null ids pass through; repeated rows get equal results; an empty table
-gives an empty table; with labels of one class only, URLs without a rule get that class's verdict; other columns are not read.
+gives an empty table; with labels of one class only, URLs without a rule get that class's verdict, and without any label they are allowed;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,17 +29,25 @@ from .common import utf8
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (verdict, host, path), tried from the longest to the shortest.
 RULES = (("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "net", "/"))
-SPAM_WORDS = ("spam", "pills", "casino")
 
 
 @dataclass(frozen=True)
 class UrlParams:
     order: int = 5
-    slots: int = 1 << 16
+    #: cells of an order's table; low orders need fewer
+    slots: int = 1 << 20
     strength: float = 4.0
     held_out: int = 5
     bins: int = 400
 
+    def layout(self) -> list[tuple[int, int]]:
+        """(first cell, number of cells) of each order's table."""
+        sizes = [min(self.slots, 256 ** (k + 1)) for k in range(self.order + 1)]
+        return [(sum(sizes[:k]), n) for k, n in enumerate(sizes)]
+
+    def cells(self) -> int:
+        return sum(n for _, n in self.layout())
+
 
 def host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), ALPHABET, ALPHABET.lower())
@@ -60,22 +70,21 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("by_rule", F.coalesce(*[F.when(F.col("rule") == k, F.lit(v)) for k, v in verdict.items()]))
 
 
-def contexts(texts, order: int, slots: int):
-    """(text, k) cells: for each character its text and, by order k, the cells of its context and of the context with it."""
+def contexts(texts, params: UrlParams):
+    """(text, number of texts, contexts, contexts with it): for each character its text and, by order, the cells of its context and of the context with it."""
     data, starts = utf8(texts)
-    n = np.diff(starts)
+    order, n = params.order, np.diff(starts)
     text = np.repeat(np.arange(len(n)), n)
     padded = np.ones(len(data) + order * len(n), np.uint64)  # 1 stands before a text
     place = np.arange(len(data)) + order * (text + 1)
     padded[place] = data
-    size = np.uint64(slots)
     context, with_it = [], []
     h = np.zeros(len(data), np.uint64)
-    for k in range(order + 1):
+    for k, (first, size) in enumerate(params.layout()):
         if k:
             h = mix(h * np.uint64(257) + padded[place - k] + np.uint64(1))
-        context.append((mix(h + np.uint64(k)) % size).astype(np.int64))
-        with_it.append((mix(h * np.uint64(31) + padded[place] + np.uint64(1000 + k)) % size).astype(np.int64))
+        context.append(first + (mix(h + np.uint64(k)) % np.uint64(size)).astype(np.int64))
+        with_it.append(first + (mix(h * np.uint64(31) + padded[place] + np.uint64(1000 + k)) % np.uint64(size)).astype(np.int64))
     return text, len(n), context, with_it
 
 
@@ -87,35 +96,34 @@ def log_chances(context, with_it, seen: np.ndarray, after: np.ndarray, strength:
     return np.log(p)
 
 
-def fit(df: DataFrame, params: UrlParams = UrlParams(), spam: tuple[str, ...] = SPAM_WORDS):
-    """(tables, threshold) from ``parsed`` rows; tables[c, 0] counts contexts, tables[c, 1] contexts with a character, c 1 for accepted."""
-    bad = F.lit(False)
-    for w in spam:
-        bad = bad | F.col("host").contains(w)
-    labelled = df.where(F.col("host") != "").withColumn("label", F.when(F.col("by_rule") == "allow", 1).when((F.col("by_rule") == "block") | bad, 0)).where("label is not null")
-    labelled = labelled.select(F.lower("url").alias("url"), F.col("label").cast("int").alias("label"), (F.pmod(F.xxhash64("url"), F.lit(params.held_out)) == 0).alias("held"))
-    cells = params.slots
+def fit(df: DataFrame, params: UrlParams = UrlParams(), labels: DataFrame | None = None):
+    """(tables, threshold) from ``parsed`` rows and ``labels`` (url, accepted boolean); tables[c, 0] counts contexts, tables[c, 1] contexts with a character, c 1 for accepted."""
+    labelled = df.where((F.col("host") != "") & F.col("by_rule").isNotNull()).select("url", (F.col("by_rule") == "allow").cast("int").alias("label"))
+    if labels is not None:
+        labelled = labelled.unionByName(labels.where("url is not null and accepted is not null").select(F.col("url").cast("string").alias("url"), F.col("accepted").cast("int").alias("label")))
+    labelled = labelled.select(F.lower("url").alias("url"), "label", (F.pmod(F.xxhash64("url"), F.lit(params.held_out)) == 0).alias("held"))
+    cells = params.cells()
 
     def count(batches):
         import pyarrow as pa
 
         total = np.zeros((2, 2, cells), np.int64)
         for batch in batches:
-            text, _, context, with_it = contexts(batch.column("url"), params.order, cells)
+            text, _, context, with_it = contexts(batch.column("url"), params)
             label = batch.column("label").to_numpy()[text]
             for c in (0, 1):
                 for kind, all_ in ((0, context), (1, with_it)):
                     for x in all_:
-                        total[c, kind] += np.bincount(x[label == c], minlength=cells)
+                        cell, n = np.unique(x[label == c], return_counts=True)
+                        total[c, kind, cell] += n
         flat = total.ravel()
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(some), "n": pa.array(flat[some])})
 
-    rows = labelled.where("not held").select("url", "label").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    tables = np.zeros(4 * cells)
-    tables[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    tables = tables.reshape(2, 2, cells)
-    shared = df.sparkSession.sparkContext.broadcast(tables.astype(np.float32))  # 4 * slots numbers
+    rows = labelled.where("not held").select("url", "label").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    tables = np.zeros(4 * cells, np.int64)
+    tables[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(tables.reshape(2, 2, cells))  # 4 * cells numbers
     held = labelled.where("held").withColumn("score", scorer(shared, params)("url"))
     edge = F.least(F.greatest(F.floor(F.col("score") * params.bins / 4), F.lit(-params.bins)), F.lit(params.bins - 1))
     hist = held.groupBy("label", edge.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -140,18 +148,18 @@ def scorer(shared, params: UrlParams):
     def score(urls):
         import pyarrow as pa
 
-        tables = shared.value.astype(np.float64)
-        text, n, context, with_it = contexts(urls, params.order, params.slots)
+        tables = shared.value
+        text, n, context, with_it = contexts(urls, params)
         diff = log_chances(context, with_it, tables[1, 0], tables[1, 1], params.strength) - log_chances(context, with_it, tables[0, 0], tables[0, 1], params.strength)
         return pa.array(np.bincount(text, diff, minlength=n) / np.maximum(np.bincount(text, minlength=n), 1))
 
     return score
 
 
-def filter_urls(pages: DataFrame, params: UrlParams = UrlParams(), rules=RULES) -> DataFrame:
-    """page_id, url, host, path, rule, score and verdict of each page."""
+def filter_urls(pages: DataFrame, params: UrlParams = UrlParams(), rules=RULES, labels: DataFrame | None = None) -> DataFrame:
+    """page_id, url, host, path, rule, score and verdict of each page; ``labels`` (url, accepted) adds to what the rules say."""
     df = parsed(pages, rules)
-    shared, threshold = fit(df, params)
+    shared, threshold = fit(df, params, labels)
     text = F.when(F.col("host") != "", F.lower("url")).otherwise("")
     df = df.withColumn("score", F.round(scorer(shared, params)(text), 9))
     by_model = F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block")

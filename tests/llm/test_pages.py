@@ -1,9 +1,12 @@
+import math
 import random
 import re
 import time
+from collections import Counter
 from html import unescape
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm import html, licenses, urls
 
@@ -215,14 +218,69 @@ def test_chances_sum_to_one():
     import numpy as np
     import pyarrow as pa
 
-    p = urls.UrlParams(order=2, slots=1 << 20)
-    seen, after = np.zeros(p.slots), np.zeros(p.slots)
-    _, _, context, with_it = urls.contexts(pa.array(["abcabd", "abd"]), p.order, p.slots)
+    p = urls.UrlParams(order=2)
+    seen, after = np.zeros(p.cells()), np.zeros(p.cells())
+    _, _, context, with_it = urls.contexts(pa.array(["abcabd", "abd"]), p)
     for c, w in zip(context, with_it):
         np.add.at(seen, c, 1)
         np.add.at(after, w, 1)
     every = pa.array(["ab" + chr(c) for c in range(128)])
-    _, _, context, with_it = urls.contexts(every, p.order, p.slots)
+    _, _, context, with_it = urls.contexts(every, p)
     last = np.arange(2, 3 * 128, 3)
     total = np.exp(urls.log_chances([c[last] for c in context], [w[last] for w in with_it], seen, after, p.strength)).sum()
     assert 0.9 < total < 1.1
+
+
+def test_url_scores_are_brute_force(spark):
+    """Counts in dictionaries, chances by the docstring's recursion, the threshold by trying every edge."""
+    r = random.Random(21)
+    name = lambda a: "".join(r.choice(a) for _ in range(r.randint(3, 9)))
+    rows = [(i, f"http://{name('abcde')}.org/fr/{name('abxy')}") for i in range(80)] + [(100 + i, f"http://{name('cdxyz')}.net/{name('abxy')}") for i in range(70)] + [(300 + i, f"https://{name('abcxyz')}.io/É{name('abxy')}") for i in range(30)]
+    rows += [(None, rows[0][1]), (5, rows[5][1]), (900, None), (901, "none")]
+    df = spark.createDataFrame([(*x, "u") for x in rows], "page_id long, url string, host string")
+    p = urls.UrlParams(order=3)
+    got = urls.filter_urls(df, p).select("page_id", "url", "host", "rule", "score", "verdict", (F.pmod(F.xxhash64(F.col("url")), F.lit(5)) == 0).alias("held")).collect()
+    label = lambda x: {"org/fr/": 1, "net/": 0}.get(x.rule)
+    seen, after = ([Counter(), Counter()] for _ in range(2))
+
+    def steps(url):
+        b = url.lower().encode()
+        for i in range(len(b)):
+            yield b[i], [tuple(b[j] if j >= 0 else 1 for j in range(i - k, i)) for k in range(4)]
+
+    for x in got:
+        if label(x) is not None and not x.held:
+            for c, contexts in steps(x.url):
+                for ctx in contexts:
+                    seen[label(x)][ctx] += 1
+                    after[label(x)][ctx, c] += 1
+
+    def score(url):
+        total, n = 0.0, 0
+        for c, contexts in steps(url):
+            both = []
+            for k in (1, 0):
+                chance = 1 / 256
+                for ctx in contexts:
+                    chance = (after[k][ctx, c] + p.strength * chance) / (seen[k][ctx] + p.strength)
+                both.append(math.log(chance))
+            total, n = total + both[0] - both[1], n + 1
+        return total / n if n else 0.0
+
+    assert len(got) == len(rows)
+    for x in got:
+        assert math.isclose(x.score, score(x.url) if x.host else 0.0, abs_tol=1e-6)
+    held = [(label(x), math.floor(x.score * 100)) for x in got if label(x) is not None and x.held]
+    balanced = lambda e: sum(b >= e for k, b in held if k == 1) / sum(k == 1 for k, _ in held) + sum(b < e for k, b in held if k == 0) / sum(k == 0 for k, _ in held)
+    best = max(sorted({b for _, b in held} | {b + 1 for _, b in held}), key=lambda e: (round(balanced(e), 9), -e))
+    for x in got:
+        assert x.verdict == ({1: "allow", 0: "block"}[label(x)] if label(x) is not None else "allow" if x.score >= best / 100 else "block")
+
+
+def test_url_labels_beside_the_rules(spark):
+    pages = spark.createDataFrame([(i, f"http://good{i}.io/page") for i in range(40)] + [(100 + i, f"http://zzq{i}.io/xxw") for i in range(40)], "page_id long, url string")
+    labels = spark.createDataFrame([(f"http://good{i}.io/page", True) for i in range(200, 260)] + [(f"http://zzq{i}.io/xxw", False) for i in range(200, 260)] + [(None, True), ("http://x", None)], "url string, accepted boolean")
+    assert {x.verdict for x in urls.filter_urls(pages).collect()} == {"allow"}  # no label at all
+    got = {x.page_id: x.verdict for x in urls.filter_urls(pages, labels=labels).collect()}
+    assert all(got[i] == "allow" and got[100 + i] == "block" for i in range(40))
+    assert {x.verdict for x in urls.filter_urls(pages, labels=labels.where("not accepted")).collect()} == {"block"}
