@@ -66,12 +66,36 @@ def test_hilbert_curve_visits_neighbours():
         assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1) == 1).all()
 
 
-def test_like_documents_are_neighbours():
+def test_a_text_and_its_repetition_stand_together():
     import pyarrow as pa
 
-    a, b = "the quick brown fox jumps over it " * 30, "0192 8374 6574 8392 1023 " * 40
-    k = packing.curve_keys(pa.array([a, b, a + "again", None]))
-    assert abs(int(k[0]) - int(k[2])) < abs(int(k[0]) - int(k[1]))
+    s = "the same sentence stands here again and again "
+    p = packing.projections(pa.array([s * k for k in (1, 10, 100, 1000, 30_000)] + ["other words are in this one", "", None]))
+    assert np.abs(p[1:5] - p[0]).max() < 0.1 and np.abs(p[5] - p[0]).max() > 0.1 and not p[6:].any()
+
+
+def test_tasks_get_equal_shares():
+    sizes = np.array([5, 0, 5, 400, 5, 5, 30, 30, 15, 5])
+    first, number = packing.shares(sizes, 10)
+    load = np.zeros(10)
+    for f, n, s in zip(first, number, sizes):
+        load[f : f + n] += s / n
+    assert (np.diff(first) >= 0).all() and load.max() <= 2 * sizes.sum() / 10 and load.sum() == sizes.sum()
+    assert (packing.shares(np.zeros(4, np.int64), 3)[0] == 0).all()
+
+
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Over a real table, documents that follow each other share more trigrams than any two do."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    text = {x.doc_id: x.text or "" for x in rows}
+    df = spark.createDataFrame([(d, t) for d, t in text.items()], "doc_id long, text string")
+    order = [x.doc_id for x in sorted(packing.pack(df).where("start = 0").collect(), key=lambda x: (x.sequence_id, x.offset))]
+    grams = {d: {t[i : i + 3] for i in range(len(t) - 2)} for d, t in text.items()}
+    like = lambda a, b: len(grams[a] & grams[b]) / max(1, len(grams[a] | grams[b]))
+    r = random.Random(5)
+    near = np.mean([like(a, b) for a, b in zip(order, order[1:])])
+    far = np.mean([like(*r.sample(order, 2)) for _ in range(2000)])
+    assert near > 1.3 * far, (near, far)
 
 
 def test_token_files_round_trip(spark, docs, plain, tmp_path):
