@@ -10,6 +10,8 @@ A task packs segments into shards of ``SHARD_BYTES`` at most, builds the suffix
 common prefixes of neighbours by Kasai's method, stepping through all segments side by side.  A window is repeated where it shares
 ``length`` bytes with a neighbour or its segment came more than once.  When a group of one anchor is larger than a shard's rest, its
 segments go to two shards, and the two are merged by binary search of one's windows among the other's suffixes.
+A text that repeats itself, such as a line of dashes, has an anchor at each of its bytes or periods; its equal segments travel once too,
+with all their places.
 An anchor with more than ``crowd`` different segments would be too much for one task.  Its segments are cut into parts of up to
 ``PART`` windows by their distance to the anchor, and a part is dealt by the hash of the bytes that all windows at these distances
 share, to shards again.  If more than ``crowd`` parts still meet, their windows are dealt by their own 128-bit hash and counted.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import _BYTE, batches_of_texts, mix
-from .common import utf8, written
+from .common import discard, owned, utf8, written
 
 BATCH_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
@@ -207,7 +209,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _segment_rows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(fp, sh, k, first, off, seg) of the anchors ``found`` (k, a: array of fp, first, n, off)."""
+    """(fp, sh, k, first, off, seg) of the anchors ``found`` (k, a: array of fp, first, n, off); first: the places of equal segments of a text."""
 
     def work(batches):
         import pyarrow as pa
@@ -217,11 +219,13 @@ def _segment_rows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 part = batch.slice(row, 64)
                 out = []
                 for k, text, a in zip(part.column("k").to_pylist(), part.column("text").to_pylist(), part.column("a").to_pylist()):
-                    raw = text.encode()
-                    out += [(x["fp"], k, x["first"], x["off"], raw[x["first"] : x["first"] + x["n"] + length - 1]) for x in a]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.binary())], names=["fp", "k", "first", "off", "seg"])
+                    raw, own = text.encode(), {}
+                    for x in a:
+                        own.setdefault((x["fp"], x["off"], raw[x["first"] : x["first"] + x["n"] + length - 1]), []).append(x["first"])
+                    out += [(fp, k, places, off, seg) for (fp, off, seg), places in own.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32())), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.binary())], names=["fp", "k", "first", "off", "seg"])
 
-    rows = docs.select("k", "text").dropDuplicates(["k"]).join(found, "k").mapInArrow(work, "fp long, k long, first int, off int, seg binary")
+    rows = docs.select("k", "text").dropDuplicates(["k"]).join(found, "k").mapInArrow(work, "fp long, k long, first array<int>, off int, seg binary")
     return rows.withColumn("sh", F.xxhash64("seg"))
 
 
@@ -295,7 +299,8 @@ def _parts(segments: DataFrame, length: int) -> DataFrame:
 
 def _decide(distinct: DataFrame, length: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """(hits, crowded): runs of repeated windows (fp, sh, w), and the anchors of too many segments (fp, sh, seg, times) to tell."""
-    others = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max("times").alias("times"))
+    # written, so that the joins split a hot anchor's rows
+    others = written(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max("times").alias("times")), "anchor-counts")
     # an anchor of one segment has no other to compare: if that came more than once, so did each of its windows
     alone = distinct.join(others.where("c = 1 and times > 1").select("fp"), "fp", "left_semi")
     hits = alone.select("fp", "sh", F.array(F.struct(F.lit(0).alias("a"), (F.length("seg") - length).alias("b"))).cast(WINDOWS).alias("w"))
@@ -304,17 +309,18 @@ def _decide(distinct: DataFrame, length: int, crowd: int) -> tuple[DataFrame, Da
     return hits, written(others.where(F.col("c") > crowd).select("fp"), "crowded")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
-    keyed = _keyed(docs)
+def _spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
+    """(k, w): the repeated windows' spans of each document that has some, sorted."""
     rows = written(_anchor_rows(keyed, length, gram), "anchors")
-    often = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("fp")
+    # written, so that the join splits a hot anchor's rows
+    often = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("fp"), "often")
     # of repeated rows one is followed, with the number of them
     copies = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     found = rows.join(often, "fp").groupBy("k").agg(F.collect_set(F.struct("fp", "first", "n", "off")).alias("a"))
     segments = written(_segment_rows(keyed, found, length), "segments")
-    counted = segments.join(copies, "k", "left").groupBy("fp", "sh").agg(F.first("seg").alias("seg"), F.first("off").alias("off"), F.sum(F.coalesce("rows", F.lit(1))).alias("times"))
+    counted = segments.join(copies, "k", "left").groupBy("fp", "sh").agg(F.first("seg").alias("seg"), F.first("off").alias("off"), F.sum(F.size("first") * F.coalesce("rows", F.lit(1))).alias("times"))
     distinct = written(counted, "distinct")
+    discard(rows, often)
     hits, crowded = _decide(distinct, length, crowd)
     if crowded.limit(1).count():
         parts = written(_parts(distinct.join(crowded, "fp"), length), "parts")
@@ -326,8 +332,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: in
         back = parts.select("fp", "sh", "lo", "part_fp", "part_sh").join(found.toDF("part_fp", "part_sh", "w"), ["part_fp", "part_sh"])
         hits = hits.unionAll(back.select("fp", "sh", F.transform("w", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b"))).cast(WINDOWS).alias("w")))
     spans = segments.select("fp", "sh", "k", "first").join(hits, ["fp", "sh"])
-    spans = spans.select("k", F.transform("w", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"] + length).alias("b"))).alias("w"))
-    spans = spans.groupBy("k").agg(F.sort_array(F.flatten(F.collect_list("w"))).alias("w"))
+    at = lambda first: F.transform("w", lambda x: F.struct((first + x["a"]).alias("a"), (first + x["b"] + length).alias("b")))
+    spans = spans.select("k", F.flatten(F.transform("first", at)).alias("w"))
+    return spans.groupBy("k").agg(F.sort_array(F.flatten(F.collect_list("w"))).alias("w"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1024) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
+    keyed = _keyed(docs)
+    with owned(docs.sparkSession):
+        spans = written(_spans(keyed, length, gram, crowd), "spans", own=False)
 
     def work(batches):
         import pyarrow as pa

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm import substrings as S
 
@@ -84,3 +85,13 @@ def test_segments_that_share_more_than_256_bytes():
         count = Counter(s[i : i + 200] for s in segs for i in range(len(s) - 199))
         flags, _ = S.repeated_in_shard(segs, [False] * len(segs), 200)
         assert [f.tolist() for f in flags] == [[count[s[i : i + 200]] > 1 for i in range(len(s) - 199)] for s in segs]
+
+
+def test_a_periodic_text_makes_few_segments(spark):
+    rows = [(1, "-" * 30_000), (2, "ab" * 5_000 + "end"), (3, "x" + "-" * 250), (4, "abc" * 70 + "no"), (5, "ab" * 110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in S.remove_repeats(df).collect()), key=repr)
+    assert got == brute(rows)
+    keyed = S._keyed(df)
+    anchors = S._anchor_rows(keyed, 200, 64).groupBy("k").agg(F.collect_set(F.struct("fp", "first", "n", "off")).alias("a"))
+    assert S._segment_rows(keyed, anchors, 200).agg(F.sum(F.length("seg"))).first()[0] < 10 * sum(len(t) for _, t in rows) / 100
