@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewise import SPACED, batches_of_texts, mix, words
-from .common import connected_components, discard, free_name, row_key, utf8, written
+from .common import connected_components, discard, free_name, owned, row_key, utf8, written
 
 SHARD_BYTES = 4 << 20
 MULT = np.uint64(0xD6E8FEB86659FD93)
@@ -263,14 +263,15 @@ def _blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
     prefixes = _prefixes(docs, n, percent).groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     prefixes = written(prefixes, "prefixes")
     grams = prefixes.select("cls", "n", F.explode("prefix").alias("t"))
-    counts = grams.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+    # written, so that the join splits a hot n-gram's rows
+    counts = written(grams.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c >= 2"), "counts")
     shared = grams.join(counts, "t").groupBy("cls").agg(F.first("n").alias("n"), F.collect_list(F.struct("c", "t")).alias("s"))
     shared = shared.where(F.size("s") >= bound(F.col("n"))).select("cls", F.explode(F.slice(F.sort_array("s"), 1, (F.size("s") - bound(F.col("n")) + 1).cast("int"))).alias("s"))
     rare = written(shared.select("cls", F.col("s.t").alias("t")), "rare")
-    discard(prefixes)
-    hubs = rare.groupBy("t").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("c")).where("c >= 2")
+    discard(prefixes, counts)
+    hubs = written(rare.groupBy("t").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("c")).where("c >= 2").select("t", "hub"), "hubs")
     out = connected_components(rare.join(hubs, "t").select("cls", "hub"), "cls", "hub")
-    discard(rare)
+    discard(rare, hubs)
     return out
 
 
@@ -342,6 +343,11 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, tile: int = 256
     ``component`` tells components apart (null for an empty set); components whose members have null or repeated ids may share a ``component_id``.
     ``tile`` is how many classes of up to ``UNIT`` n-grams a tile holds.
     """
+    with owned(docs.sparkSession):
+        return written(_joined(docs, n, percent, tile), "joined", own=False)
+
+
+def _joined(docs: DataFrame, n: int, percent: int, tile: int) -> DataFrame:
     docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(_signatures(docs, n), "sets")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.col("n_shingles")).alias("n"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
