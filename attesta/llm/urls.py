@@ -6,8 +6,8 @@ say, or a table of labelled URLs beside them.  Counts cover every labelled URL b
 threshold for the mean log-likelihood difference a character is calibrated.
 
 Each order counts in a table of its own, of ``slots`` hashed cells at most, for contexts and for contexts with a character: a fixed size, so
-what tasks emit, the shuffle of a task, the driver's copy and the broadcast are bounded whatever the input.  Contexts that
-share a cell are counted together; an order's table fills as the labelled URLs' different contexts near ``slots``.
+what tasks emit, the shuffle of a task, the driver's copy and the broadcast are bounded whatever the input.  Orders of up to two characters have
+a cell for each string; longer contexts that share a cell are counted together, and an order's table fills as the labelled URLs' different contexts near ``slots``.
 
 Edge cases: a null url, or one without "://", has an empty host and path and no rule, and its characters are those of an empty text: it
 scores 0 and is allowed unless the threshold is positive; null ids pass through; repeated rows get equal results; an empty table
@@ -79,12 +79,17 @@ def contexts(texts, params: UrlParams):
     place = np.arange(len(data)) + order * (text + 1)
     padded[place] = data
     context, with_it = [], []
-    h = np.zeros(len(data), np.uint64)
+    h = exact = np.zeros(len(data), np.uint64)
     for k, (first, size) in enumerate(params.layout()):
         if k:
-            h = mix(h * np.uint64(257) + padded[place - k] + np.uint64(1))
-        context.append(first + (mix(h + np.uint64(k)) % np.uint64(size)).astype(np.int64))
-        with_it.append(first + (mix(h * np.uint64(31) + padded[place] + np.uint64(1000 + k)) % np.uint64(size)).astype(np.int64))
+            before = padded[place - k]
+            h, exact = mix(h * np.uint64(257) + before + np.uint64(1)), exact + (before << np.uint64(8 * k))
+        if size == 256 ** (k + 1):  # a cell for each string
+            context.append(first + (exact >> np.uint64(8)).astype(np.int64))
+            with_it.append(first + (exact + padded[place]).astype(np.int64))
+        else:
+            context.append(first + (mix(h + np.uint64(k)) % np.uint64(size)).astype(np.int64))
+            with_it.append(first + (mix(h * np.uint64(31) + padded[place] + np.uint64(1000 + k)) % np.uint64(size)).astype(np.int64))
     return text, len(n), context, with_it
 
 
