@@ -21,23 +21,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, replaced
+from .common import WS, free_name, let, replaced
 
 SYMBOLS = r"[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    """``max_labelled`` bounds the labelled rows that fit the target model and the threshold; the raw counts cover all documents."""
+    """``max_labelled`` bounds the labelled rows of each class that fit the target model and the threshold; the raw counts cover all documents."""
 
-    buckets: int = 1 << 14
+    #: over 0.1 GB of labelled documents, 2**14 keep 3 of 1,370 low-quality ones and all but 1 of 2,112 toxic ones, 2**16 none and 1,999, 2**18 none and 1,979
+    buckets: int = 1 << 16
     smoothing: float = 1.0
     max_labelled: int = 20_000
     #: each so many-th of them by hash is held out from the target model, and sets the threshold
     held_out: int = 5
     #: share of the held-out trusted documents that the threshold may reject at most
     reject_share: float = 0.001
-    #: how far under that share's score the threshold lies
+    #: how far under that share's score the threshold lies, unless some held-out rejected document lies between
     margin: float = 0.02
     #: added to a document's number of n-grams, so that a short one needs more evidence
     prior_length: int = 50
@@ -65,34 +66,52 @@ def covered_words(hashes: Column, window: int) -> Column:
     return let(let(F.sort_array(placed), spread), total)
 
 
-def measured(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and the word array ``__words``."""
-    text, k = F.coalesce(F.col("text"), F.lit("")), params.window
-    parts = F.split(text, WS)
-    df = replaced(docs, {"__parts": parts})
-    df = replaced(df, {"__words": F.array_remove("__parts", ""), "word_chars": (F.length(text) - F.size("__parts") + 1).cast("long")}).drop("__parts")
-    df = df.withColumn("__wh", F.transform("__words", lambda w: F.xxhash64(w)))
-    shifted = F.arrays_zip("__wh", *[F.slice("__wh", j + 1, F.greatest(F.size("__wh"), F.lit(1))).alias(f"w{j}") for j in range(1, k)])
-    df = df.withColumn("__win", F.transform(F.slice(shifted, 1, F.greatest(F.size("__wh") - (k - 1), F.lit(0))), lambda z: F.xxhash64(z)))
+def hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def counts(text: Column, params: QualityParams, score=None) -> Column:
+    """A struct of the base counts and ``base_failed``; with ``score``, of words and their hashes, also its ``llr`` for texts that don't fail.
+
+    One expression in which each step is computed once, so that a filter on it costs no more than its value.
+    """
+    k = params.window
+
+    def windows(h: Column) -> Column:
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
+
+    def repeated(win: Column) -> Column:
+        return F.when(F.size(F.array_distinct(win)) < F.size(win), covered_words(win, k)).otherwise(0)
+
+    def of_words(parts: Column, w: Column, h: Column) -> Column:
+        base = {"n_words": F.size(w), "word_chars": F.length(text) - F.size(parts) + 1, "n_repeat_words": let(windows(h), repeated)}
+        base |= {"n_symbols": F.size(F.split(text, SYMBOLS)) - 1, "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))}
+
+        def judged(b: Column) -> Column:
+            failed = (b["n_words"] < params.min_words) | (100 * b["n_repeat_words"] > params.max_repeat_percent * b["n_words"])
+            out = [b[c].alias(c) for c in base] + [failed.alias("base_failed")]
+            return F.struct(*out, *([F.when(~failed, score(w, h)).alias("llr")] if score else []))
+
+        return let(F.struct(*[v.cast("long").alias(c) for c, v in base.items()]), judged)
+
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = replaced(
-        df,
-        {
-            "n_words": F.size("__words").cast("long"),
-            "n_symbols": (F.size(F.split(text, SYMBOLS)) - 1).cast("long"),
-            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct("__win")) < F.size("__win"), covered_words(F.col("__win"), k)).otherwise(0).cast("long"),
-        },
-    )
-    failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))
-    return replaced(df, {"base_failed": failed}).drop("__wh", "__win")
-
-
-def ngram_buckets(w: Column, params: QualityParams) -> Column:
-    """The hash bucket of each word and of each pair of neighbouring words."""
+    return let(F.split(text, WS), lambda parts: let(F.array_remove(parts, ""), lambda w: let(hashes(w), lambda h: of_words(parts, w, h))))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def measured(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """``docs`` with the base counts and ``base_failed``."""
+    found, name = counts(F.coalesce(F.col("text"), F.lit("")), params), free_name(docs, "counts")
+    return replaced(docs.withColumn(name, found), {c: F.col(name)[c] for c in COUNTS}).drop(name)
+
+
+def ngram_buckets(w: Column, h: Column, params: QualityParams) -> Column:
+    """The hash bucket of each word, whatever its case, and of each pair of neighbouring words."""
     n = F.lit(params.buckets)
     ones = F.transform(w, lambda x: F.pmod(F.xxhash64(F.lower(x)), n).cast("int"))
-    twos = F.transform(F.slice(F.arrays_zip(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("next")), 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda z: F.pmod(F.xxhash64(z), n).cast("int"))
+    twos = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i + 1)), n).cast("int"))
     return F.concat(ones, twos)
 
 
@@ -102,28 +121,30 @@ class QualityModel:
     threshold: float
 
 
-def labelled_ids(labels: DataFrame, params: QualityParams) -> DataFrame:
-    """At most ``max_labelled`` trusted ids (quality 1, not toxic): those of the smallest hash."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~F.coalesce(F.col("toxic") == 1, F.lit(False)))
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_labelled)
+def labelled_ids(labels: DataFrame, params: QualityParams, trusted: bool = True) -> DataFrame:
+    """At most ``max_labelled`` trusted ids (quality 1, not toxic), or rejected ones (quality 0 or toxic): those of the smallest hash."""
+    good = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return labels.where((good if trusted else bad) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_labelled)
 
 
-def score(w: Column, model: QualityModel, params: QualityParams) -> Column:
+def score(w: Column, h: Column, model: QualityModel, params: QualityParams) -> Column:
     """Log-likelihood ratio by length: the n-grams' sum over their number and ``prior_length``; null without any."""
     table = F.split(F.lit(",".join(f"{x:.5g}" for x in model.weights)), ",").cast("array<double>")
-    return let(ngram_buckets(w, params), lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, x)) / (F.size(b) + params.prior_length)))
+    return let(ngram_buckets(w, h, params), lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, x)) / (F.size(b) + params.prior_length)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
     """Counts every document's n-grams once; what reaches the driver has ``buckets`` rows."""
-    # at most max_labelled ids of eight bytes: a proven bound for the broadcast
+    # at most max_labelled ids of eight bytes: a proven bound for the broadcasts
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(params.held_out)) == 0
-    trusted = F.broadcast(labelled_ids(labels, params).withColumn("__t", F.when(held, 0).otherwise(1)))
+    known = labelled_ids(labels, params)
+    trusted = F.broadcast(known.withColumn("__t", F.when(held, 0).otherwise(1)))
     plain = docs.select("doc_id", words(F.col("text")).alias("w"))
-    grams = plain.join(trusted, "doc_id", "left").select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(ngram_buckets(F.col("w"), params)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()
+    grams = plain.join(trusted, "doc_id", "left").select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(let(F.col("w"), lambda w: let(hashes(w), lambda h: ngram_buckets(w, h, params)))).alias("b"))
+    rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()
     raw, target = [0] * params.buckets, [0] * params.buckets
-    for r in counts:
+    for r in rows:
         raw[r.b], target[r.b] = r.raw, r.target
     a, n = params.smoothing, params.buckets
     r_all, t_all = sum(raw) + a * n, sum(target) + a * n
@@ -131,17 +152,26 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     model = QualityModel(weights, float("-inf"))
     if not sum(target):
         return model
-    # the threshold: a low percentile of the scores of trusted documents that the target model hasn't seen, less a margin
-    scores = plain.where(F.size("w") >= params.min_words).join(trusted.where("__t = 0"), "doc_id", "left_semi").select(score(F.col("w"), model, params).alias("s"))
-    low = scores.agg(F.percentile("s", F.lit(params.reject_share)).alias("p")).first().p
-    return QualityModel(weights, float("-inf") if low is None else low - params.margin)
+    # the threshold: a low percentile of the scores of trusted documents that the target model hasn't seen, less a margin if that loses no rejected one
+    bad = labelled_ids(labels, params, trusted=False)
+    asked = F.broadcast(known.where(held).withColumn("good", F.lit(True)).unionByName(bad.where(held).withColumn("good", F.lit(False))))
+    whole = let(words(F.col("text")), lambda w: F.when(F.size(w) >= params.min_words, let(hashes(w), lambda h: score(w, h, model, params))))
+    found = docs.select("doc_id", "text").join(asked, "doc_id").select("good", whole.alias("s")).where("s is not null")
+    # a number for each held-out id, and for its repeated rows
+    low = found.where("good").agg(F.percentile("s", F.lit(params.reject_share)).alias("p")).first().p
+    if low is None:
+        return model
+    between = found.where(~F.col("good") & (F.col("s") < F.lit(low)) & (F.col("s") >= F.lit(low - params.margin))).limit(1).count()
+    return QualityModel(weights, low if between else low - params.margin)
 
 
 def judge(docs: DataFrame, model: QualityModel, params: QualityParams = QualityParams()) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``llr`` and ``kept``."""
-    df = measured(docs, params)
-    df = replaced(df, {"llr": F.when(~F.col("base_failed"), score(F.col("__words"), model, params))}).drop("__words")
-    return replaced(df, {"kept": ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.lit(model.threshold), F.lit(True))})
+    found = counts(F.coalesce(F.col("text"), F.lit("")), params, lambda w, h: score(w, h, model, params))
+    name = free_name(docs, "counts")
+    q = F.col(name)
+    kept = ~q["base_failed"] & F.coalesce(q["llr"] >= F.lit(model.threshold), F.lit(True))
+    return replaced(docs.withColumn(name, found), {**{c: q[c] for c in COUNTS}, "llr": q["llr"], "kept": kept}).drop(name)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:

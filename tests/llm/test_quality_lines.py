@@ -1,8 +1,10 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm import lines, quality
 
@@ -52,6 +54,39 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert all(got[i] for i in range(len(good))) and not any(got[i] for i in range(len(good), len(good) + len(bad)))
 
 
+def test_verdicts_are_brute_force(spark):
+    """The model from counters over Spark's own bucket numbers, the score by the docstring's formula."""
+    good, bad = corpus(60)
+    texts = good + bad + [None, "", "few words"] + [g + " odd thing" for g in good[:9]]
+    p = quality.QualityParams(buckets=512, held_out=3)
+    docs = frame(spark, texts)
+    rows = [(i, 1, 0) for i in range(0, 60, 2)] + [(1, 0, 0), (3, 1, 1), (len(good), 0, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    of = lambda w: quality.let(w, lambda x: quality.let(quality.hashes(x), lambda h: quality.ngram_buckets(x, h, p)))
+    buckets = {x.doc_id: x.b for x in docs.select("doc_id", of(quality.words(F.col("text"))).alias("b")).collect()}
+    held = {x.doc_id: x.h for x in labels.select("doc_id", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(3)) == 0).alias("h")).collect()}
+    trusted = [d for d, q, t in rows if q == 1 and t == 0]
+    raw, target = Counter(), Counter()
+    for d, b in buckets.items():
+        raw.update(b)
+        if d in trusted and not held[d]:
+            target.update(b)
+    r_all, t_all = sum(raw.values()) + 512, sum(target.values()) + 512
+    weight = [math.log((target[k] + 1) / t_all) - math.log((raw[k] + 1) / r_all) for k in range(512)]
+    score = {d: sum(weight[k] for k in b) / (len(b) + p.prior_length) for d, b in buckets.items() if b}
+    known = sorted(score[d] for d in trusted if held[d])
+    at = p.reject_share * (len(known) - 1)
+    low = known[int(at)] + (at - int(at)) * (known[min(int(at) + 1, len(known) - 1)] - known[int(at)])
+    between = any(low - p.margin <= score[d] < low for d, q, t in rows if (q == 0 or t == 1) and held[d])
+    edge = low if between else low - p.margin
+    got = {x.doc_id: x for x in quality.quality_rules(docs, labels, p).collect()}
+    for i, t in enumerate(texts):
+        failed = base(t)[-1]
+        assert got[i].llr is None if failed else abs(got[i].llr - score[i]) < 1e-3
+        assert got[i].kept == (not failed and score[i] >= edge) or abs(score[i] - edge) < 1e-3
+    assert not got[len(good)].kept
+
+
 def test_no_labels_and_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = frame(spark, ["a b c d e f g h i j k", "x"])
