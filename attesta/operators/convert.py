@@ -1,17 +1,21 @@
 """HTML to block rows, with every character accounted for.
 
-A page is one row, so the tree work is a small helper inside ``mapInArrow``; all that follows is relational.  Each
+A page is one row, so the tree work is a small helper inside ``mapInArrow``, with stacks instead of recursion, so that no depth
+of markup stops a job; all that follows is relational.  A null or empty page has no rows, null ids pass through.  Each
 text node ends ``emitted`` or ``drop:<rule>``; a node that nothing claims is ``unaccounted`` and :func:`require_accounted` fails on it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The most columns and rows that HTML lets a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 # HTML's void elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Which elements, classes or ids are dropped under which rule.
@@ -47,24 +51,27 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag == self.at.tag and tag in SIBLINGS:  # an open one of these ends where the next begins
+            self.open[tag] -= 1
             self.at = self.at.up
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
         if tag not in VOID:
+            self.open[tag] += 1
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
         self.at.kids.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.up
-        if node is not None and node.up is not None:
-            self.at = node.up
+        while self.open[tag]:
+            done, self.at = self.at, self.at.up
+            self.open[done.tag] -= 1
+            if done.tag == tag:
+                return
 
     def handle_data(self, data):
         self.at.kids.append(Node("#text", {}, self.at, data))
@@ -77,11 +84,23 @@ def parse(page: str) -> Node:
     return tree.root
 
 
+def descend(node: Node, into=lambda kid: True):
+    """All below a node in page order; ``into`` says below which of them to go on."""
+    stack = [iter(node.kids)]
+    while stack:
+        kid = next(stack[-1], None)
+        if kid is None:
+            stack.pop()
+            continue
+        yield kid
+        if into(kid):
+            stack.append(iter(kid.kids))
+
+
 def texts(node: Node):
     if node.text is not None:
         yield node
-    for kid in node.kids:
-        yield from texts(kid)
+    yield from (kid for kid in descend(node) if kid.text is not None)
 
 
 def drop_rule(node: Node) -> str | None:
@@ -100,29 +119,39 @@ def settle(node: Node, state: str) -> None:
 
 def inline(node: Node) -> str:
     """The running text below a node; a raised number directly after an opening parenthesis is a note mark, any other is written ``^n``."""
-    out = ""
-    for kid in node.kids:
-        if kid.text is not None:
-            out += kid.text
-            kid.state = kid.state or "emitted"
-        elif kid.tag == "br":
-            out += " "
-        elif drop_rule(kid):
-            settle(kid, f"drop:{drop_rule(kid)}")
-        elif kid.tag == "sup":
-            if out.rstrip().endswith("("):
+    frames: list[tuple] = [(iter(node.kids), [], False)]  # kids to come, text so far, whether it is raised
+    while True:
+        kids, out, raised = frames[-1]
+        for kid in kids:
+            if kid.text is not None:
+                out.append(kid.text)
+                kid.state = kid.state or "emitted"
+            elif kid.tag == "br":
+                out.append(" ")
+            elif rule := drop_rule(kid):
+                settle(kid, f"drop:{rule}")
+            elif kid.tag == "sup" and next((x for x in reversed(out) if x.strip()), "").rstrip().endswith("("):
                 settle(kid, "drop:note-mark")
             else:
-                out += "^" + inline(kid).strip()
+                frames.append((iter(kid.kids), [], kid.tag == "sup"))
+                break
         else:
-            out += inline(kid)
-    return out
+            frames.pop()
+            text = "^" + "".join(out).strip() if raised else "".join(out)
+            if not frames:
+                return text
+            frames[-1][1].append(text)
 
 
 def flat(text: str) -> str:
     return SPACE.sub(" ", text).strip()
 
 
+def span(cell: Node, name: str, most: int) -> int:
+    digits = cell.attrs.get(name, "1").strip()
+    return max(1, min(most, int(digits[:7]))) if digits.isascii() and digits.isdigit() else 1
+
+
 def grid(table: Node) -> list[list[str]]:
     """A table's cells with spans spread out: a continued cell is empty, rows without text are left out, all have one width."""
     rows, carried = [], {}
@@ -136,7 +165,7 @@ def grid(table: Node) -> list[list[str]]:
         for cell in (k for k in tr.kids if k.tag in ("td", "th")):
             while col in row:
                 col += 1
-            wide, high = (max(1, int(x)) if (x := cell.attrs.get(a, "1")).isdigit() else 1 for a in ("colspan", "rowspan"))
+            wide, high = span(cell, "colspan", MOST_COLUMNS), span(cell, "rowspan", MOST_ROWS)
             body = flat(inline(cell)).replace("|", "\\|")
             for i in range(wide):
                 row[col + i] = body if i == 0 else ""
@@ -150,10 +179,8 @@ def grid(table: Node) -> list[list[str]]:
 
 
 def walk(node: Node):
-    for kid in node.kids:
-        yield kid
-        if kid.tag != "table":
-            yield from walk(kid)
+    """All below a node, but for what tables hold."""
+    return descend(node, lambda kid: kid.tag != "table")
 
 
 def blocks(root: Node) -> list[tuple]:
@@ -165,40 +192,37 @@ def blocks(root: Node) -> list[tuple]:
         if text:
             out.append((kind, level, text, node.attrs.get("id") or None, None, None, None))
 
-    def visit(node: Node, depth: int) -> None:
-        nonlocal tables
-        loose: list[Node] = []
-
-        def flush():
-            if loose:
-                say("paragraph", depth, flat(inline(_gather(loose))), node)
-                loose.clear()
+    def flush(node: Node, depth: int, loose: list[Node]) -> None:
+        if loose:
+            say("paragraph", depth, flat(inline(_gather(loose))), node)
+            loose.clear()
 
-        for kid in node.kids:
+    frames: list[tuple] = [(root, 0, iter(root.kids), [])]  # a node, its depth of lists, kids to come, inline kids not yet said
+    while frames:
+        node, depth, kids, loose = frames[-1]
+        for kid in kids:
             rule = drop_rule(kid) if kid.text is None else None
             if rule:
-                flush()
+                flush(node, depth, loose)
                 settle(kid, f"drop:{rule}")
             elif kid.tag == "table":
-                flush()
+                flush(node, depth, loose)
                 for r, row in enumerate(grid(kid)):
                     out.extend(("cell", 0, cell, None, tables, r, c) for c, cell in enumerate(row))
                 tables += 1
                 settle(kid, "emitted")
             elif kid.tag in LEAVES or kid.tag in CONTAINERS:
-                flush()
-                if kid.tag in CONTAINERS:
-                    visit(kid, depth + (kid.tag in ("ul", "ol", "dl")))
-                elif any(k.tag in LEAVES or k.tag in CONTAINERS for k in walk(kid)):
-                    visit(kid, depth)
-                else:
-                    kind = "heading" if re.fullmatch("h[1-6]", kid.tag) else "point" if kid.tag in ("li", "dd", "dt") else "paragraph"
-                    say(kind, int(kid.tag[1]) if kind == "heading" else depth, flat(inline(kid)), kid)
+                flush(node, depth, loose)
+                if kid.tag in CONTAINERS or any(k.tag in LEAVES or k.tag in CONTAINERS for k in walk(kid)):
+                    frames.append((kid, depth + (kid.tag in ("ul", "ol", "dl")), iter(kid.kids), []))
+                    break
+                kind = "heading" if re.fullmatch("h[1-6]", kid.tag) else "point" if kid.tag in ("li", "dd", "dt") else "paragraph"
+                say(kind, int(kid.tag[1]) if kind == "heading" else depth, flat(inline(kid)), kid)
             else:
                 loose.append(kid)
-        flush()
-
-    visit(root, 0)
+        else:
+            flush(node, depth, loose)
+            frames.pop()
     return out
 
 

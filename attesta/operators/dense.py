@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Question vectors in one block: at 1024 dimensions 16 MB, the bound of what a pass broadcasts.
 BLOCK = 2048
@@ -37,37 +38,42 @@ def dense_topk(corpus: DataFrame, questions: DataFrame, k: int = 40, *, cid: str
     spark, out = corpus.sparkSession, None
     id_type = corpus.schema[cid].dataType.simpleString()
     q_type = questions.schema[qid].dataType.simpleString()
+    pa_type = to_arrow_type(corpus.schema[cid].dataType)
     for ids, vecs in _blocks(questions, qid, qvec):
         block = spark.sparkContext.broadcast((ids, vecs))
 
         def work(batches, block=block):
             import numpy as np
             import pyarrow as pa
+            import pyarrow.compute as pc
 
             ids, vecs = block.value
             q = np.asarray(vecs, np.float64)
-            best_s, best_c = np.full((len(ids), 0), 0.0), np.empty((len(ids), 0), object)
+            best, names = np.full((len(ids), 0), 0.0), pa.array([], pa_type)  # the best scores so far, and the names of the rows that have one
+            place = np.zeros((len(ids), 0), np.int64)  # whose score it is, in names
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                names = np.array(batch.column(0).to_pylist(), object)
-                m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
-                s = np.concatenate([best_s, np.round(q @ m.T, digits)], axis=1)
-                c = np.concatenate([best_c, np.broadcast_to(names, (len(ids), len(names)))], axis=1)
-                if s.shape[1] > k:  # all that reach the k-th best score may matter for ties
-                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                    keep = [sorted(np.flatnonzero(s[i] >= edge[i]).tolist(), key=lambda j, i=i: (-s[i, j], c[i, j]))[:k] for i in range(len(ids))]
-                    s, c = np.array([s[i, j] for i, j in enumerate(keep)]), np.array([c[i, j] for i, j in enumerate(keep)], object)
-                best_s, best_c = s, c
-            if best_s.shape[1]:
-                yield pa.RecordBatch.from_pydict({"question_id": [i for i in ids for _ in range(best_s.shape[1])], "id": best_c.ravel().tolist(), "dense": best_s.ravel()})
+                m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                s = np.concatenate([best, np.round(q @ m.T, digits)], axis=1)
+                c = np.concatenate([place, np.broadcast_to(np.arange(len(names), len(names) + len(m)), (len(ids), len(m)))], axis=1)
+                names = pa.concat_arrays([names, batch.column(0).cast(pa_type)])
+                rank = np.empty(len(names), np.int64)
+                rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+                keep = np.lexsort((rank[c], -s), axis=1)[:, :k]
+                best, place = np.take_along_axis(s, keep, 1), np.take_along_axis(c, keep, 1)
+                used, place = np.unique(place, return_inverse=True)
+                names, place = names.take(pa.array(used)), place.reshape(best.shape)
+            if best.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(best.shape[1])]), names.take(pa.array(place.ravel())), pa.array(best.ravel())], names=["question_id", "id", "dense"])
 
         rows = corpus.where(F.col(cvec).isNotNull() & F.col(cid).isNotNull()).select(cid, cvec).mapInArrow(work, f"question_id {q_type}, id {id_type}, dense double")
         out = rows if out is None else out.unionAll(rows)
     if out is None:
         out = spark.createDataFrame([], f"question_id {q_type}, id {id_type}, dense double")
     order = Window.partitionBy("question_id").orderBy(F.desc("dense"), "id")
-    return out.withColumn("dense_rank", F.row_number().over(order) - 1).where(F.col("dense_rank") < k)
+    best = out.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
+    return best.withColumn("dense_rank", F.col("dense_rank") - 1)
 
 
 def best_dense(questions: DataFrame, hits: DataFrame, qid: str = "question_id") -> DataFrame:

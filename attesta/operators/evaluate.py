@@ -84,7 +84,11 @@ def or_sweep(scores: DataFrame, by: list[str], first: str, second: str, t1: list
     (len(t1) + 1) * (len(t2) + 1) rows a group, however many scores there are.
     """
     t1, t2 = sorted(set(t1)), sorted(set(t2))
-    at = lambda ts, c: F.size(F.filter(F.array(*[F.lit(float(t)) for t in ts]), lambda x: x <= F.col(c)))  # noqa: E731  how many thresholds a score reaches
+
+    def at(ts: list[float], c: str) -> Column:
+        """How many thresholds a score reaches; the score is bound first, so that it is computed once however it is made."""
+        return F.transform(F.array(c), lambda s: F.size(F.filter(F.array(*[F.lit(float(t)) for t in ts]), lambda x: x <= s))).getItem(0)
+
     cell = scores.select(*by, "positive", at(t1, first).alias("i"), at(t2, second).alias("j")).groupBy(*by, "i", "j").agg(count_if(F.col("positive")).alias("p"), count_if(~F.col("positive")).alias("n"))
     grid = lambda ts, n, v: F.explode(F.array(*[F.struct(F.lit(k + 1).alias(n), F.lit(float(t)).alias(v)) for k, t in enumerate(ts)]))
     pairs = cell.withColumn("a", grid(t1, "x", "t1")).withColumn("b", grid(t2, "y", "t2"))

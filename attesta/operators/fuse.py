@@ -19,8 +19,8 @@ def rrf(dense: DataFrame, lexical: DataFrame, k: int = 20) -> DataFrame:
     score = F.coalesce(1 / (RRF + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1 / (RRF + F.col("lex_rank")), F.lit(0.0))
     both = both.withColumn("rrf", F.round(score, 9))
     order = Window.partitionBy("question_id").orderBy(F.desc("rrf"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lex_rank"))
-    ranked = both.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
-    return ranked.select("question_id", "id", F.coalesce("dense", F.lit(0.0)).alias("dense"), "rrf", "rank")
+    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("question_id", "id", F.coalesce("dense", F.lit(0.0)).alias("dense"), "rrf", (F.col("rank") - 1).alias("rank"))
 
 
 def rerank(fused: DataFrame, questions: DataFrame, docs: DataFrame, keep: int = 5, *, reranker: Reranker = overlap_reranker, cid: str = "id", text: str = "text", qid: str = "question_id", qtext: str = "question") -> DataFrame:
@@ -28,4 +28,4 @@ def rerank(fused: DataFrame, questions: DataFrame, docs: DataFrame, keep: int =
     pairs = fused.join(docs.select(F.col(cid).alias("id"), F.col(text).alias("__t")), "id").join(questions.select(F.col(qid).alias("question_id"), F.col(qtext).alias("__q")), "question_id")
     scored = pairs.withColumn("rerank", F.round(reranker(F.col("__q"), F.col("__t")), 6)).drop("__q", "__t")
     order = Window.partitionBy("question_id").orderBy(F.desc("rerank"), "rank")
-    return scored.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < keep)
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).withColumn("place", F.col("place") - 1)

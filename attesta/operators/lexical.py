@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.scratch import written
 
 K1, B = 1.2, 0.75
+#: Terms that a query may test inside the row.
+VOCABULARY = 10_000
 
 
 def porter_light(words: Column) -> Column:
@@ -54,19 +57,28 @@ def save_index(docs: DataFrame, path: str, cid: str = "id", text: str = "text")
 def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 40, *, cid: str = "id", text: str = "text", qid: str = "question_id", qtext: str = "question", digits: int = 6) -> DataFrame:
     """(question_id, id, bm25, lex_rank from 0) of the ``k`` best documents of each question; ties by id.
 
-    Terms outside the questions drop out before anything is shuffled when the vocabulary is small enough for a broadcast (Spark
-    decides by its measured size), and otherwise with the first shuffle.  A question of no known term has no results.
+    One pass over the documents writes the postings of the questions' terms, with a row of the empty term for each document
+    that carries its length, so that the corpus statistics come from the same table; this runs when the query is built.  A
+    vocabulary of up to ``VOCABULARY`` terms is tested inside the row, before anything is exploded; a larger one is joined.
+    A question of no known term has no results.  Each task keeps its ``k`` best of a question before the last shuffle.
     """
-    s = stats(docs, text)
     asked = questions.select(F.col(qid).alias("question_id"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
     vocabulary = asked.select("term").distinct()
+    some = [r.term for r in vocabulary.limit(VOCABULARY + 1).collect()]
     words = docs.select(F.col(cid).alias("id"), tokens(text).alias("w"))
-    rows = words.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    size, few = F.size("w").cast("long").alias("dl"), len(some) <= VOCABULARY
+    known = F.filter("w", lambda x: x.isin(some)) if few else F.col("w")
+    rows = words.select("id", size, F.explode(F.concat(known, F.array(F.lit("")))).alias("term"))
+    if not few:
+        rows = rows.join(vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    tf = written(rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    s = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("a")).first()
+    tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(s.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(s.avgdl or 1.0)))
+    idf = F.log(1 + (F.lit(s.n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(s.a or 1.0)))
     scored = tf.join(df, "term").select("term", "id", weight.alias("weight")).join(asked, "term")
     total = scored.groupBy("question_id", "id").agg(F.round(F.sum("weight"), digits).alias("bm25"))
     order = Window.partitionBy("question_id").orderBy(F.desc("bm25"), "id")
-    return total.withColumn("lex_rank", F.row_number().over(order) - 1).where(F.col("lex_rank") < k)
+    best = total.withColumn("lex_rank", F.row_number().over(order)).where(F.col("lex_rank") <= k)
+    return best.withColumn("lex_rank", F.col("lex_rank") - 1)

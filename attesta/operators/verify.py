@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MARKER, MIN_SPAN, base_id, cited_ids, needle, normalize, outer_span, quote_pairs, segments
+from ..sources.scratch import written
 
 
 def answer_segments(answers: DataFrame, qid: str = "question_id", text: str = "answer") -> DataFrame:
@@ -99,21 +100,48 @@ def base_matches(cid, anchors) -> F.Column:
     return F.exists(F.split(anchors, r"\|"), lambda a: (cid == a) | F.startswith(cid, F.concat(a, F.lit("("))))
 
 
+#: Spans that a pass over the documents may test inside the row: as anchors, and as whole short spans.
+ANCHORS, SHORT = 10_000, 1_000
+
+
+def _short_spans(d: DataFrame, short: DataFrame) -> DataFrame | None:
+    """(span_id, id) for spans that have no anchor: a stated set, in blocks of ``SHORT``, tested inside each document's row."""
+    out, block = None, []
+
+    def found(block) -> DataFrame:
+        known = F.array(*[F.struct(F.lit(i).alias("span_id"), F.lit(n).alias("needle")) for i, n in block])
+        return d.select("id", F.explode(F.filter(known, lambda x: F.contains("t", x["needle"]))).alias("x")).select("x.span_id", "id")
+
+    for r in short.select("span_id", "needle").toLocalIterator():
+        block.append((r.span_id, r.needle))
+        if len(block) == SHORT:
+            out, block = found(block) if out is None else out.unionByName(found(block)), []
+    if block:
+        out = found(block) if out is None else out.unionByName(found(block))
+    return out
+
+
 def corpus_containment(spans: DataFrame, docs: DataFrame, sid: str = "span_id", span: str = "span", cid: str = "id", text: str = "text", compose: bool = True) -> DataFrame:
     """(span_id, id): which documents hold which spans, normalised, over the whole corpus.
 
-    The four whole words after a span's first are its anchor; documents meet spans by an equi-join on the words' hash, and
-    containment is then tested for those pairs alone.  A span of fewer than six words has no anchor and is tested against
-    every document, as part of a stated set of spans.
+    The four whole words after a span's first are its anchor.  Up to ``ANCHORS`` anchors are looked up inside each document's row, so
+    that only a document that has one meets the spans; more are met by an equi-join on the words' hash.  Containment is
+    then tested for those pairs alone.  A span of fewer than six words has no anchor and is tested against every document, as
+    part of a stated set of spans, in blocks.  Counting the anchors and reading the short spans runs when the query is built.
     """
-    s = spans.select(F.col(sid).alias("span_id"), needle(span, compose).alias("needle")).where("needle <> ''").withColumn("w", F.split("needle", " "))
+    s = spans.select(F.col(sid).alias("span_id"), needle(span, compose).alias("needle")).where("needle <> ''").distinct().withColumn("w", F.split("needle", " "))
+    s = written(s, "needles")
     d = docs.select(F.col(cid).alias("id"), normalize(text, compose).alias("t"))
     gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3))
     anchored = s.where(F.size("w") >= 6).select("span_id", "needle", gram(F.col("w"), F.lit(1)).alias("g"))
+    few = [r.g for r in anchored.select("g").distinct().limit(ANCHORS + 1).collect()]
     w = d.withColumn("w", F.split("t", " "))
-    zipped = F.arrays_zip(F.col("w").alias("a"), *[F.slice("w", k, F.greatest(F.size("w"), F.lit(1))).alias(n) for k, n in ((2, "b"), (3, "c"), (4, "d"))])
-    grams = w.select("id", F.explode(F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(z["a"], z["b"], z["c"], z["d"])))).alias("g"))
-    near = grams.join(anchored.select("g", "span_id", "needle"), "g").select("id", "span_id", "needle").distinct()
-    long_ = near.join(d, "id").where(F.contains("t", "needle")).select("span_id", "id")
-    short = s.where(F.size("w") < 6).select("span_id", "needle")
-    return long_.unionByName(d.join(short, F.contains("t", "needle")).select("span_id", "id")).distinct()
+    grams = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))
+    if len(few) <= ANCHORS:
+        met = w.select("id", "t", F.explode(F.array_distinct(F.filter(grams, lambda g: g.isin(few)))).alias("g"))
+        long_ = met.join(anchored, "g").where(F.contains("t", "needle")).select("span_id", "id")
+    else:
+        near = w.select("id", F.explode(F.array_distinct(grams)).alias("g")).join(anchored, "g").select("id", "span_id", "needle").distinct()
+        long_ = near.join(d, "id").where(F.contains("t", "needle")).select("span_id", "id")
+    short = _short_spans(d, s.where(F.size("w") < 6))
+    return (long_ if short is None else long_.unionByName(short)).distinct()

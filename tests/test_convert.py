@@ -65,3 +65,15 @@ def test_dates_and_identity(spark):
     assert [tuple(r) for r in df.select(date, basis).collect()] == [("2016-05-04", "consolidation"), ("2016-05-04", "publication")]
     with pytest.raises(Exception, match="identity differs"):
         df.limit(1).select(P.require_identity(F.col("s"), F.lit("x"))).collect()
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep" + "</b>" * 1000, "<p>" + "<b>" * 100_000 + "deep", "<ul><li>" * 50_000 + "deep", "<table><tr><td>" * 20_000 + "deep"])
+def test_deep_markup_is_read(page):
+    root = convert.parse(page)
+    assert any("deep" in b[2] for b in convert.blocks(root))
+    assert all(t.state for t in convert.texts(root))
+
+
+def test_spans_end_at_the_limits_of_html():
+    wide = convert.grid(convert.parse("<table><tr><td colspan=2000000>a</td><td>b</td></tr><tr><td rowspan=99999999999999999999>c</td><td rowspan=\u00b2>d</td></tr></table>").kids[0])
+    assert len(wide[0]) == 1001 and wide[0][0] == "a" and wide[0][1000] == "b" and wide[1][:2] == ["c", "d"]
