@@ -79,7 +79,8 @@ def templates(docs: DataFrame, rows: DataFrame, p: LineParams = LineParams()) ->
     several = written(several, "several")
     # the words of an open line are read where it first stands
     places = open_lines.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("first.idx", "lh")).alias("places"))
-    text = docs.select(row_key().alias("key"), "text").join(places, "key").select(let(F.split("text", "\n"), lambda x: F.transform("places", lambda y: F.struct(y["lh"].alias("lh"), F.get(x, y["idx"]).alias("line")))).alias("x"))
+    # the number of open lines grows with the input: sorted and merged at every size, never broadcast
+    text = docs.select(row_key().alias("key"), "text").join(places.hint("merge"), "key").select(let(F.split("text", "\n"), lambda x: F.transform("places", lambda y: F.struct(y["lh"].alias("lh"), F.get(x, y["idx"]).alias("line")))).alias("x"))
     text = text.select(F.explode("x").alias("x")).select("x.lh", masked_tokens(F.col("x.line")).alias("tok")).dropDuplicates(["lh"])
     tokens = written(open_lines.join(text, "lh").select("leaf", "lh", "n", "first", "tok"), "tokens")
     each = tokens.select("leaf", "lh", "n", F.posexplode("tok").alias("pos", "t")).where("t <> '<*>'")
@@ -110,7 +111,7 @@ def line_dedup(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     name, key = free_name(docs, "gone"), free_name(docs, "key")
     gone = written(gone.groupBy("key").agg(F.collect_set("idx").alias(name)).withColumnRenamed("key", key), "gone")
     discard(rows, recurring)
-    df = docs.withColumn(key, row_key()).join(gone, key, "left")
+    df = docs.withColumn(key, row_key()).join(gone.hint("merge"), key, "left")
     lines, gone = F.split("text", "\n"), F.col(name)
     kept = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     new = {
