@@ -9,8 +9,8 @@ A suffix array keeps only suffixes whose first two words occur side by side in t
 item): no other can hold a window, and none could change a match of two words or more.  Suffixes
 are told apart as deep as the longest item.  Words are compared by 64-bit hashes (see :mod:`.bytewise`).
 
-The benchmark goes out in blocks of at most ``block_bytes`` of text, the bound of the broadcast; the common case is one
-block, and then no row is shuffled.  Further blocks are further passes whose hits are joined by document.
+The benchmark goes out in blocks of about ``block_bytes`` of text, the bound of the broadcast, and a longer item is cut
+into overlapping parts; the common case is one block, and then no row is shuffled.  Further blocks are further passes whose hits are joined by document.
 
 Edge cases: null and empty texts have no words and are clean; items without words never match; a null item_id prints as
 "null"; null doc_ids pass through; repeated rows are judged alike; empty tables give empty or clean results; input
@@ -19,6 +19,8 @@ columns that clash with the result's give way.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -168,17 +170,39 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 FOUND = [("n_words", T.LongType()), ("spans", SPAN), ("items", T.ArrayType(T.StringType()))]
 
 
+def cut(text: str, window: int, most: int) -> Iterator[str]:
+    """A text in parts of about ``most`` bytes that overlap by ``window`` - 1 words, so that each window is whole in one of them."""
+    if len(text.encode()) <= most:
+        yield text
+        return
+    ends, starts, size, lo = [], [], 0, 0
+    for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text):
+        starts.append(m.start())
+        ends.append(m.end())
+        size += len(m[0].encode()) + 1
+        if size >= most and len(ends) - lo >= 2 * window:
+            yield text[starts[lo] : ends[-1]]
+            lo, size = len(ends) - (window - 1), 0
+    if len(ends) - lo > window - 1 or lo == 0:
+        yield text[starts[lo] if starts else 0 :]
+
+
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcasts of at most ``block_bytes`` of text each (a longer item stands alone), built one at a time."""
+    """Broadcasts of about ``block_bytes`` of text each; a longer item is cut, and its parts go by its id.
+
+    The items are a stated set of queries: the driver reads them one by one and holds one block at a time.
+    """
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").where(F.col("text").isNotNull())
     spark, out, ids, texts, size = benchmark.sparkSession, [], [], [], 0
     for r in rows.toLocalIterator():
-        if ids and size + len(r.text.encode()) > block_bytes:
-            out.append(spark.sparkContext.broadcast(tests_of(ids, texts, window)))
-            ids, texts, size = [], [], 0
-        ids.append(r.i)
-        texts.append(r.text)
-        size += len(r.text.encode())
+        for text in cut(r.text, window, block_bytes):
+            n = len(text.encode())
+            if ids and size + n > block_bytes:
+                out.append(spark.sparkContext.broadcast(tests_of(ids, texts, window)))
+                ids, texts, size = [], [], 0
+            ids.append(r.i)
+            texts.append(text)
+            size += n
     out.append(spark.sparkContext.broadcast(tests_of(ids, texts, window)))
     return out
 

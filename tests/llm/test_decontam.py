@@ -93,3 +93,15 @@ def test_suffix_array_is_sorted():
         return out
 
     assert [suffix(p) for p in sa] == sorted(suffix(p) for p in at)
+
+
+def test_long_items_are_cut_without_losing_a_window():
+    r = random.Random(8)
+    for n in (0, 1, 9, 10, 11, 25, 300):
+        text = "; ".join(f"Ü{r.randint(0, 99)}" for _ in range(n))
+        for most in (20, 50, 10**6):
+            parts = [words(p) for p in decontam.cut(text, 10, most)]
+            w = words(text)
+            size = min(10, len(w))
+            assert {tuple(p[i : i + size]) for p in parts for i in range(len(p) - size + 1)} == {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+            assert all(len(" ".join(p).encode()) < most + 400 for p in parts)
