@@ -32,6 +32,9 @@ DROP_RULES = (
 )
 CONTAINERS = frozenset("html body div section article main header footer nav aside table tbody thead tfoot ul ol dl form blockquote figure".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre figcaption caption address".split())
+# What a point's marker looks like, and the beginnings of anchors by part of a document.
+MARKER = re.compile(r"\(?[0-9A-Za-z]{1,5}[.)]|[—–•-]")
+PARTS = (("recitals", "rct_"), ("enacting", "enc_"), ("enacting", "cpt_"), ("enacting", "art_"), ("annexes", "anx_"))
 BLOCK_SCHEMA = "doc_id long, ord int, kind string, level int, text string, anchor string, table_no int, row int, col int"
 NODE_SCHEMA = "doc_id long, node int, tag string, state string, chars int"
 SIBLINGS = frozenset("p li dt dd tr td th".split())
@@ -178,6 +181,18 @@ def grid(table: Node) -> list[list[str]]:
     return [[r.get(c, "") for c in range(width)] for r in rows]
 
 
+def pair(node: Node) -> tuple[Node, Node] | None:
+    """(marker, body) of an element that sets a point's marker beside its body: a grid-list of two blocks, or a table of one row and two cells."""
+    if node.tag == "div" and "grid-list" in " ".join(node.attrs.get("class", "").split()):
+        kids = [k for k in node.kids if k.tag in ("div", "p")]
+    elif node.tag == "table":
+        rows = [n for n in walk(node) if n.tag == "tr"]
+        kids = [k for k in rows[0].kids if k.tag in ("td", "th")] if len(rows) == 1 else []
+    else:
+        return None
+    return (kids[0], kids[1]) if len(kids) == 2 and MARKER.fullmatch(flat("".join(t.text for t in texts(kids[0])))) else None
+
+
 def walk(node: Node):
     """All below a node, but for what tables hold."""
     return descend(node, lambda kid: kid.tag != "table")
@@ -188,41 +203,51 @@ def blocks(root: Node) -> list[tuple]:
     out: list[tuple] = []
     tables = 0
 
-    def say(kind, level, text, node):
+    def say(kind, level, text, node, lead):
+        if text and lead and kind != "heading":  # the marker belongs to the first line of its body
+            kind, text = "point", f"{lead.pop()} {text}"
         if text:
             out.append((kind, level, text, node.attrs.get("id") or None, None, None, None))
 
-    def flush(node: Node, depth: int, loose: list[Node]) -> None:
+    def flush(node: Node, depth: int, loose: list[Node], lead: list[str]) -> None:
         if loose:
-            say("paragraph", depth, flat(inline(_gather(loose))), node)
+            say("paragraph", depth, flat(inline(_gather(loose))), node, lead)
             loose.clear()
 
-    frames: list[tuple] = [(root, 0, iter(root.kids), [])]  # a node, its depth of lists, kids to come, inline kids not yet said
+    # a node, its depth of lists, kids to come, inline kids not yet said, a marker not yet said
+    frames: list[tuple] = [(root, 0, iter(root.kids), [], [])]
     while frames:
-        node, depth, kids, loose = frames[-1]
+        node, depth, kids, loose, lead = frames[-1]
         for kid in kids:
             rule = drop_rule(kid) if kid.text is None else None
             if rule:
-                flush(node, depth, loose)
+                flush(node, depth, loose, lead)
                 settle(kid, f"drop:{rule}")
+            elif both := pair(kid):
+                flush(node, depth, loose, lead)
+                mark, body = both
+                frames.append((body, depth + 1, iter(body.kids), [], [flat(inline(mark))]))
+                break
             elif kid.tag == "table":
-                flush(node, depth, loose)
+                flush(node, depth, loose, lead)
                 for r, row in enumerate(grid(kid)):
                     out.extend(("cell", 0, cell, None, tables, r, c) for c, cell in enumerate(row))
                 tables += 1
                 settle(kid, "emitted")
             elif kid.tag in LEAVES or kid.tag in CONTAINERS:
-                flush(node, depth, loose)
+                flush(node, depth, loose, lead)
                 if kid.tag in CONTAINERS or any(k.tag in LEAVES or k.tag in CONTAINERS for k in walk(kid)):
-                    frames.append((kid, depth + (kid.tag in ("ul", "ol", "dl")), iter(kid.kids), []))
+                    frames.append((kid, depth + (kid.tag in ("ul", "ol", "dl")), iter(kid.kids), [], lead))
                     break
                 kind = "heading" if re.fullmatch("h[1-6]", kid.tag) else "point" if kid.tag in ("li", "dd", "dt") else "paragraph"
-                say(kind, int(kid.tag[1]) if kind == "heading" else depth, flat(inline(kid)), kid)
+                say(kind, int(kid.tag[1]) if kind == "heading" else depth, flat(inline(kid)), kid, lead)
             else:
                 loose.append(kid)
         else:
-            flush(node, depth, loose)
+            flush(node, depth, loose, lead)
             frames.pop()
+            if lead and (not frames or frames[-1][4] is not lead):  # nothing below had a line: the marker stands alone
+                out.append(("point", depth, lead.pop(), node.attrs.get("id") or None, None, None, None))
     return out
 
 
@@ -276,6 +301,12 @@ def require_accounted(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("state", F.when(F.col("state") == "unaccounted", wrong).otherwise(F.col("state")))
 
 
+def parts(rows: DataFrame) -> DataFrame:
+    """Block rows with ``part``: recitals, enacting or annexes, from the last anchor that begins one; null before the first."""
+    start = F.coalesce(*[F.when(F.startswith(F.col("anchor"), F.lit(prefix)), part) for part, prefix in PARTS])
+    return rows.withColumn("part", F.last(start, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("ord")))
+
+
 def merged_headings(rows: DataFrame) -> DataFrame:
     """Block rows in which a heading that a heading of the same level follows takes that one's text: ``label — title``."""
     w = Window.partitionBy("doc_id").orderBy("ord")

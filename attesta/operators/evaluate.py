@@ -158,3 +158,21 @@ def attribution_totals(attributed: DataFrame) -> DataFrame:
     """One row over statuses: spans, attributed, unverifiable, wrong, and their causes."""
     found = F.col("source_id").isNotNull()
     return attributed.agg(F.count(F.lit(1)).alias("spans"), count_if(F.col("cid").isNotNull()).alias("attributed"), count_if(~found).alias("unverified"), count_if(found & (F.col("status") == "misattributed")).alias("misattributed"), count_if(F.col("status") == "unattributed").alias("without_id"), count_if(F.col("status") == "unknown").alias("unknown_id"))
+
+
+def unintended_flips(flips: DataFrame, intended: DataFrame) -> DataFrame:
+    """The rows of :func:`verdict_flips` whose id is not on the list of intended ones (id)."""
+    return flips.join(intended.select("id").distinct(), "id", "left_anti")
+
+
+def control_run(answers: DataFrame, key: DataFrame, qid: str = "question_id") -> DataFrame:
+    """One row over answers (mode, verified) and what was expected of them (expected_behavior, refusal_source): how a run without the gate does.
+
+    A refusal counts strictly where it came from the expected mechanism, and else as any; questions without an expectation are left out.
+    """
+    mode, refuse = F.col("mode"), F.col("expected_behavior") == "refuse"
+    wanted = F.coalesce(*[F.when(F.col("refusal_source") == k, v) for k, v in REFUSAL_MODES.items()])
+    return answers.join(key, qid).agg(
+        count_if(~refuse).alias("n_answer"), count_if(~refuse & (mode == "answered")).alias("answered"), count_if(refuse).alias("n_refuse"), count_if(refuse & (mode == wanted)).alias("refused_strict"),
+        count_if(refuse & (mode != "answered")).alias("refused_any"), count_if(F.col("verified")).alias("verified"),
+    )

@@ -525,12 +525,12 @@ def uncatchable(t):
 
 # ---- chunking --------------------------------------------------------------------------------------------------------------
 
-#: Documents' lines as markdown: a title, articles, sections and numbered paragraphs.
+#: Documents' lines as markdown: a title (but for those in other languages than English), articles, sections and numbered paragraphs.
 MARK_SQL = r"""
 md_lines AS (
-  SELECT doc_id, i, CASE WHEN i = 1 THEN '# ' || l WHEN i % 11 = 2 THEN '## Annex ' || ['I', 'II', 'III', 'IV', 'V'][1 + i % 5] || ' {#anx_' || i || '}' WHEN i % 11 = 4 THEN '### Section ' || i WHEN i % 11 = 7 THEN '## Article ' || i || ' {#art_' || i || '}'
+  SELECT doc_id, i, CASE WHEN i = 1 AND lang = 'en' THEN '# ' || l WHEN i % 11 = 2 THEN '## Annex ' || ['I', 'II', 'III', 'IV', 'V'][1 + i % 5] || ' {#anx_' || i || '}' WHEN i % 11 = 4 THEN '### Section ' || i WHEN i % 11 = 7 THEN '## Article ' || i || ' {#art_' || i || '}'
     WHEN i % 11 IN (5, 6, 9, 10) THEN i || '. ' || l ELSE l END AS par
-  FROM (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+  FROM (SELECT doc_id, lang, unnest(s) AS l, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS s FROM documents))),
 pars AS (SELECT doc_id, i - 1 AS pos, par, coalesce(sum(length(par) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ FROM md_lines),
 heads AS (SELECT *, CASE WHEN regexp_matches(par, '^#{1,4}\s') THEN length(regexp_extract(par, '^(#{1,4})', 1)) END AS level, CASE WHEN regexp_matches(par, '^#{1,4}\s') THEN trim(regexp_extract(par, '^#{1,4}\s+(.*?)(?:\s*\{#([^}]*)\})?\s*$', 1)) END AS title FROM pars WHERE trim(par) <> ''),
 filled AS (
@@ -544,11 +544,11 @@ runs AS (
 
 def marked_documents(t) -> DataFrame:
     """(doc_id, text): each document as markdown with headings and numbered paragraphs between its lines."""
-    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "l")).withColumn("i", F.col("p") + 1)
+    lines = t("documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("p", "l")).withColumn("i", F.col("p") + 1)
     r, n = F.col("i") % 11, F.col("i").cast("string")
     roman = F.element_at(F.array(*[F.lit(x) for x in ("I", "II", "III", "IV", "V")]), 1 + F.col("i") % 5)
     par = (
-        F.when(F.col("i") == 1, F.concat(F.lit("# "), "l")).when(r == 2, F.concat(F.lit("## Annex "), roman, F.lit(" {#anx_"), n, F.lit("}"))).when(r == 4, F.concat(F.lit("### Section "), n)).when(r == 7, F.concat(F.lit("## Article "), n, F.lit(" {#art_"), n, F.lit("}")))
+        F.when((F.col("i") == 1) & (F.col("lang") == "en"), F.concat(F.lit("# "), "l")).when(r == 2, F.concat(F.lit("## Annex "), roman, F.lit(" {#anx_"), n, F.lit("}"))).when(r == 4, F.concat(F.lit("### Section "), n)).when(r == 7, F.concat(F.lit("## Article "), n, F.lit(" {#art_"), n, F.lit("}")))
         .when(r.isin(5, 6, 9, 10), F.concat(n, F.lit(". "), "l")).otherwise(F.col("l"))
     )
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", par.alias("par")))), lambda x: x["par"]), "\n\n").alias("text"))
@@ -689,7 +689,19 @@ def page_blocks(t):
     return convert.convert(t("pages"))
 
 
-@query()
+#: What stands between tags in the page's sections, and what becomes of it; scripts and styles are text as a whole.
+DISPOSITION_SQL = r"""
+WITH sections AS (
+  SELECT page_id, 'drop:metadata' AS state, [regexp_extract(html, '(?s)<title>(.*?)</title>', 1), regexp_extract(html, '(?s)<style>(.*?)</style>', 1), regexp_extract(html, '(?s)<script>(.*?)</script>', 1)] AS s FROM pages
+  UNION ALL SELECT page_id, 'drop:navigation', regexp_split_to_array(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<[^>]*>') FROM pages
+  UNION ALL SELECT page_id, 'drop:advert', regexp_split_to_array(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), '<[^>]*>') FROM pages
+  UNION ALL SELECT page_id, 'emitted', regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>') FROM pages
+  UNION ALL SELECT page_id, 'drop:footer', regexp_split_to_array(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '<[^>]*>') FROM pages),
+nodes AS (SELECT page_id, state, regexp_replace(replace(replace(replace(replace(unnest(s), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS x FROM sections)
+SELECT page_id AS doc_id, state, count(*) AS nodes, CAST(sum(length(x)) AS BIGINT) AS chars FROM nodes WHERE x <> '' GROUP BY page_id, state"""
+
+
+@query(DISPOSITION_SQL)
 def page_disposition(t):
     """What became of every text node; an unaccounted one fails the job."""
     return convert.disposition_report(convert.require_accounted(convert.dispositions(t("pages"))))

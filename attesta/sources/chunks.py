@@ -59,3 +59,25 @@ def smoke(index: DataFrame, expected_rows: int, lexical: DataFrame, anchors: Dat
     rows = index.agg((F.count(F.lit(1)) == expected_rows).alias("ok"))
     some = dense.agg((F.count(F.lit(1)) > 0).alias("ok"))
     return rows.select(F.lit("rows").alias("check"), "ok").unionByName(found.select(F.lit("lexical").alias("check"), "ok")).unionByName(some.select(F.lit("dense").alias("check"), "ok"))
+
+
+def dump_lines(chunks: DataFrame, doc: str = "doc_id", order: str = "offset") -> DataFrame:
+    """(doc, order, value): each chunk for reading, between rulers: id, citation and size, its path, its body."""
+    rule = lambda c: F.repeat(F.lit(c), F.lit(78))
+    head = F.concat(F.col("id"), F.lit("   ["), F.col("citation"), F.lit("]   "), F.format_number("chars", 0), F.lit(" chars"))
+    return chunks.select(doc, order, F.concat_ws("\n", rule("="), head, F.coalesce("parent_path", F.lit("")), rule("-"), "body", F.lit("")).alias("value"))
+
+
+def write_dump(chunks: DataFrame, path: str, doc: str = "doc_id", order: str = "offset") -> None:
+    """All chunks as text, in order within and across files."""
+    dump_lines(chunks, doc, order).repartitionByRange(doc, order).sortWithinPartitions(doc, order).select("value").write.mode("overwrite").text(path)
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """(place, value): a report's rows as lines of a markdown table, place 0 the head; a null is an empty cell."""
+    cells = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in report.columns]
+    line = lambda xs: F.concat(F.lit("| "), F.concat_ws(" | ", *xs), F.lit(" |"))
+    head = line([F.lit(c) for c in report.columns])
+    rule = F.lit("|" + " --- |" * len(report.columns))
+    top = report.sparkSession.range(1).select(F.lit(0).alias("place"), F.concat(head, F.lit("\n"), rule).alias("value"))
+    return top.unionByName(report.select(F.lit(1).alias("place"), line(cells).alias("value")))

@@ -58,6 +58,22 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.transform(raw, lambda x: F.replace(F.replace(x, F.lit("%28"), F.lit("(")), F.lit("%29"), F.lit(")"))))
 
 
+def manifest(pages: DataFrame, source: str = "table", language: str = "EN", mark: str = "</body>", least: int = MIN_LENGTH) -> DataFrame:
+    """One row a page that says what was stored: hashes, size, title, the identity it states and its shape problems."""
+    html = F.col("html")
+    h = hashes(html)
+    return pages.select(
+        "page_id", F.lit(source).alias("source"), F.lit(language).alias("language"), F.col("url").alias("requested_url"), *[c.alias(k) for k, c in h.items()], F.lit(VOLATILE).alias("normalization"), stated_id(html).alias("stated_consolidation"),
+        F.octet_length(html).cast("long").alias("bytes"), title(html).alias("doc_title"), shape_problems(html, F.col("page_id").cast("string"), mark, least).alias("shape_problems"),
+    )
+
+
+def write_raw(pages: DataFrame, path: str, **about) -> None:
+    """``path/raw``: the pages as they came, as Parquet; ``path/manifest``: :func:`manifest` as JSON lines with nulls kept."""
+    pages.select("page_id", "url", "html").write.mode("overwrite").parquet(f"{path}/raw")
+    manifest(pages, **about).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/manifest")
+
+
 def versions_of(catalog: DataFrame, base: str, column: str = "id") -> DataFrame:
     """Distinct consolidated ids of an act, sorted: those with its number behind a leading 0."""
     return catalog.where(F.startswith(F.col(column), F.concat(F.lit("0"), F.substring(F.lit(base), 2, len(base))))).select(column).distinct().orderBy(column)

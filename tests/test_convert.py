@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.operators import convert
 from attesta.sources import chunks as C
@@ -77,3 +78,58 @@ def test_deep_markup_is_read(page):
 def test_spans_end_at_the_limits_of_html():
     wide = convert.grid(convert.parse("<table><tr><td colspan=2000000>a</td><td>b</td></tr><tr><td rowspan=99999999999999999999>c</td><td rowspan=\u00b2>d</td></tr></table>").kids[0])
     assert len(wide[0]) == 1001 and wide[0][0] == "a" and wide[0][1000] == "b" and wide[1][:2] == ["c", "d"]
+
+
+def test_markers_join_their_bodies():
+    page = """<div class="grid-list"><div>(a)</div><div><p>first body</p><p>second line</p><div class="grid-list"><p>(i)</p><p>inner</p></div></div></div>
+<table><tr><td>1.</td><td>one row</td></tr></table><table><tr><td>—</td><td><h2>T</h2></td></tr></table><table><tr><td>wide cell</td><td>x</td></tr></table>"""
+    rows = [b[:3] for b in convert.blocks(convert.parse(page))]
+    assert rows == [("point", 1, "(a) first body"), ("paragraph", 1, "second line"), ("point", 2, "(i) inner"), ("point", 1, "1. one row"), ("heading", 2, "T"), ("point", 1, "—"), ("cell", 0, "wide cell"), ("cell", 0, "x")]
+
+
+def test_parts_are_selectable(spark):
+    page = "<h1>Act</h1><p id='rct_1'>Whereas</p><p>more</p><h2 id='art_1'>Article 1</h2><p>text</p><h2 id='anx_I'>Annex I</h2><p>list</p>"
+    rows = convert.parts(convert.convert(spark.createDataFrame([(1, page)], "page_id long, html string"))).orderBy("ord").collect()
+    assert [(r.text, r.part) for r in rows] == [("Act", None), ("Whereas", "recitals"), ("more", "recitals"), ("Article 1", "enacting"), ("text", "enacting"), ("Annex I", "annexes"), ("list", "annexes")]
+
+
+def test_unnumbered_siblings_have_an_owner(spark):
+    rows = spark.createDataFrame([(1, 0, "heading", "H"), (1, 1, "paragraph", "1. one"), (1, 2, "paragraph", "more"), (1, 3, "heading", "I"), (1, 4, "paragraph", "none")], "doc_id long, ord int, kind string, text string")
+    assert [r.owner for r in convert.nested(rows).orderBy("ord").collect()] == [None, "1", "1", None, None]
+
+
+def test_raw_pages_and_their_manifest(spark, tmp_path):
+    pages = spark.createDataFrame([(7, "u", "<title>T</title> 7 <p nonce=\"x\">02016R0679-20160504</p></body>"), (8, None, None)], "page_id long, url string, html string")
+    P.write_raw(pages, str(tmp_path / "raw"), least=5)
+    raw = spark.read.parquet(str(tmp_path / "raw/raw"))
+    rows = {r.page_id: r for r in spark.read.json(str(tmp_path / "raw/manifest")).collect()}
+    assert raw.count() == 2 and rows[7].doc_title == "T" and rows[7].stated_consolidation == "02016R0679-20160504" and rows[7].shape_problems == [] and rows[7].sha256 != rows[7].sha256_normalized
+    assert rows[8].sha256 is None and len(rows[8].shape_problems) == 3
+
+
+def test_dump_and_report(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "1#b", "Article 2", None, 9, 1200, "second"), (1, "1#a", "Article 1", "Act", 0, 5, "first")], "doc_id long, id string, citation string, parent_path string, offset long, chars int, body string")
+    C.write_dump(chunks, str(tmp_path / "dump"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "dump")).collect()]
+    assert lines[:6] == ["=" * 78, "1#a   [Article 1]   5 chars", "Act", "-" * 78, "first", ""] and lines[7] == "1#b   [Article 2]   1,200 chars"
+    report = spark.createDataFrame([("a|b", 1), (None, 2)], "kind string, n int")
+    assert [r.value for r in C.report_lines(report).orderBy("place", F.desc("value")).collect()] == ["| kind | n |\n| --- | --- |", "| a\\|b | 1 |", "|  | 2 |"]
+    assert [r.id for r in C.read_jsonl(spark, [_written(C, chunks, str(tmp_path / "json"))], chunks.schema).orderBy("offset").collect()] == ["1#a", "1#b"]
+
+
+def _written(sink, chunks, path):
+    sink.write_jsonl(chunks, path, ["doc_id", "offset"])
+    return path
+
+
+def test_index_files_and_checks(spark, tmp_path):
+    index = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    C.write_index(index, str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+    row = C.manifest(spark, "hashed", 64, 2, {"f": "h"}).first()
+    assert (row.embed_model, row.dim, row.rows, row.chunk_files) == ("hashed", 64, 2, {"f": "h"})
+    lex = spark.createDataFrame([(1, "a", 0), (2, "b", 9)], "question_id long, id string, lex_rank int")
+    anchors = spark.createDataFrame([(1, "a"), (2, "b")], "question_id long, anchor string")
+    assert {r.check: r.ok for r in C.smoke(index, 2, lex, anchors, lex.where("false")).collect()} == {"rows": True, "lexical": False, "dense": False}
+    ids = spark.createDataFrame([("02016R0679-20160504",), ("02016R0679-20180525",), ("02017R0001-20170101",)], "id string")
+    assert [r.id for r in P.versions_of(ids, "32016R0679").collect()] == ["02016R0679-20160504", "02016R0679-20180525"]
