@@ -87,6 +87,7 @@ def templates(docs: DataFrame, rows: DataFrame, p: LineParams = LineParams()) ->
     twice = several.join(tokens.select("leaf", "lh", "tok"), ["leaf", "lh"]).select("leaf", "c", F.posexplode("tok").alias("pos", "t")).where("t <> '<*>'")
     twice = twice.groupBy("leaf", "c", "pos", "t").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf", "pos", "t", (1 - F.col("k")).alias("n"))
     constant = each.select("leaf", "pos", "t", "n").unionByName(twice).groupBy("leaf", "pos", "t").agg(F.sum("n").alias("s")).where(F.col("s") >= p.min_docs).drop("s")
+    constant = written(constant, "constant")  # so that the join splits a hot token's lines
     fixed = each.join(constant, ["leaf", "pos", "t"]).groupBy("leaf", "lh").agg(F.collect_list(F.struct("pos", "t")).alias("fixed"))
     template = F.transform("tok", lambda t, i: F.when(F.exists("fixed", lambda f: f["pos"] == i), t).otherwise("<*>"))
     enough = F.size("fixed") >= p.constant_share * F.size("tok")
@@ -95,10 +96,10 @@ def templates(docs: DataFrame, rows: DataFrame, p: LineParams = LineParams()) ->
     again = several.join(general.select("leaf", "lh", "th"), ["leaf", "lh"]).groupBy("leaf", "c", "th").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     again = again.select("leaf", "th", (1 - F.col("k")).alias("n"), F.lit(None).cast(general.schema["first"].dataType).alias("first"))
     support = general.select("leaf", "th", "n", "first").unionByName(again).groupBy("leaf", "th").agg(F.sum("n").alias("s"), F.min("first").alias("first"))
-    support = support.where(F.col("s") >= p.min_docs).select("leaf", "th", "first")
+    support = written(support.where(F.col("s") >= p.min_docs).select("leaf", "th", "first"), "support")
     alike = general.select("leaf", "lh", "th").join(support, ["leaf", "th"]).select("lh", "first")
     out = written(alike.unionByName(counts.where(exact).select("lh", "first")).groupBy("lh").agg(F.min("first").alias("first")), "recurring")
-    discard(counts, leaves, open_lines, several, tokens, general)
+    discard(counts, leaves, open_lines, several, tokens, constant, general, support)
     return out
 
 
