@@ -48,3 +48,43 @@ def test_corpus_containment_short_and_long(spark):
     spans = spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta."), (2, "beta gamma"), (3, "")], "span_id long, span string")
     got = {tuple(r) for r in verify.corpus_containment(spans, docs).collect()}
     assert got == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_large_and_small_sets_take_other_ways_to_the_same_rows(spark, monkeypatch):
+    import random
+
+    from attesta.operators import lexical
+
+    r = random.Random(3)
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(r.randint(0, 40))) for i in range(60)] + [(100, None)], "id long, text string")
+    asked = [(i, text(r.choice([1, 2, 5, 6, 8]))) for i in range(25)] + [(90, "lph"), (91, "zzz"), (92, "")]
+    spans = spark.createDataFrame(asked, "span_id long, span string")
+    want = sorted((i, d.id) for i, s in asked for d in docs.collect() if s and d.text and s in d.text)
+    questions = spark.createDataFrame(asked, "question_id long, question string")
+    best = lexical.bm25_topk(docs, questions, 5).orderBy("question_id", "lex_rank").collect()
+    assert sorted(tuple(x) for x in verify.corpus_containment(spans, docs).collect()) == want
+    monkeypatch.setattr(verify, "ANCHORS", 2)
+    monkeypatch.setattr(verify, "SHORT", 3)
+    monkeypatch.setattr(lexical, "VOCABULARY", 2)
+    assert sorted(tuple(x) for x in verify.corpus_containment(spans, docs).collect()) == want
+    assert lexical.bm25_topk(docs, questions, 5).orderBy("question_id", "lex_rank").collect() == best
+
+
+def test_plans_of_the_corpus_wide_legs(spark):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    from attesta.operators import lexical
+
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x")], "id long, text string")
+    spans = spark.createDataFrame([(1, "a b c d e f"), (2, "x")], "question_id long, question string")
+
+    def plan(df):
+        with redirect_stdout(out := StringIO()):
+            df.explain()
+        return out.getvalue()
+
+    assert "WindowGroupLimit" in plan(lexical.bm25_topk(docs, spans, 5))
+    assert "NestedLoop" not in plan(verify.corpus_containment(spans, docs, "question_id", "question"))
