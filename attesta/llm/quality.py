@@ -157,12 +157,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     bad = labelled_ids(labels, params, trusted=False)
     asked = F.broadcast(known.where(held).withColumn("good", F.lit(True)).unionByName(bad.where(held).withColumn("good", F.lit(False))))
     whole = let(words(F.col("text")), lambda w: F.when(F.size(w) >= params.min_words, let(hashes(w), lambda h: score(w, h, model, params))))
-    found = docs.select("doc_id", "text").join(asked, "doc_id").select("good", whole.alias("s")).where("s is not null")
+    found = docs.select("doc_id", "text").join(asked, "doc_id").select("good", whole.alias("s"))
     # a number for each held-out id, and for its repeated rows
     low = found.where("good").agg(F.percentile("s", F.lit(params.reject_share)).alias("p")).first().p
     if low is None:
         return model
-    between = found.where(~F.col("good") & (F.col("s") < F.lit(low)) & (F.col("s") >= F.lit(low - params.margin))).limit(1).count()
+    # a filter on the score would be pushed below the join, and score every document
+    near = ~F.col("good") & (F.col("s") < F.lit(low)) & (F.col("s") >= F.lit(low - params.margin))
+    between = found.agg(F.max(near.cast("int")).alias("any")).first().any
     return QualityModel(weights, low if between else low - params.margin)
 
 
