@@ -111,7 +111,7 @@ def _layout(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
         for batch in batches:
             p = projections(batch.column("text"))
-            size = np.diff(utf8(batch.column("text"))[1]) + 16
+            size = np.diff(utf8(batch.column("text"))[1]) + 64  # a row costs as much as some bytes
             yield pa.RecordBatch.from_arrays([*(pa.array(p[:, d]) for d in range(3)), pa.array(size)], names=["x", "y", "z", "size"])
 
     spark = docs.sparkSession
