@@ -318,9 +318,9 @@ def _spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     copies = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     found = rows.join(often, "fp").groupBy("k").agg(F.collect_set(F.struct("fp", "first", "n", "off")).alias("a"))
     segments = written(_segment_rows(keyed, found, length), "segments")
+    discard(rows, often)
     counted = segments.join(copies, "k", "left").groupBy("fp", "sh").agg(F.first("seg").alias("seg"), F.first("off").alias("off"), F.sum(F.size("first") * F.coalesce("rows", F.lit(1))).alias("times"))
     distinct = written(counted, "distinct")
-    discard(rows, often)
     hits, crowded = _decide(distinct, length, crowd)
     if crowded.limit(1).count():
         parts = written(_parts(distinct.join(crowded, "fp"), length), "parts")
@@ -331,6 +331,8 @@ def _spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
             found = found.unionAll(_by_windows(own.join(still, "fp"), length))
         back = parts.select("fp", "sh", "lo", "part_fp", "part_sh").join(found.toDF("part_fp", "part_sh", "w"), ["part_fp", "part_sh"])
         hits = hits.unionAll(back.select("fp", "sh", F.transform("w", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b"))).cast(WINDOWS).alias("w")))
+    hits = written(hits, "hits")
+    discard(distinct)
     spans = segments.select("fp", "sh", "k", "first").join(hits, ["fp", "sh"])
     at = lambda first: F.transform("w", lambda x: F.struct((first + x["a"]).alias("a"), (first + x["b"] + length).alias("b")))
     spans = spans.select("k", F.flatten(F.transform("first", at)).alias("w"))
