@@ -95,10 +95,33 @@ def op9_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+@query
+def op11_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_perfect_hash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _oracles() -> None:
-    from .licenses import ORACLE
+    from . import collocations, licenses, trie
 
-    ORACLES["op4_license_sentences"] = ORACLE
+    ORACLES["op4_license_sentences"] = licenses.ORACLE
+    ORACLES["op11_quotient_collocations"] = collocations.ORACLE
+    ORACLES["op13_perfect_hash_trie"] = trie.ORACLE
 
 
 _oracles()
