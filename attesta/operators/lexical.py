@@ -1,84 +1,244 @@
-"""BM25 over a postings table."""
+"""A stored positional index, and what is read from it: BM25, phrases, proximity.
+
+The index is split by document: a document belongs to one of many windows by the hash of its id, and all postings of a window lie in
+one bucket of the table, sorted by term.  A row is the block of one term in one window: ids, frequencies, lengths and delta-coded places side by
+side, with the largest frequency and the shortest length of the block, which bound what any of its documents can score.
+So scores add up within a window, without a shuffle of postings, and only each question's best rows travel.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-from ..sources.scratch import written
+from ..functions.analyze import PLAIN, Analyzer
+from ..sources.scratch import _remove, shared_dir, written
 
 K1, B = 1.2, 0.75
-#: Terms that a query may test inside the row.
-VOCABULARY = 10_000
+#: Documents of a window at about, windows of a bucket at most.
+WINDOW, BUCKET = 512, 2048
+TERMS = "term string, df long, cf long"
+
+
+def tf_part(tf: Column, dl: Column, avgdl: float) -> Column:
+    """What a term's frequency gives in a document of ``dl`` words, before the term's own weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+def idf(df: Column, n: int) -> Column:
+    return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
+
 
+def deltas(places: Column) -> Column:
+    """Sorted places as differences, the first as it is."""
+    return F.transform(places, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(places, i - 1)))
 
-def porter_light(words: Column) -> Column:
-    """An optional analyzer: common English endings off."""
-    return F.transform(words, lambda w: F.regexp_replace(w, "(?<=.{3})(ations?|ings?|edly|ies|ed|es|s)$", ""))
 
+def summed(gaps: Column) -> Column:
+    """The places that :func:`deltas` coded."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(gaps, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
 
-def without_stop_words(words: Column, stop: tuple[str, ...]) -> Column:
-    return F.filter(words, lambda w: ~w.isin(*stop))
+
+def postings(docs: DataFrame, cid: str = "id", text: str = "text", analyzer: Analyzer = PLAIN, keep: list[str] | None = None) -> DataFrame:
+    """(keep, id, dl, term, places): where each term of each document stands; dl counts all words, those of the stop list too."""
+    keep = keep or []
+    words = docs.select(*keep, F.col(cid).alias("id"), analyzer.words(text).alias("w"))
+    rows = words.select(*keep, "id", F.size("w").cast("long").alias("dl"), F.posexplode("w").alias("at", "word"))
+    if analyzer.stop:
+        rows = rows.where(analyzer.kept(F.col("word")))
+    found = rows.groupBy(*keep, "id", "dl", "word").agg(F.collect_list("at").alias("places"))
+    if analyzer.stem:  # once for each distinct word of a document
+        found = found.withColumn("word", analyzer.term(F.col("word"))).groupBy(*keep, "id", "dl", "word").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return found.select(*keep, "id", "dl", F.col("word").alias("term"), F.array_sort("places").alias("places"))
+
+
+def index(docs: DataFrame, cid: str = "id", text: str = "text", analyzer: Analyzer = PLAIN) -> DataFrame:
+    """(term, df, cf): in how many documents a term stands, and how often."""
+    return postings(docs, cid, text, analyzer).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places").cast("long")).alias("cf"))
 
 
 @dataclass(frozen=True)
-class Stats:
+class Index:
+    """blocks: window, term, df, max_tf, min_dl, ids, tfs, dls, gaps; terms: term, df, cf; n documents of avgdl words each."""
+
+    blocks: DataFrame
+    terms: DataFrame
     n: int
     avgdl: float
+    analyzer: Analyzer
+    path: str
 
+    def asked(self, questions: DataFrame, qid: str = "question_id", qtext: str = "question") -> DataFrame:
+        """(question_id, offset, term) of each kept word of the questions, in order."""
+        a = self.analyzer
+        rows = questions.select(F.col(qid).alias("question_id"), F.posexplode(a.words(qtext)).alias("offset", "word"))
+        return rows.where(a.kept(F.col("word"))).select("question_id", "offset", a.term(F.col("word")).alias("term"))
 
-def postings(docs: DataFrame, cid: str = "id", text: str = "text", analyzer=None) -> DataFrame:
-    """(term, id, tf, dl): one row for each term of each document; dl counts all its tokens."""
-    words = tokens(text) if analyzer is None else analyzer(tokens(text))
-    rows = docs.select(F.col(cid).alias("id"), words.alias("w"))
-    return rows.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-def stats(docs: DataFrame, text: str = "text", analyzer=None) -> Stats:
-    """Two numbers: how many documents there are and how many tokens one has on average."""
-    words = tokens(text) if analyzer is None else analyzer(tokens(text))
-    r = docs.select(F.size(words).cast("long").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
-    return Stats(r.n, r.a or 0.0)
 
+def _columns(blocks: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
 
-def index(docs: DataFrame, cid: str = "id", text: str = "text") -> DataFrame:
-    """(term, df, cf): in how many documents a term stands, and how often."""
-    return postings(docs, cid, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+def build_index(docs: DataFrame, path: str, cid: str = "id", text: str = "text", analyzer: Analyzer = PLAIN, window: int = WINDOW) -> None:
+    """Writes blocks, then terms, then stats, whose presence says that the index is whole.
+
+    The texts are shuffled once, to their windows' buckets; both groupings and the write follow that partitioning.  A null id is left out; a
+    null text has no words, but counts as a document.
+    """
+    spark = docs.sparkSession
+    docs = docs.where(F.col(cid).isNotNull())
+    n = docs.count()
+    windows = max(1, -(-n // window))
+    buckets = max(min(windows, 8), -(-windows // BUCKET))
+    placed = docs.select(F.pmod(F.xxhash64(F.col(cid)), F.lit(windows)).alias("window"), F.col(cid).alias("id"), F.col(text).alias("text")).repartition(buckets, "window")
+    one = postings(placed, "id", "text", analyzer, ["window"])
+    posting = F.struct("id", F.size("places").alias("tf"), "dl", deltas(F.col("places")).alias("gaps"))
+    blocks = one.groupBy("window", "term").agg(F.sort_array(F.collect_list(posting)).alias("d"))
+    side = {"ids": "id", "tfs": "tf", "dls": "dl", "gaps": "gaps"}
+    blocks = blocks.select("window", "term", F.size("d").cast("long").alias("df"), F.array_max("d.tf").alias("max_tf"), F.array_min("d.dl").alias("min_dl"), *[F.col(f"d.{v}").alias(k) for k, v in side.items()])
+    name = "attesta_" + hashlib.sha1(path.encode()).hexdigest()
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    blocks.write.mode("overwrite").format("parquet").option("path", f"{path}/blocks").option("compression", "zstd").bucketBy(buckets, "window").sortBy("term").saveAsTable(name)
+    stored = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
+    cf = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    stored.groupBy("term").agg(F.sum("df").alias("df"), F.sum(cf).alias("cf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    words = placed.select(F.size(analyzer.words("text")).cast("long").alias("dl")).agg(F.sum("dl").alias("words")) if analyzer.stop else spark.read.schema(TERMS).parquet(f"{path}/terms").agg(F.sum("cf").alias("words"))
+    words.select(F.lit(n).cast("long").alias("n"), F.coalesce("words", F.lit(0).cast("long")).alias("words"), F.lit(buckets).alias("buckets"), F.lit(_columns(blocks)).alias("columns")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str, analyzer: Analyzer = PLAIN) -> Index:
+    """The index at ``path``; its blocks are read as a table bucketed by window, in a session that hasn't built it too."""
+    s = spark.read.parquet(f"{path}/stats").first()
+    name = "attesta_" + hashlib.sha1(path.encode()).hexdigest()
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} ({s.columns}) USING parquet CLUSTERED BY (window) SORTED BY (term) INTO {s.buckets} BUCKETS LOCATION '{path}/blocks'")
+    return Index(spark.table(name), spark.read.schema(TERMS).parquet(f"{path}/terms"), s.n, s.words / s.n if s.words else 1.0, analyzer, path)
+
+
+def fingerprint(docs: DataFrame) -> str:
+    """A name for what ``docs`` would read now: its plan, and its files with their sizes and times.  A table without files has none of its own and is named by its plan."""
+    context = docs.sparkSession.sparkContext
+    conf, parts = context._jsc.hadoopConfiguration(), [str(docs.semanticHash()), str(docs.schema)]
+    for f in sorted(docs.inputFiles()):
+        p = context._jvm.org.apache.hadoop.fs.Path(f)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        parts.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha1("\n".join(parts).encode()).hexdigest()
+
+
+def stored_index(docs: DataFrame, cid: str = "id", text: str = "text", analyzer: Analyzer = PLAIN) -> Index:
+    """The index of ``docs`` in the shared folder, built where there is none yet of these files and this analyzer."""
+    spark = docs.sparkSession
+    own = docs.select(F.col(cid).alias("id"), F.col(text).alias("text"))
+    path = f"{shared_dir(spark).rstrip('/')}/lexical-{fingerprint(own)}-{hashlib.sha1(repr(analyzer).encode()).hexdigest()[:8]}"
+    if not own.inputFiles() or not _exists(spark, f"{path}/stats/_SUCCESS"):
+        build_index(own, path, analyzer=analyzer)
+    return read_index(spark, path, analyzer)
+
+
+def drop_index(ix: Index) -> None:
+    spark = ix.terms.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS attesta_{hashlib.sha1(ix.path.encode()).hexdigest()}")
+    _remove(spark, [ix.path])
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("question_id").orderBy(F.desc("bm25"), "id")
+    return scores.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
 
 
-def save_index(docs: DataFrame, path: str, cid: str = "id", text: str = "text") -> None:
-    """Postings sorted by term within files, so that a term filter reaches few row groups."""
-    postings(docs, cid, text).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+def _scores(ix: Index, wanted: DataFrame, digits: int | None) -> DataFrame:
+    """(question_id, id, bm25): the sums over ``wanted`` (question_id, term, idf, perhaps window)."""
+    on = [c for c in ("window", "term") if c in wanted.columns]
+    hit = ix.blocks.select("window", "term", "ids", "tfs", "dls").join(wanted, on)
+    rows = hit.select("window", "question_id", "idf", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("d"))
+    weight = F.col("idf") * tf_part(F.col("d.tfs"), F.col("d.dls"), ix.avgdl)
+    total = F.sum(weight) if digits is None else F.round(F.sum(weight), digits)
+    return rows.groupBy("window", "question_id", F.col("d.ids").alias("id")).agg(total.alias("bm25")).drop("window")
 
 
-def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 40, *, cid: str = "id", text: str = "text", qid: str = "question_id", qtext: str = "question", digits: int = 6) -> DataFrame:
+def search(ix: Index, questions: DataFrame, k: int = 40, *, qid: str = "question_id", qtext: str = "question", digits: int = 6) -> DataFrame:
     """(question_id, id, bm25, lex_rank from 0) of the ``k`` best documents of each question; ties by id.
 
-    One pass over the documents writes the postings of the questions' terms, with a row of the empty term for each document
-    that carries its length, so that the corpus statistics come from the same table; this runs when the query is built.  A
-    vocabulary of up to ``VOCABULARY`` terms is tested inside the row, before anything is exploded; a larger one is joined.
-    A question of no known term has no results.  Each task keeps its ``k`` best of a question before the last shuffle.
+    First each question's rarest words are scored alone, enough of them to meet about four times ``k`` documents: the k-th best of these
+    sums is a floor under the k-th best score.  Then a window of documents is read only where its blocks' bounds add up to the
+    floor.  Both steps run when this is called, and what they write is a few rows a question and window.
+    A question of no known term has no results.
     """
-    asked = questions.select(F.col(qid).alias("question_id"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    some = [r.term for r in vocabulary.limit(VOCABULARY + 1).collect()]
-    words = docs.select(F.col(cid).alias("id"), tokens(text).alias("w"))
-    size, few = F.size("w").cast("long").alias("dl"), len(some) <= VOCABULARY
-    known = F.filter("w", lambda x: x.isin(some)) if few else F.col("w")
-    rows = words.select("id", size, F.explode(F.concat(known, F.array(F.lit("")))).alias("term"))
-    if not few:
-        rows = rows.join(vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
-    tf = written(rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    s = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("a")).first()
-    tf = tf.where("term <> ''")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(s.n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(s.a or 1.0)))
-    scored = tf.join(df, "term").select("term", "id", weight.alias("weight")).join(asked, "term")
-    total = scored.groupBy("question_id", "id").agg(F.round(F.sum("weight"), digits).alias("bm25"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("bm25"), "id")
-    best = total.withColumn("lex_rank", F.row_number().over(order)).where(F.col("lex_rank") <= k)
-    return best.withColumn("lex_rank", F.col("lex_rank") - 1)
+    asked = ix.asked(questions, qid, qtext).select("question_id", "term").distinct()
+    asked = written(asked.join(ix.terms, "term").select("question_id", "term", "df", idf(F.col("df"), ix.n).alias("idf")), "asked")
+    seen = F.sum("df").over(Window.partitionBy("question_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+    seeds = written(asked.withColumn("seen", seen).where((F.col("seen") < 4 * k) | F.col("seen").isNull()).select("question_id", "term", "idf"), "seeds")
+    floor = _best(_scores(ix, seeds, None), k).where(F.col("r") == k).select("question_id", F.col("bm25").alias("floor"))
+    bounds = ix.blocks.select("window", "term", "max_tf", "min_dl").join(asked.select("question_id", "term", "idf"), "term")
+    bound = F.sum(F.col("idf") * tf_part(F.col("max_tf"), F.col("min_dl"), ix.avgdl))
+    live = bounds.groupBy("window", "question_id").agg(bound.alias("bound")).join(written(floor, "floors"), "question_id", "left")
+    live = live.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 10.0**-digits)).select("window", "question_id")
+    wanted = written(live.join(asked.select("question_id", "term", "idf"), "question_id"), "windows")
+    best = _best(_scores(ix, wanted, digits), k)
+    return best.select("question_id", "id", "bm25", (F.col("r") - 1).alias("lex_rank"))
+
+
+def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 40, *, cid: str = "id", text: str = "text", qid: str = "question_id", qtext: str = "question", digits: int = 6, analyzer: Analyzer = PLAIN) -> DataFrame:
+    """:func:`search` in the stored index of ``docs``."""
+    return search(stored_index(docs, cid, text, analyzer), questions, k, qid=qid, qtext=qtext, digits=digits)
+
+
+def positions(ix: Index) -> DataFrame:
+    """(term, id, tf, places) as the index holds them."""
+    rows = ix.blocks.select("term", F.explode(F.arrays_zip("ids", "tfs", "gaps")).alias("d"))
+    return rows.select("term", F.col("d.ids").alias("id"), F.col("d.tfs").cast("long").alias("tf"), summed(F.col("d.gaps")).alias("places"))
+
+
+def _placed(ix: Index, asked: DataFrame) -> DataFrame:
+    """(window, question_id, offset, id, places) of the documents that hold every distinct term that a question asks."""
+    need = asked.groupBy("question_id").agg(F.countDistinct("term").alias("need"))
+    # documents first, from the ids alone: places are decoded for those that hold all terms
+    rows = ix.blocks.select("window", "term", "ids").join(asked.select("question_id", "term").distinct(), "term")
+    held = rows.select("window", "question_id", F.explode("ids").alias("id")).groupBy("window", "question_id", "id").agg(F.count(F.lit(1)).alias("have"))
+    full = held.join(need, "question_id").where("have = need").select("window", "question_id", "id")
+    spread = ix.blocks.select("window", "term", "ids", "gaps").join(asked, "term").select("window", "question_id", "offset", F.explode(F.arrays_zip("ids", "gaps")).alias("d"))
+    spread = spread.select("window", "question_id", "offset", F.col("d.ids").alias("id"), F.col("d.gaps").alias("g"))
+    return spread.join(full, ["window", "question_id", "id"]).select("window", "question_id", "offset", "id", summed(F.col("g")).alias("places"))
+
+
+def phrase_match(ix: Index, questions: DataFrame, *, qid: str = "question_id", qtext: str = "question") -> DataFrame:
+    """(question_id, id, times, first): documents that hold the question's kept words at the same distances, how often and where first.
+
+    A start is a place minus the word's offset; it counts where all offsets agree.
+    """
+    asked = written(ix.asked(questions, qid, qtext), "phrases")
+    need = asked.groupBy("question_id").agg(F.count(F.lit(1)).alias("words"), F.min("offset").alias("lead"))
+    starts = _placed(ix, asked).select("window", "question_id", "id", F.explode(F.transform("places", lambda p: p - F.col("offset"))).alias("at"))
+    agreed = starts.groupBy("window", "question_id", "id", "at").agg(F.count(F.lit(1)).alias("n")).join(need, "question_id").where("n = words")
+    return agreed.groupBy("window", "question_id", "id").agg(F.count(F.lit(1)).alias("times"), F.min(F.col("at") + F.col("lead")).cast("long").alias("first")).drop("window")
+
+
+def near(ix: Index, questions: DataFrame, slop: int | None = None, *, qid: str = "question_id", qtext: str = "question") -> DataFrame:
+    """(question_id, id, span): the fewest words in a row that hold all the question's terms, in any order; ``slop``: at most so many more than there are terms.
+
+    A document's places are merged in order; at each the latest place of every term is known, and the span reaches back to the oldest of these.
+    """
+    asked = ix.asked(questions, qid, qtext).select("question_id", "term").distinct()
+    number = F.row_number().over(Window.partitionBy("question_id").orderBy("term")) - 1
+    asked = written(asked.withColumn("offset", number), "near")
+    rows = _placed(ix, asked).groupBy("window", "question_id", "id").agg(F.max("offset").alias("top"), F.sort_array(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("p"), F.col("offset").alias("t")))))).alias("m"))
+    none = F.lit(-(1 << 30))
+    start = F.struct(F.transform(F.sequence(F.lit(0), F.col("top")), lambda _: none).alias("last"), F.lit(1 << 30).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.transform(s["last"], lambda v, i: F.when(i == x["t"], x["p"]).otherwise(v))
+        oldest = F.array_min(last)
+        return F.struct(last.alias("last"), F.least(s["best"], F.when(oldest >= 0, x["p"] - oldest + 1)).alias("best"))
+
+    out = rows.select("question_id", "id", "top", F.aggregate("m", start, step, lambda s: s["best"]).cast("long").alias("span"))
+    return (out if slop is None else out.where(F.col("span") <= F.col("top") + 1 + slop)).drop("top")

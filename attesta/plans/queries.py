@@ -141,9 +141,45 @@ def gate(t):
     return dense.gate(_best(t))
 
 
+def stored(t) -> lexical.Index:
+    return lexical.stored_index(documents(t))
+
+
 @query(f"WITH {LEX_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
 def bm25_index(t):
-    return lexical.index(documents(t))
+    return stored(t).terms
+
+
+PLACES_SQL = f"places AS (SELECT id, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM (SELECT doc_id AS id, {TOKENS_SQL.format('text')} AS w FROM documents))"
+
+
+@query(f"""WITH {PLACES_SQL} SELECT term, count(*) AS df, md5(string_agg(id || ':' || pl, ';' ORDER BY id)) AS places_md5 FROM (SELECT term, id, string_agg(p, ',' ORDER BY p) AS pl FROM places GROUP BY term, id) GROUP BY term""")
+def bm25_positions(t):
+    """Every place of every term, as the index holds them."""
+    one = F.concat(F.col("id").cast("string"), F.lit(":"), F.array_join(F.transform("places", lambda x: x.cast("string")), ","))
+    rows = lexical.positions(stored(t)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("id", one.alias("x")))).alias("d"))
+    return rows.select("term", "df", F.md5(F.array_join("d.x", ";")).alias("places_md5"))
+
+
+@query(f"""WITH docs AS (SELECT doc_id AS id, {TOKENS_SQL.format("text")} AS w FROM documents), asked AS (SELECT item_id AS question_id, {TOKENS_SQL.format("text")} AS q FROM benchmark),
+found AS (SELECT question_id, id, list_filter(range(1, len(w) - len(q) + 2), lambda i: w[i] = q[1] AND w[i:i + len(q) - 1] = q) AS pl FROM docs JOIN asked ON len(q) > 0 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' '))
+SELECT question_id, id, len(pl) AS times, pl[1] - 1 AS first FROM found WHERE len(pl) > 0""")
+def phrase_match(t):
+    """Documents that hold an item's words in a row."""
+    return lexical.phrase_match(stored(t), questions(t))
+
+
+@query(f"""WITH {PLACES_SQL}, asked AS (SELECT DISTINCT item_id AS question_id, unnest({TOKENS_SQL.format("text")}) AS term FROM benchmark),
+need AS (SELECT question_id, count(*) AS n FROM asked GROUP BY question_id),
+hits AS (SELECT question_id, id, term, p FROM places JOIN asked USING (term)),
+full_ AS (SELECT question_id, id FROM hits GROUP BY question_id, id HAVING count(DISTINCT term) = (SELECT n FROM need WHERE need.question_id = hits.question_id)),
+own AS (SELECT h.* FROM hits h JOIN full_ USING (question_id, id)),
+latest AS (SELECT a.question_id, a.id, a.p, b.term, max(b.p) AS last FROM own a JOIN own b ON b.question_id = a.question_id AND b.id = a.id AND b.p <= a.p GROUP BY ALL),
+spans AS (SELECT question_id, id, p - min(last) + 1 AS span, count(*) AS n FROM latest GROUP BY question_id, id, p)
+SELECT question_id, id, min(span) AS span FROM spans JOIN need USING (question_id, n) GROUP BY question_id, id""")
+def near_match(t):
+    """The fewest words in a row that hold all terms of an item, in every document that has them all."""
+    return lexical.near(stored(t), questions(t))
 
 
 @query(f"WITH {LEX_SQL} SELECT question_id, id, bm25, lex_rank FROM lex")

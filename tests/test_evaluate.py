@@ -108,27 +108,18 @@ def test_score_sets_share_a_header(spark):
 def test_structure_checks(spark):
     from pyspark.sql import functions as F
 
-    from attesta.operators import lexical, regime, validate, verify
+    from attesta.operators import regime, validate, verify
 
     marked = spark.createDataFrame([(1, 0, 1, "A", "# A"), (1, 1, 2, "B", "## B"), (1, 2, None, None, "1. x"), (1, 3, None, None, "2a. y"), (1, 4, 2, "C", "## C")], "doc_id long, pos int, level int, title string, par string")
     assert [r.title for r in validate.empty_headings(marked).orderBy("pos").collect()] == ["A", "C"]
     assert [(r.heading, r.number) for r in validate.paragraph_numbers(marked).orderBy("pos").collect()] == [("B", "1"), ("B", "2a")]
     cells = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 0, 1), (1, 0, 1, 0), (1, 1, 0, 0)], "doc_id long, table_no int, row int, col int")
     assert [(r.table_no, r.cells, r.height, r.width) for r in validate.grid_faults(cells).collect()] == [(0, 3, 2, 2)]
-    words = spark.createDataFrame([(["running", "stations", "cat", "ties"],)], "w array<string>")
-    assert words.select(lexical.porter_light(F.col("w")).alias("w")).first().w[2] == "cat" and words.select(lexical.without_stop_words(F.col("w"), ("cat",)).alias("w")).first().w == ["running", "stations", "ties"]
     ids = spark.createDataFrame([("a#1", "a#1|b#2"), ("b#2(3)", "a#1|b#2"), ("c", "a#1")], "cid string, anchors string")
     assert [r.m for r in ids.select(verify.base_matches(F.col("cid"), F.col("anchors")).alias("m")).collect()] == [True, True, False]
     assert regime.closed_set(spark.createDataFrame([("X",), ("X",), ("Y",)], "n string"), "n").count() == 2
 
 
-def test_postings_are_stored_by_term(spark, tmp_path):
-    from attesta.operators import lexical
-
-    lexical.save_index(spark.createDataFrame([(1, "a b a"), (2, "b")], "id long, text string"), str(tmp_path / "postings"))
-    assert sorted((r.term, r.id, r.tf, r.dl) for r in spark.read.parquet(str(tmp_path / "postings")).collect()) == [("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 2, 1, 1)]
-
-
 def test_a_stream_leaves_nothing_in_the_shared_folder(spark, tmp_path):
     from pathlib import Path
 
