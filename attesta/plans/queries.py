@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.models import REFUSAL
 from ..operators import chunk as K
-from ..operators import convert, dense, evaluate, fuse, lexical, regime, validate, verify
+from ..operators import convert, dense, evaluate, fuse, lexical, order, regime, validate, verify
 from ..sources import chunks as C
 from ..sources import pages as P
 from ..sources.scratch import written
@@ -161,9 +161,9 @@ def bm25_positions(t):
     return rows.select("term", "df", F.md5(F.array_join("d.x", ";")).alias("places_md5"))
 
 
-@query(f"""WITH docs AS (SELECT doc_id AS id, {TOKENS_SQL.format("text")} AS w FROM documents), asked AS (SELECT item_id AS question_id, {TOKENS_SQL.format("text")} AS q FROM benchmark),
-found AS (SELECT question_id, id, list_filter(range(1, len(w) - len(q) + 2), lambda i: w[i] = q[1] AND w[i:i + len(q) - 1] = q) AS pl FROM docs JOIN asked ON len(q) > 0 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' '))
-SELECT question_id, id, len(pl) AS times, pl[1] - 1 AS first FROM found WHERE len(pl) > 0""")
+@query(f"""WITH {PLACES_SQL}, asked AS (SELECT question_id, len(q) AS n, unnest(q) AS term, unnest(range(0, len(q))) AS k FROM (SELECT item_id AS question_id, {TOKENS_SQL.format("text")} AS q FROM benchmark)),
+starts AS (SELECT question_id, id, p - k AS start FROM places JOIN asked USING (term) GROUP BY question_id, id, p - k, n HAVING count(*) = n)
+SELECT question_id, id, count(*) AS times, min(start) AS first FROM starts GROUP BY question_id, id""")
 def phrase_match(t):
     """Documents that hold an item's words in a row."""
     return lexical.phrase_match(stored(t), questions(t))
@@ -682,6 +682,46 @@ def order_splices(t):
     return validate.order_splices(c.withColumn("p", F.col("turn")), c.withColumn("p", F.length("text") * 1000 + F.col("turn")), "conv_id", "p", "text")
 
 
+#: A conversation's turns against an edited copy: every fifth is lost, others move, the second comes again at the end.
+EDITED_SQL = "CASE WHEN turn % 4 = 2 THEN turn - 3 ELSE turn * 2 END"
+
+
+def _order_sql(a: str, b: str, name: str) -> str:
+    """One direction's tables, with chains of runs listed one by one; ``a`` and ``b`` are the sides."""
+    return f"""
+met_{a} AS (SELECT x.key, x.g, x.p AS i, y.p AS j FROM grams_{a} x LEFT JOIN grams_{b} y USING (key, g, r)),
+runs_{a} AS (SELECT key, min(i) AS i, min(j) AS j, count(*) AS size, row_number() OVER (PARTITION BY key ORDER BY min(i)) AS rid FROM (
+  SELECT key, i, j, i - row_number() OVER (PARTITION BY key, j - i ORDER BY i) AS island FROM met_{a} WHERE j IS NOT NULL) GROUP BY key, j - i, island),
+chains_{a} AS (SELECT key, rid, j, size AS total, [rid] AS ids FROM runs_{a} UNION ALL SELECT c.key, r.rid, r.j, c.total + r.size, list_append(c.ids, r.rid) FROM chains_{a} c JOIN runs_{a} r ON r.key = c.key AND r.rid > c.rid AND r.j > c.j),
+best_{a} AS (SELECT key, ids FROM (SELECT key, ids, row_number() OVER (PARTITION BY key ORDER BY total DESC, ids) AS z FROM chains_{a}) WHERE z = 1),
+covers_{a} AS (
+  SELECT r.key, CASE WHEN list_contains(b.ids, r.rid) THEN 0 ELSE 1 END AS class, r.i AS s, r.i + r.size + 3 AS e, r.j - r.i AS shift FROM runs_{a} r JOIN best_{a} b USING (key)
+  UNION ALL SELECT key, 2, i, i + 4, NULL FROM met_{a} WHERE j IS NULL AND EXISTS (SELECT 1 FROM grams_{b} y WHERE y.key = met_{a}.key AND y.g = met_{a}.g)),
+told_{a} AS (SELECT * FROM (SELECT w.key, w.p, coalesce(c.class, 3) AS class, CASE WHEN c.class = 1 THEN c.shift END AS shift, row_number() OVER (PARTITION BY w.key, w.p ORDER BY coalesce(c.class, 3), c.s) AS z
+  FROM words_{a} w LEFT JOIN covers_{a} c ON c.key = w.key AND w.p >= c.s AND w.p < c.e) WHERE z = 1 AND class > 0),
+found_{a} AS (SELECT key, class, min(p) AS start, count(*) AS words, min(p + shift) AS to_ FROM (SELECT *, p - row_number() OVER (PARTITION BY key, class, shift ORDER BY p) AS island FROM told_{a}) GROUP BY key, class, shift, island),
+edges_{a} AS (SELECT key, min(p) AS s, max(p) + 1 AS e FROM words_{a} GROUP BY key, pos),
+out_{a} AS (SELECT key AS conv_id, '{name}' AS direction, CASE class WHEN 1 THEN 'SPLICE' WHEN 2 THEN 'REPEAT' ELSE CASE WHEN EXISTS (SELECT 1 FROM edges_{a} x WHERE x.key = f.key AND x.s = f.start) AND EXISTS (SELECT 1 FROM edges_{a} x WHERE x.key = f.key AND x.e = f.start + f.words) THEN 'ABSENT' ELSE 'DROPOUT' END END AS class, start, words, to_ AS "to" FROM found_{a} f)"""
+
+
+def _words_sql(side: str, rows: str) -> str:
+    return f"""
+words_{side} AS (SELECT key, pos, word, row_number() OVER (PARTITION BY key ORDER BY pos, k) - 1 AS p FROM (SELECT key, pos, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM ({rows}))),
+grams_{side} AS (SELECT key, g, p, row_number() OVER (PARTITION BY key, g ORDER BY p) AS r FROM (
+  SELECT key, p, concat_ws(' ', word, lead(word, 1) OVER v, lead(word, 2) OVER v, lead(word, 3) OVER v) AS g, count(*) OVER (PARTITION BY key) AS n FROM words_{side} WINDOW v AS (PARTITION BY key ORDER BY p)) WHERE p + 4 <= n OR p = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_words_sql("a", f"SELECT conv_id AS key, turn AS pos, {TOKENS_SQL.format('text')} AS w FROM conversations")},
+{_words_sql("b", f"SELECT conv_id AS key, {EDITED_SQL} AS pos, {TOKENS_SQL.format('text')} AS w FROM conversations WHERE turn % 5 <> 3 UNION ALL SELECT conv_id, 1000, {TOKENS_SQL.format('text')} FROM conversations WHERE turn = 1")},
+{_order_sql("a", "b", "source -> corpus")}, {_order_sql("b", "a", "corpus -> source")}
+SELECT * FROM out_a UNION ALL SELECT * FROM out_b""")
+def order_runs(t):
+    """Conversations against their edited copies, both ways."""
+    c = t("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+    moved = c.where("turn % 5 <> 3").withColumn("turn", F.expr(EDITED_SQL))
+    return order.order_runs(c, moved.unionByName(c.where("turn = 1").withColumn("turn", F.lit(1000).cast("long"))), "conv_id", "turn", "text")
+
+
 @query("""SELECT source, CAST(coalesce(sum(CASE WHEN lang = 'en' THEN n_chars END), 0) AS BIGINT) AS emitted, CAST(coalesce(sum(CASE WHEN lang <> 'en' THEN n_chars END), 0) AS BIGINT) AS dropped,
 CAST(coalesce(sum(CASE WHEN lang = 'en' THEN n_chars END), 0) - coalesce(sum(CASE WHEN lang <> 'en' THEN n_chars END), 0) AS BIGINT) AS difference FROM documents GROUP BY source""")
 def char_reconciliation(t):
