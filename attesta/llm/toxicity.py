@@ -101,17 +101,14 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, p: ToxicityParams) -> tuple
     z and n of each coordinate are kept; a weight is -(z - sign(z) l1) / ((beta + sqrt(n)) / alpha + l2) where |z| > l1, else 0.
     The intercept has its own rate and no penalty.
     """
-    used, flat = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_inverse=True)
-    z, n = np.zeros(len(used)), np.zeros(len(used))
+    z, n = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
     z0 = n0 = 0.0
-    ends = np.cumsum([0, *map(len, rows)])
 
     def intercept() -> float:
         return -z0 * p.alpha / (p.beta + n0**0.5)
 
     for _ in range(p.epochs):
-        for i, y in enumerate(labels.tolist()):
-            j = flat[ends[i] : ends[i + 1]]
+        for j, y in zip(rows, labels.tolist()):
             zj, nj = z[j], n[j]
             root = np.sqrt(nj)
             w = np.where(np.abs(zj) > p.l1, (np.sign(zj) * p.l1 - zj) / ((p.beta + root) / p.alpha + p.l2), 0.0)
@@ -123,7 +120,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, p: ToxicityParams) -> tuple
             n0 += g * g
     w = np.where(np.abs(z) > p.l1, (np.sign(z) * p.l1 - z) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2), 0.0)
     some = np.flatnonzero(w)
-    return intercept(), used[some], w[some]
+    return intercept(), some, w[some]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
