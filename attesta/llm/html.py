@@ -11,7 +11,8 @@ Where a page marks its article, words elsewhere pay a penalty.
 An element that its names or its tag make negative, and whose words sum to less than zero, is furniture: its words score next to
 nothing and are no part of the text, so that furniture inside an article neither tears it apart nor stays in it.  Names are not believed
 where they would take the page's own text away: of an element around the marked article or, without a mark, of one beside which
-the rest of the page has too few words.  One linear scan then finds the contiguous region of the highest sum; its words outside furniture are the text.
+the rest of the page has too few words.  The same holds of a form or fieldset, which may stand around a whole page, and of any element
+that is never ended.  Of a compound name its last telling word decides.  One linear scan then finds the contiguous region of the highest sum; its words outside furniture are the text.
 
 Blocks end at block-level tags; ``br`` is white space.  All steps are linear in the page's length.
 
@@ -43,6 +44,15 @@ FURNITURE_NAMES = frozenset(
     "ad ads adsense advert advertisement advertising advertorial banner breadcrumb breadcrumbs cmt cmts comment commentary comments consent cookie cookies copyright discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "overlay pager pagination paywall popup promo promotion recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Furniture by its tag that a whole page may stand in: believed only beside the page's text, like names.
+WRAPPERS = frozenset("form fieldset".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+#: Last words of compound names that say nothing of their own: ``comment-list`` is about comments, ``share-price`` about a price.
+STRUCTURAL = frozenset(
+    "area article articles bar block body bottom box button buttons col column container content count div entries entry field fields form grid group head heading icon icons inner item items label left link links list module news outer "
+    "panel placeholder post posts region right row section slot stories story text title top unit widget wrap wrapper".split()
+)
 #: After one of these a name says what isn't there, or what something else has.
 MODIFIERS = frozenset("has is js no non not with without".split())
 
@@ -83,16 +93,21 @@ class Weights:
 
 
 def names_of(attrs: str) -> list[str]:
-    """The words of an element's class, id and role, without those that a modifier turns around."""
+    """The words of an element's class, id and role, without those that a modifier turns around.
+
+    A word of the list that is not what its name is about, as the first of ``share-price``, gets a ``~`` before it: it is a word of its own.
+    """
     out: list[str] = []
     if "=" in attrs:
         for m in NAMES.finditer(attrs):
             for name in (m[2] or m[3] or m[4] or "").split():
-                before = ""
-                for part in PART.findall(name):
-                    if before not in MODIFIERS:
-                        out.append(part.lower())
-                    before = part.lower()
+                parts = [x.lower() for x in PART.findall(name)]
+                about = len(parts)
+                while about and (parts[about - 1] in STRUCTURAL or parts[about - 1].isdigit()) and parts[about - 1] not in FURNITURE_NAMES:
+                    about -= 1
+                if not about or parts[about - 1] not in FURNITURE_NAMES:
+                    parts = ["~" + x if x in FURNITURE_NAMES else x for x in parts]
+                out += [x for x, before in zip(parts, ["", *parts]) if before not in MODIFIERS]
     return out
 
 
@@ -107,11 +122,13 @@ class Page:
     article: list[int]
     first: list[int]
     last: list[int]
+    ended: list[bool]
 
 
 def read(page: str) -> Page:
     events: list[tuple] = []
     tags, up, names, article, first, last, kinds = [""], [-1], [[]], [0], [0], [0], ["other"]
+    ended = [True]  # an end tag of its own
     stack, blocks, open_ = [0], [0], {}  # open elements, those of them that are blocks, and how many are open by tag
 
     def close(upto: int) -> None:
@@ -131,6 +148,8 @@ def read(page: str) -> Page:
             events.append((kinds[stack[-1]], page[at:], stack[-1]))
             break
         if m.start() > at:
+            if tags[stack[-1]] == "head" and not page[at : m.start()].isspace():
+                close(stack[-1])
             events.append((kinds[stack[-1]], page[at : m.start()], stack[-1]))
         at = m.end()
         tag = m[3]
@@ -145,6 +164,7 @@ def read(page: str) -> Page:
                 while tags[stack[k]] != tag:
                     k -= 1
                 e = stack[k]
+                ended[e] = True
                 close(e)
                 events.append((None, "/" + tag, e))
             else:
@@ -152,6 +172,8 @@ def read(page: str) -> Page:
             continue
         attrs = m[4] if m[4] is not None else m[5] or ""
         alone = attrs[-1:] == "/" and attrs[-2:-1] in ("", " ", "\t", "\n", '"', "'")
+        if tags[stack[-1]] == "head" and tag not in IN_HEAD:
+            close(stack[-1])
         if tag in RAW:
             events.append((None, tag, stack[-1]))
             end = None if alone else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -174,6 +196,7 @@ def read(page: str) -> Page:
         article.append(article[above] + (tag in ("article", "main")))
         first.append(len(events))
         last.append(-1)
+        ended.append(False)
         kinds.append("textlink" if tag == "a" and kinds[above] in ("paragraph", "heading", "textlink") else "link" if tag == "a" else KIND_OF.get(tag) or ("other" if tag in BLOCKS else kinds[above]))
         stack.append(e)
         open_[tag] = open_.get(tag, 0) + 1
@@ -181,7 +204,7 @@ def read(page: str) -> Page:
             blocks.append(e)
     for e in stack:
         last[e] = len(events)
-    return Page(events, tags, up, names, article, first, last)
+    return Page(events, tags, up, names, article, first, last, ended)
 
 
 def listed(p: Page, e: int) -> bool:
@@ -232,16 +255,18 @@ def judged(p: Page, weights: Weights) -> tuple[list[bool], list[float], list[boo
         by_tag[e] = is_element(p, e) and not around[e]
         if p.names[e] and not around[e] and p.tag[e] not in ("html", "body") and (under[p.up[e]] or not under[e]):
             by_name[e] = sum(weights.name(x) for x in set(p.names[e]) if not (x == "header" and p.article[e]))
-    if not mark:  # names are believed from the largest element down; inside: words that stand under no lower element in question
-        low = [by_tag[e] or by_name[e] < 0 for e in range(k)]
-        for e in range(k - 1, 0, -1):
-            if not low[e]:
-                inside[p.up[e]] += inside[e]
-        rest = inside[0]
-        for e in sorted((e for e in range(1, k) if by_name[e] < 0 and not by_tag[e]), key=lambda e: (-held[e], e)):
-            if rest < BESIDE * held[e]:
-                by_name[e] = 0.0
-                rest += inside[e]
+    # believed from the largest element down; inside: words that stand under no lower element in question
+    low = [by_tag[e] or by_name[e] < 0 for e in range(k)]
+    for e in range(k - 1, 0, -1):
+        if not low[e]:
+            inside[p.up[e]] += inside[e]
+    rest = sum(inside[e] for e in range(1, k) if under[e] and not under[p.up[e]]) if mark else inside[0]
+    wrapper = [by_tag[e] and (p.tag[e] in WRAPPERS or not p.ended[e]) for e in range(k)]
+    doubted = [e for e in range(1, k) if (under[e] and wrapper[e] if mark else low[e] and (wrapper[e] or not by_tag[e]))]
+    for e in sorted(doubted, key=lambda e: (-held[e], e)):
+        if rest < BESIDE * held[e]:
+            by_tag[e], by_name[e] = False, max(0.0, by_name[e])
+            rest += inside[e]
     out, extra = [False] * k, [0.0] * k
     for e in range(1, k):
         extra[e] = extra[p.up[e]] + (ELEMENT if by_tag[e] else 0.0) + by_name[e]

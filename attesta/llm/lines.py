@@ -83,15 +83,16 @@ def templates(docs: DataFrame, rows: DataFrame, p: LineParams = LineParams()) ->
     text = docs.select(row_key().alias("key"), "text").join(places.hint("merge"), "key").select(let(F.split("text", "\n"), lambda x: F.transform("places", lambda y: F.struct(y["lh"].alias("lh"), F.get(x, y["idx"]).alias("line")))).alias("x"))
     text = text.select(F.explode("x").alias("x")).select("x.lh", masked_tokens(F.col("x.line")).alias("tok")).dropDuplicates(["lh"])
     tokens = written(open_lines.join(text, "lh").select("leaf", "lh", "n", "first", "tok"), "tokens")
+    sizes = tokens.select("leaf", "lh", "n", "first", F.size("tok").alias("size"))
     each = tokens.select("leaf", "lh", "n", F.posexplode("tok").alias("pos", "t")).where("t <> '<*>'")
     twice = several.join(tokens.select("leaf", "lh", "tok"), ["leaf", "lh"]).select("leaf", "c", F.posexplode("tok").alias("pos", "t")).where("t <> '<*>'")
     twice = twice.groupBy("leaf", "c", "pos", "t").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf", "pos", "t", (1 - F.col("k")).alias("n"))
     constant = each.select("leaf", "pos", "t", "n").unionByName(twice).groupBy("leaf", "pos", "t").agg(F.sum("n").alias("s")).where(F.col("s") >= p.min_docs).drop("s")
     constant = written(constant, "constant")  # so that the join splits a hot token's lines
     fixed = each.join(constant, ["leaf", "pos", "t"]).groupBy("leaf", "lh").agg(F.collect_list(F.struct("pos", "t")).alias("fixed"))
-    template = F.transform("tok", lambda t, i: F.when(F.exists("fixed", lambda f: f["pos"] == i), t).otherwise("<*>"))
-    enough = F.size("fixed") >= p.constant_share * F.size("tok")
-    general = tokens.join(fixed, ["leaf", "lh"]).where(enough).select("leaf", "lh", "n", "first", F.xxhash64(template).alias("th"))
+    # in a leaf, whose lines have equally many tokens, the constant tokens and their places are the template
+    enough = F.size("fixed") >= p.constant_share * F.col("size")
+    general = sizes.join(fixed, ["leaf", "lh"]).where(enough).select("leaf", "lh", "n", "first", F.xxhash64(F.sort_array("fixed")).alias("th"))
     general = written(general, "general")
     again = several.join(general.select("leaf", "lh", "th"), ["leaf", "lh"]).groupBy("leaf", "c", "th").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     again = again.select("leaf", "th", (1 - F.col("k")).alias("n"), F.lit(None).cast(general.schema["first"].dataType).alias("first"))
@@ -114,7 +115,8 @@ def line_dedup(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     discard(rows, recurring)
     df = docs.withColumn(key, row_key()).join(gone.hint("merge"), key, "left")
     lines, gone = F.split("text", "\n"), F.col(name)
-    kept = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    stay = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)), "\n"))
+    kept = F.when(gone.isNull(), F.col("text")).otherwise(stay)
     new = {
         "text": kept,
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),

@@ -284,3 +284,50 @@ def test_url_labels_beside_the_rules(spark):
     got = {x.page_id: x.verdict for x in urls.filter_urls(pages, labels=labels).collect()}
     assert all(got[i] == "allow" and got[100 + i] == "block" for i in range(40))
     assert {x.verdict for x in urls.filter_urls(pages, labels=labels.where("not accepted")).collect()} == {"block"}
+
+
+W1 = "The council met on Monday and agreed to repair the old bridge before winter comes."
+W2 = "Work will begin in the spring, and the road stays open for buses and for bicycles."
+W3 = "Residents had asked for years that something be done about the noise and the dust."
+THREE = f"<p>{W1}</p><p>{W2}</p><p>{W3}</p>"
+TEXT = f"{W1}\n\n{W2}\n\n{W3}"
+LINKS = "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(12))
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><meta charset=utf-8><body>{THREE}</body></html>",  # the head's end left out
+    f"<html><head><title>T</title><link rel=x href=y><p>{W1}</p><p>{W2}</p><p>{W3}</p>",  # and the body's tags too
+    f"<head><script>var a;</script><style>p {{}}</style><div><p>{W1}</p><p>{W2}</p><p>{W3}</p></div>",
+    f"<body><form id=aspnetForm action=/x><input type=hidden>{THREE}</form></body>",  # a page inside a form
+    f"<body><form><div class=nav-bar><ul>{LINKS}</ul></div><div>{THREE}</div><div class=footer>Copyright us</div></form></body>",
+    f"<body><form><nav><ul>{LINKS}</ul></nav><div id=content>{THREE}</div><footer>About us and others</footer></form></body>",
+    f"<body><fieldset><legend></legend>{THREE}</fieldset></body>",
+    f"<body><form><fieldset>{THREE}</fieldset></form></body>",
+    f"<body><nav><ul>{LINKS}</ul>{THREE}</body>",  # a nav that never ends
+    f"<body><aside class=box><div>{THREE}</div></body>",
+    f"<body><div class='layout'><div class='main-column'>{THREE}</div><form class=search-form><label>Find</label><button>Go</button></form></div></body>",
+    f"<body><article><p>{W1}</p><div class='notice-period'><p>{W2}</p></div><p>{W3}</p></article></body>",  # listed words in other names
+    f"<body><article><p>{W1}</p><div class='share-price'><p>{W2}</p></div><p>{W3}</p></article></body>",
+    f"<body><div><p>{W1}</p><div id='social-policy'><p>{W2}</p></div><p>{W3}</p></div></body>",
+    f"<body><div><p>{W1}</p><section class='comment-culture'><p>{W2}</p></section><p>{W3}</p></div></body>",
+    f"<body><article><p>{W1}</p><div class='share-buttons'>Tweet Mail</div><p>{W2}</p><p>{W3}</p></article></body>",  # and furniture by them
+    f"<body><article><p>{W1}</p><div class='related-articles'><p>Other stories to read</p></div><p>{W2}</p><p>{W3}</p></article></body>",
+    f"<body><div>{THREE}</div><div class='user-comments'><p>First comment of a reader here</p><p>Second comment of another</p></div></body>",
+    f"<body><div>{THREE}</div><div class='comments__list'><p>First comment of a reader here</p></div></body>",
+    f"<body><div class='site-header'><p>The paper of the town</p></div><div>{THREE}</div></body>",
+    f"<body><div id='cookieConsentBanner'><p>We use cookies to make this site work</p></div><div>{THREE}</div></body>",
+    f"<body><div>{THREE}</div><div class='newsletter-box'><p>Get our letter every week</p></div></body>",
+    f"<body><table><tr><td><ul>{LINKS}</ul></td><td>{THREE}</td></tr></table></body>",  # a page laid out as a table
+    f"<body><center><font size=2>{THREE}</font></center></body>",
+    f"<body><header><h1>Paper</h1></header><main>{THREE}</main><footer>us</footer></body>",
+    f"<body><main><form>{THREE}</form></main></body>",
+    f"<body><article><form>{THREE}</form></article><aside>Other things to see</aside></body>",
+    f"<body><div class=ad-slot>Buy this now</div><div>{THREE}</div><dialog>Sign in please</dialog></body>",
+    f"<BODY><NAV><UL>{LINKS}</UL></NAV><DIV>{THREE}</DIV></BODY>",
+    f"<body><nav>{LINKS}</nav><p>{W1}<p>{W2}<p>{W3}<footer>Copyright 2024 us</footer>",
+    f"<body><div role=navigation><ul>{LINKS}</ul></div><div role=main>{THREE}</div><div role=contentinfo class=copyright>us</div></body>",
+    f"<!doctype html><title>T</title>{THREE}",
+])
+def test_page_shapes(page):
+    """The same three paragraphs in thirty-two pages; what stands around them is never the text, and they never vanish."""
+    assert html.extract(page, html.weights_from({})) == TEXT
