@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .events import covered
+
 HEADING = r"^(#{1,4})\s+(.*?)(?:\s*\{#([^}]*)\})?\s*$"
 MARKER = r"^(?:(\d+[a-z]*)\.\s+|\((\w+)\)\s+)"
 BLANKS = r"\n\s*\n"
@@ -148,10 +150,10 @@ def coverage(chunks_: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str
 
 
 def unclaimed(pars: DataFrame, chunks_: DataFrame) -> DataFrame:
-    """Non-heading paragraphs whose offset lies in no chunk: a left anti range join within each document."""
+    """Non-heading paragraphs whose offset lies in no chunk: an anti join of points and intervals by one sort of both."""
     p = headings(pars).where("level is null").select("doc_id", "pos", "offset", "par")
-    c = chunks_.select(F.col("doc_id").alias("d"), F.col("offset").alias("lo"), (F.col("offset") + F.col("chars")).alias("hi"))
-    return p.join(c, (F.col("doc_id") == F.col("d")) & (F.col("offset") >= F.col("lo")) & (F.col("offset") < F.col("hi")), "left_anti")
+    c = chunks_.select("doc_id", F.col("offset").alias("lo"), (F.col("offset") + F.col("chars")).alias("hi"))
+    return covered(p, c, ["doc_id"], "offset", "lo", "hi").where("not inside").drop("inside")
 
 
 def size_report(chunks_: DataFrame) -> DataFrame:

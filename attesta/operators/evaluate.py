@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import in_order, running
+
 # Which mode a refusal of each source has.
 REFUSAL_MODES = {"gate": "refused-gate", "preflight": "refused-preflight", "generation": "refused-generation"}
 BUDGETS = (0, 1, 2)
@@ -54,27 +56,29 @@ def floor_gap(scores: DataFrame, score: str = "score", positive: str = "positive
     return ends.join(n).select("max_out", "min_in", F.when(F.col("max_out") < F.col("min_in"), F.round((F.col("max_out") + F.col("min_in")) / 2, 6)).alias("floor"), "overlapping")
 
 
-def _cumulative(scores: DataFrame, by: list[str], score: str) -> DataFrame:
-    """For each distinct score: how many positives and negatives lie strictly below it."""
-    per = scores.groupBy(*by, F.col(score).alias("t")).agg(count_if(F.col("positive")).alias("p"), count_if(~F.col("positive")).alias("n"))
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(*by, "t", F.coalesce(F.sum("p").over(w), F.lit(0)).alias("false_refusals"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("caught"), "p", "n")
+def overlap(scores: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
+    """The rows of ``scores`` between the lowest positive and the highest negative, both included: what no floor can part."""
+    ends = scores.agg(F.max(F.when(~F.col(positive), F.col(score))).alias("__top"), F.min(F.when(F.col(positive), F.col(score))).alias("__low"))
+    return scores.join(F.broadcast(ends), (F.col(score) <= F.col("__top")) & (F.col(score) >= F.col("__low"))).drop("__top", "__low")
 
 
 def threshold_sweep(scores: DataFrame, by: list[str], score: str = "score", budgets: tuple[int, ...] = BUDGETS) -> DataFrame:
     """(by, budget, threshold, caught, false_refusals, margin): of the thresholds that refuse at most ``budget`` positives, the first that catches most negatives.
 
-    A score under the threshold is refused; thresholds are the scores and one above them all (null).  Counts run along the sorted
-    distinct scores, so nothing is compared in pairs.  The margin is the distance to the lowest positive at or above the threshold.
+    A score under the threshold is refused; thresholds are the scores and one above them all (null).  Distinct scores are counted, sorted by
+    range over all samples, and summed along both directions with what earlier stretches hold, so one sample may have
+    any share of the scores.  The margin is the distance to the lowest positive at or above the threshold.
     """
-    below = _cumulative(scores, by, score)
-    top = below.groupBy(*by).agg(F.sum("p").alias("false_refusals"), F.sum("n").alias("caught")).withColumn("t", F.lit(None).cast("double"))
-    ahead = F.min(F.when(F.col("p") > 0, F.col("t"))).over(Window.partitionBy(*by).orderBy("t").rowsBetween(0, Window.unboundedFollowing))
-    every = below.withColumn("next", ahead).select(*by, "t", "false_refusals", "caught", "next").unionByName(top.withColumn("next", F.lit(None).cast("double")).select(*by, "t", "false_refusals", "caught", "next"))
-    options = every.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).where("false_refusals <= budget")
-    order = Window.partitionBy(*by, "budget").orderBy(F.desc("caught"), F.asc_nulls_last("t"))
-    best = options.withColumn("r", F.row_number().over(order)).where("r = 1")
-    return best.select(*by, "budget", F.col("t").alias("threshold"), "caught", "false_refusals", F.round(F.col("next") - F.col("t"), 6).alias("margin"))
+    per = scores.groupBy(*by, F.col(score).alias("t")).agg(count_if(F.col("positive")).alias("p"), count_if(~F.col("positive")).alias("n"))
+    up = running(in_order(per, by, ["t"], "scores"), by, {"pp": ("sum", F.col("p")), "nn": ("sum", F.col("n"))})
+    below = running(up, by, {"next": ("min", F.when(F.col("p") > 0, F.col("t")))}, reverse=True)
+    below = below.select(*by, "t", (F.col("pp") - F.col("p")).alias("false_refusals"), (F.col("nn") - F.col("n")).alias("caught"), "next")
+    none = F.lit(None).cast(scores.schema[score].dataType)
+    top = per.groupBy(*by).agg(F.sum("p").alias("false_refusals"), F.sum("n").alias("caught")).select(*by, none.alias("t"), "false_refusals", "caught", none.alias("next"))
+    options = below.unionByName(top).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).where("false_refusals <= budget")
+    first = F.min(F.struct((-F.col("caught")).alias("c"), F.col("t").isNull().alias("last"), "t", "false_refusals", "next"))
+    best = options.groupBy(*by, "budget").agg(first.alias("x"))
+    return best.select(*by, "budget", F.col("x.t").alias("threshold"), (-F.col("x.c")).alias("caught"), "x.false_refusals", F.round(F.col("x.next") - F.col("x.t"), 6).alias("margin"))
 
 
 def or_sweep(scores: DataFrame, by: list[str], first: str, second: str, t1: list[float], t2: list[float], budgets: tuple[int, ...] = BUDGETS) -> DataFrame:

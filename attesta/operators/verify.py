@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MARKER, MIN_SPAN, base_id, cited_ids, needle, normalize, outer_span, quote_pairs, segments
 from ..sources.scratch import written
+from .events import asof
 
 
 def answer_segments(answers: DataFrame, qid: str = "question_id", text: str = "answer") -> DataFrame:
@@ -69,11 +70,11 @@ def attribution(answers: DataFrame, quotes: DataFrame, sources: DataFrame, qid:
     # a marker begins after all gaps and markers before it
     at = lambda i: F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("m", 1, i), F.lit(0), lambda s, x: s + F.length(x))
     marks = marks.where(F.size("m") > 0).select("question_id", "seg_no", F.explode(F.transform("m", lambda x, i: F.struct(at(i).alias("mpos"), F.substring(x, F.lit(2), F.length(x) - 2).alias("cid")))).alias("k")).select("question_id", "seg_no", "k.mpos", "k.cid")
-    placed = quotes.join(seg, ["question_id", "seg_no"]).withColumn("ends", F.instr(F.col("segment"), F.col("span")) - 1 + F.length("span"))
+    placed = quotes.join(seg, ["question_id", "seg_no"]).withColumn("ends", F.instr(F.col("segment"), F.col("span")) - 1 + F.length("span")).drop("segment")
     key = ["question_id", "seg_no", "pos", "span"]
-    nearest = placed.join(marks, ["question_id", "seg_no"]).where("mpos >= ends").groupBy(*key).agg(F.min_by("cid", "mpos").alias("cid"))
+    nearest = asof(placed, marks, ["question_id", "seg_no"], "ends", "mpos", ["cid"], forward=True).drop("ends")
     base = classify_ids(answers, sources, qid, text).select("question_id", "cid", "base")
-    named = quotes.join(nearest, key, "left").join(base, ["question_id", "cid"], "left")
+    named = nearest.join(base, ["question_id", "cid"], "left")
     body = sources.select("question_id", F.col("id").alias("base"), F.col("body_norm").alias("base_body"))
     held = named.join(body, ["question_id", "base"], "left").withColumn("held", F.contains("base_body", needle("span", compose)))
     status = F.when(F.col("cid").isNull(), "unattributed").when(F.col("base").isNull(), "unknown").when(F.col("held"), "ok").otherwise("misattributed")

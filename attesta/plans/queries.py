@@ -533,6 +533,11 @@ def floor_gap(t):
     return evaluate.floor_gap(scores(t), "s1")
 
 
+@query(f"WITH {SCORES_SQL} SELECT sample, s1, positive, band FROM scores WHERE s1 <= (SELECT max(s1) FROM scores WHERE NOT positive) AND s1 >= (SELECT min(s1) FROM scores WHERE positive)")
+def floor_overlap(t):
+    return evaluate.overlap(scores(t), "s1").select("sample", "s1", "positive", "band")
+
+
 @query(f"""WITH {SCORES_SQL}, ts AS (SELECT DISTINCT sample, s1 AS t FROM scores UNION ALL SELECT DISTINCT sample, NULL FROM scores),
 counts AS (SELECT ts.sample, ts.t, {_sum("positive AND (ts.t IS NULL OR s1 < ts.t)")} AS false_refusals, {_sum("NOT positive AND (ts.t IS NULL OR s1 < ts.t)")} AS caught, min(CASE WHEN positive AND s1 >= ts.t THEN s1 END) AS next FROM ts JOIN scores ON scores.sample = ts.sample GROUP BY ts.sample, ts.t),
 best AS (SELECT *, row_number() OVER (PARTITION BY sample, budget ORDER BY caught DESC, t ASC NULLS LAST) AS r FROM counts, (SELECT unnest([0, 1, 2])::BIGINT AS budget) WHERE false_refusals <= budget)
@@ -793,6 +798,18 @@ def index_currency(t):
     return C.currency(d.select("path", F.sha2("text", 256).alias("sha256")), new)
 
 
+@query("""WITH recorded AS (SELECT 'd' || doc_id AS path, sha256(text) AS h FROM documents WHERE source <> 'src3'), known AS (SELECT 'd' || doc_id AS path FROM documents WHERE source <> 'src4'),
+now AS (SELECT 'd' || doc_id AS path, sha256(CASE WHEN source = 'src2' THEN upper(text) ELSE text END) AS h FROM documents WHERE source <> 'src1'),
+j AS (SELECT coalesce(r.path, n.path, k.path) AS path, r.h AS old, n.h AS new, k.path IS NOT NULL AS known FROM recorded r FULL OUTER JOIN now n ON r.path = n.path FULL OUTER JOIN known k ON k.path = coalesce(r.path, n.path))
+SELECT path, CASE WHEN NOT known THEN 'ORPHAN' WHEN new IS NULL THEN 'MISSING' WHEN old IS NULL THEN 'UNINDEXED' WHEN old = new THEN 'same' ELSE 'DIFFERS' END AS status FROM j WHERE known OR old IS NOT NULL""")
+def index_statuses(t):
+    """An index that never saw one source, against a list that no longer has another, with a third gone and a fourth altered."""
+    d = t("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text", "source")
+    old = d.where("source <> 'src3'").select("path", F.sha2("text", 256).alias("sha256"))
+    new = d.where("source <> 'src1'").select("path", F.sha2(F.when(F.col("source") == "src2", F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"))
+    return C.currency(old, new, d.where("source <> 'src4'"))
+
+
 # ---- the whole session -----------------------------------------------------------------------------------------------------
 
 

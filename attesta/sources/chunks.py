@@ -40,13 +40,27 @@ def manifest(spark: SparkSession, embed_model: str, dim: int, rows: int, hashes:
     return spark.createDataFrame([(written_by, embed_model, dim, rows, hashes)], INDEX_MANIFEST)
 
 
-def currency(recorded: DataFrame, current: DataFrame) -> DataFrame:
-    """(path, status) of two tables (path, sha256): same, DIFFERS, MISSING (recorded, gone) or UNINDEXED (there, not recorded)."""
+def currency(recorded: DataFrame, current: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(path, status) of what an index recorded and what is there now, both (path, sha256): same, DIFFERS, MISSING, UNINDEXED or ORPHAN.
+
+    known: the paths that the corpus is made of, those recorded by default.  A known path that isn't there is MISSING; one
+    that the index lacks is UNINDEXED; one that the index holds and nobody knows any more is an ORPHAN, there or not.
+    """
     j = recorded.select("path", F.col("sha256").alias("old")).join(current.select("path", F.col("sha256").alias("new")), "path", "full_outer")
-    status = F.when(F.col("old").isNull(), "UNINDEXED").when(F.col("new").isNull(), "MISSING").when(F.col("old") == F.col("new"), "same").otherwise("DIFFERS")
+    if known is not None:
+        j = j.join(known.select("path", F.lit(True).alias("known")).distinct(), "path", "full_outer").where("known or old is not null")
+    mine = F.lit(True) if known is None else F.coalesce("known", F.lit(False))
+    status = F.when(~mine, "ORPHAN").when(F.col("new").isNull(), "MISSING").when(F.col("old").isNull(), "UNINDEXED").when(F.col("old") == F.col("new"), "same").otherwise("DIFFERS")
     return j.select("path", status.alias("status"))
 
 
+def embedder_status(stamp: DataFrame, embed_model: str, dim: int) -> DataFrame:
+    """One row (path, status) beside those of :func:`currency`: does the index come from this embedder?  No stamp is UNVOUCHED."""
+    agrees = (F.col("embed_model") == embed_model) & (F.col("dim") == dim)
+    one = stamp.agg(F.count(F.lit(1)).alias("n"), F.min(agrees).alias("ok"))
+    return one.select(F.lit("embedder").alias("path"), F.when(F.col("n") == 0, "UNVOUCHED").when(F.col("ok"), "same").otherwise("DIFFERS").alias("status"))
+
+
 def exit_code(report: DataFrame, embedder_agrees: bool = True) -> int:
     """0 current, 1 stale, 2 nothing to compare."""
     r = report.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("status") != "same").cast("long")).alias("bad")).first()
