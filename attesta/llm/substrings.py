@@ -2,7 +2,10 @@
 
 Each ``length``-byte string (a window) of a text is owned by one anchor: the leftmost of its ``gram``-byte strings of the
 smallest hash.  Equal windows have equal anchors at equal places, so windows are dealt to shards by their anchor's hash, and
-no match crosses shards.  Anchors whose hash occurs once hold no repeated window and go no further.  What an anchor
+no match crosses shards.  Anchors whose hash occurs once hold no repeated window and go no further: the hashes are counted in a first pass,
+those that repeat become the bits of a broadcast map of a bounded size, and a second pass over the texts sends what the map lets through (a
+bit that another hash has set sends a segment too many, which changes no result).  With more than ``mapped`` repeated hashes a map
+would let nearly all through; then anchors and texts are joined instead.  What an anchor
 sends is a segment: the bytes of the windows it owns.  Equal segments travel once, with their number.
 
 A task packs segments into shards of ``SHARD_BYTES`` at most, builds the suffix array of each by Larsson-Sadakane refinement
@@ -35,6 +38,8 @@ from .common import discard, owned, utf8, written
 BATCH_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 PART = 16
+#: Bits of the map of repeated anchors at most (64 MB), and how many of them it may hold.
+MAP_BITS, MAPPED = 29, 1 << 27
 #: An odd constant for the polynomial over bytes.
 BASE = 0x9FB21C651E98DF25
 
@@ -193,6 +198,66 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _anchor_counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(fp, c) of every anchor's hash, summed in its task first."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data, starts = utf8(batch.column("text"))
+            for lo, hi in batches_of_texts(starts, BATCH_BYTES):
+                part = starts[lo : hi + 1]
+                fp, c = np.unique(anchors(data[part[0] : part[-1]], part - part[0], length, gram)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(c.astype(np.int64))], names=["fp", "c"])
+
+    return docs.select("text").mapInArrow(work, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c"))
+
+
+def _map_of(often: DataFrame, n: int):
+    """(bits, broadcast map): a bit for each repeated hash, sixteen times as many bits as there are hashes or 2**MAP_BITS at most."""
+    bits = min(MAP_BITS, max(18, (16 * n).bit_length()))
+    value = F.pmod("fp", F.lit(1 << bits)) + 1
+    rows = often.groupBy(F.bitmap_bucket_number(value).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits"))
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in rows.toLocalIterator():
+        out[(r.n - 1) * 4096 : r.n * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits, often.sparkSession.sparkContext.broadcast(out)
+
+
+SEGMENT = "fp long, k long, first array<int>, off int, seg binary"
+
+
+def _segment_batch(out: list[tuple]):
+    import pyarrow as pa
+
+    cols = list(zip(*out)) if out else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["fp", "k", "first", "off", "seg"])
+
+
+def _segments_by_map(docs: DataFrame, often: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """(fp, k, first, off, seg, rows) where the map says that the anchor may be repeated: a second pass over the texts, which stay where they are."""
+    bits, sent = _map_of(often, n)
+
+    def work(batches):
+        for batch in batches:
+            data, starts = utf8(batch.column("text"))
+            keys = batch.column("k").to_numpy()
+            for lo, hi in batches_of_texts(starts, BATCH_BYTES):
+                part = starts[lo : hi + 1]
+                fp, t, first, size, off = anchors(data[part[0] : part[-1]], part - part[0], length, gram)
+                low = fp & np.uint64((1 << bits) - 1)
+                some = np.flatnonzero((sent.value[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
+                raw, own = data[part[0] : part[-1]].tobytes(), {}
+                at = (part - part[0])[t[some]] + first[some]
+                for f, x, a, p, m, o in zip(fp[some].view(np.int64).tolist(), t[some].tolist(), first[some].tolist(), at.tolist(), size[some].tolist(), off[some].tolist()):
+                    own.setdefault((x, f, o, raw[p : p + m + length - 1]), []).append(a)
+                yield _segment_batch([(f, int(keys[lo + x]), places, o, seg) for (x, f, o, seg), places in own.items()])
+
+    rows = docs.select("k", "text").mapInArrow(work, SEGMENT)
+    return rows.withColumns({"sh": F.xxhash64("seg"), "rows": F.lit(1).cast("long")})
+
+
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def work(batches):
         import pyarrow as pa
@@ -208,12 +273,14 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("k", "text").mapInArrow(work, "fp long, k long, first int, n int, off int")
 
 
-def _segment_rows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(fp, sh, k, first, off, seg) of the anchors ``found`` (k, a: array of fp, first, n, off); first: the places of equal segments of a text."""
+def _segments_by_join(docs: DataFrame, often: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same where there are too many repeated anchors for a map: anchors are joined to their hashes, and texts to their anchors."""
+    rows = written(_anchor_rows(docs, length, gram), "anchors")
+    found = rows.join(often, "fp").groupBy("k").agg(F.collect_set(F.struct("fp", "first", "n", "off")).alias("a"))
+    # of repeated rows one is followed, with the number of them
+    copies = docs.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
 
     def work(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
                 part = batch.slice(row, 64)
@@ -223,10 +290,10 @@ def _segment_rows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                     for x in a:
                         own.setdefault((x["fp"], x["off"], raw[x["first"] : x["first"] + x["n"] + length - 1]), []).append(x["first"])
                     out += [(fp, k, places, off, seg) for (fp, off, seg), places in own.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32())), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.binary())], names=["fp", "k", "first", "off", "seg"])
+                yield _segment_batch(out)
 
-    rows = docs.select("k", "text").dropDuplicates(["k"]).join(found, "k").mapInArrow(work, "fp long, k long, first array<int>, off int, seg binary")
-    return rows.withColumn("sh", F.xxhash64("seg"))
+    segments = docs.select("k", "text").dropDuplicates(["k"]).join(found, "k").mapInArrow(work, SEGMENT)
+    return segments.withColumn("sh", F.xxhash64("seg")).join(copies, "k")
 
 
 WINDOWS = "array<struct<a:int,b:int>>"
@@ -309,17 +376,14 @@ def _decide(distinct: DataFrame, length: int, crowd: int) -> tuple[DataFrame, Da
     return hits, written(others.where(F.col("c") > crowd).select("fp"), "crowded")
 
 
-def _spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
+def _spans(keyed: DataFrame, length: int, gram: int, crowd: int, mapped: int) -> DataFrame:
     """(k, w): the repeated windows' spans of each document that has some, sorted."""
-    rows = written(_anchor_rows(keyed, length, gram), "anchors")
-    # written, so that the join splits a hot anchor's rows
-    often = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("fp"), "often")
-    # of repeated rows one is followed, with the number of them
-    copies = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    found = rows.join(often, "fp").groupBy("k").agg(F.collect_set(F.struct("fp", "first", "n", "off")).alias("a"))
-    segments = written(_segment_rows(keyed, found, length), "segments")
-    discard(rows, often)
-    counted = segments.join(copies, "k", "left").groupBy("fp", "sh").agg(F.first("seg").alias("seg"), F.first("off").alias("off"), F.sum(F.size("first") * F.coalesce("rows", F.lit(1))).alias("times"))
+    # written, so that the joins split a hot anchor's rows
+    often = written(_anchor_counts(keyed, length, gram).where("c >= 2").select("fp"), "often")
+    n = often.count()
+    segments = written(_segments_by_map(keyed, often, n, length, gram) if n <= mapped else _segments_by_join(keyed, often, length, gram), "segments")
+    discard(often)
+    counted = segments.groupBy("fp", "sh").agg(F.first("seg").alias("seg"), F.first("off").alias("off"), F.sum(F.size("first") * F.col("rows")).alias("times"))
     distinct = written(counted, "distinct")
     hits, crowded = _decide(distinct, length, crowd)
     if crowded.limit(1).count():
@@ -333,17 +397,18 @@ def _spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
         hits = hits.unionAll(back.select("fp", "sh", F.transform("w", lambda x: F.struct((x["a"] + F.col("lo")).alias("a"), (x["b"] + F.col("lo")).alias("b"))).cast(WINDOWS).alias("w")))
     hits = written(hits, "hits")
     discard(distinct)
-    spans = segments.select("fp", "sh", "k", "first").join(hits, ["fp", "sh"])
+    # of repeated rows one has its spans gathered
+    spans = segments.select("fp", "sh", "k", "first").dropDuplicates().join(hits, ["fp", "sh"])
     at = lambda first: F.transform("w", lambda x: F.struct((first + x["a"]).alias("a"), (first + x["b"] + length).alias("b")))
     spans = spans.select("k", F.flatten(F.transform("first", at)).alias("w"))
     return spans.groupBy("k").agg(F.sort_array(F.flatten(F.collect_list("w"))).alias("w"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 1024, mapped: int = MAPPED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each document."""
     keyed = _keyed(docs)
     with owned(docs.sparkSession):
-        spans = written(_spans(keyed, length, gram, crowd), "spans", own=False)
+        spans = written(_spans(keyed, length, gram, crowd, mapped), "spans", own=False)
 
     def work(batches):
         import pyarrow as pa

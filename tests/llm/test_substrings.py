@@ -34,10 +34,10 @@ def rows():
     return out + [(1000, None), (1001, ""), (1002, "Le " * 400), (1003, "Le " * 60), (1004, passages[0]), (1004, passages[0]), (None, passages[1] * 2), (1005, "x" * 199), (1006, "y" * 201)]
 
 
-@pytest.mark.parametrize("crowd", [1024, 3])
-def test_brute_force(spark, rows, crowd):
+@pytest.mark.parametrize("crowd, mapped", [(1024, S.MAPPED), (3, S.MAPPED), (1024, 0), (3, 0)])
+def test_brute_force(spark, rows, crowd, mapped):
     df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, k string")
-    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in S.remove_repeats(df, crowd=crowd).collect()), key=repr)
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in S.remove_repeats(df, crowd=crowd, mapped=mapped).collect()), key=repr)
     assert got == brute(rows)
 
 
@@ -93,5 +93,5 @@ def test_a_periodic_text_makes_few_segments(spark):
     got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in S.remove_repeats(df).collect()), key=repr)
     assert got == brute(rows)
     keyed = S._keyed(df)
-    anchors = S._anchor_rows(keyed, 200, 64).groupBy("k").agg(F.collect_set(F.struct("fp", "first", "n", "off")).alias("a"))
-    assert S._segment_rows(keyed, anchors, 200).agg(F.sum(F.length("seg"))).first()[0] < 10 * sum(len(t) for _, t in rows) / 100
+    often = S._anchor_counts(keyed, 200, 64).where("c >= 2").select("fp")
+    assert S._segments_by_map(keyed, often, often.count(), 200, 64).agg(F.sum(F.length("seg"))).first()[0] < 10 * sum(len(t) for _, t in rows) / 100
