@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.models import REFUSAL
 from ..operators import chunk as K
-from ..operators import convert, dense, evaluate, fuse, lexical, order, regime, validate, verify
+from ..operators import convert, dense, evaluate, fuse, lexical, order, regime, tree, validate, verify
 from ..sources import chunks as C
 from ..sources import pages as P
 from ..sources.scratch import written
@@ -788,6 +788,50 @@ def page_disposition(t):
     return convert.disposition_report(convert.require_accounted(convert.dispositions(t("pages"))))
 
 
+@query(r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)([^>]*)>.*?</(?:script|style)>', '<\1>', 'g') AS h FROM pages),
+tags AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM bare),
+inside AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(h, '(?s)<article>(.*?)</article>', 1), '<([a-z][a-z0-9]*)', 1)) AS tag FROM bare)
+SELECT page_id, tag, count(*) AS n, coalesce(any_value(k), 0) AS in_article FROM tags LEFT JOIN (SELECT page_id, tag, count(*) AS k FROM inside GROUP BY page_id, tag) USING (page_id, tag) GROUP BY page_id, tag""")
+def page_tree(t):
+    """Elements by page and tag, and how many of them lie in an article's interval."""
+    nodes = tree.page_tree(t("pages")).where("text is null")
+    held = tree.under(nodes, nodes.where("tag = 'article'")).select("doc_id", "pre", F.lit(1).alias("k")).distinct()
+    return nodes.join(held, ["doc_id", "pre"], "left").groupBy(F.col("doc_id").alias("page_id"), "tag").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("in_article"))
+
+
+#: Documents' lines as an act: recitals, articles, annexes, chapters with their titles, formulas, notes, markers of amendments, and lines that nothing claims.
+ACT_SQL = r"""
+lines AS (SELECT doc_id, i, CAST(i AS VARCHAR) AS n, ['I', 'II', 'III', 'IV', 'V'][1 + i % 5] AS roman, trim(regexp_replace(l, '\s+', ' ', 'g')) AS t FROM (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+walked AS (
+  SELECT doc_id, i, CASE i % 9 WHEN 1 THEN 'drop:not-this-part' WHEN 2 THEN 'article' WHEN 3 THEN 'annex' WHEN 4 THEN 'division' WHEN 6 THEN 'formula' WHEN 7 THEN 'footnote' WHEN 8 THEN 'drop:amendment-marker' ELSE 'unaccounted' END AS role,
+    CASE i % 9 WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN roman WHEN 6 THEN n END AS number,
+    CASE i % 9 WHEN 2 THEN 'Article ' || n || ' — Title ' || n WHEN 3 THEN 'ANNEX ' || roman WHEN 4 THEN 'CHAPTER ' || n || coalesce(' — ' || lead(t) OVER (PARTITION BY doc_id ORDER BY i), '') END AS heading,
+    CASE i % 9 WHEN 1 THEN 'rct_' || n WHEN 2 THEN 'art_' || n WHEN 3 THEN 'anx_' || roman WHEN 6 THEN 'fnp_' || n END AS anchor,
+    CASE i % 9 WHEN 2 THEN 'Article ' || n || 'Title ' || n || t WHEN 3 THEN 'ANNEX ' || roman || t WHEN 4 THEN 'CHAPTER ' || n ELSE t END AS t FROM lines)"""
+
+
+def acts(t) -> DataFrame:
+    """(doc_id, html): each document as an act."""
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "l")).withColumn("i", F.col("p") + 1)
+    x = F.replace(F.replace(F.replace("l", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    n, r, roman = F.col("i").cast("string"), F.col("i") % 9, F.element_at(F.array(*[F.lit(v) for v in ("I", "II", "III", "IV", "V")]), 1 + F.col("i") % 5)
+    said = lambda *parts: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in parts])
+    line = (
+        F.when(r == 1, said('<div id="rct_', n, '"><p>', x, "</p></div>")).when(r == 2, said('<div id="art_', n, '"><p class="oj-ti-art">Article ', n, '</p><p class="oj-sti-art">Title ', n, "</p><p>", x, "</p></div>"))
+        .when(r == 3, said('<div id="anx_', roman, '"><p class="oj-doc-ti">ANNEX ', roman, "</p><p>", x, "</p></div>")).when(r == 4, said('<p class="oj-ti-section-1">CHAPTER ', n, "</p>")).when(r == 5, said('<p class="oj-ti-section-2">', x, "</p>"))
+        .when(r == 6, said('<div id="fnp_', n, '"><p>', x, "</p></div>")).when(r == 7, said('<p class="oj-note">', x, "</p>")).when(r == 8, said('<p class="modref">', x, "</p>")).otherwise(said("<p>", x, "</p>"))
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("x")))), lambda v: v["x"]), "")
+    return lines.groupBy("doc_id").agg(F.concat(F.lit('<div class="eli-container">'), body, F.lit("</div>")).alias("html"))
+
+
+@query(f"""WITH {ACT_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no, role, number, heading, anchor, md5(t) AS text_md5 FROM walked WHERE i % 9 <> 5 AND (i % 9 <> 0 OR t <> '')""")
+def structural_walk(t):
+    rows = tree.structural_walk(tree.page_tree(acts(t), "doc_id"))
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
+    return rows.select("doc_id", no.alias("no"), "role", "number", "heading", "anchor", F.md5("text").alias("text_md5"))
+
+
 @query("""WITH recorded AS (SELECT 'd' || doc_id AS path, sha256(text) AS h FROM documents), now AS (SELECT 'd' || doc_id AS path, sha256(CASE WHEN source = 'src2' THEN upper(text) ELSE text END) AS h FROM documents WHERE source <> 'src1' UNION ALL SELECT 'p' || page_id, sha256(html) FROM pages)
 SELECT coalesce(r.path, n.path) AS path, CASE WHEN r.h IS NULL THEN 'UNINDEXED' WHEN n.h IS NULL THEN 'MISSING' WHEN r.h = n.h THEN 'same' ELSE 'DIFFERS' END AS status FROM recorded r FULL OUTER JOIN now n ON r.path = n.path""")
 def index_currency(t):
