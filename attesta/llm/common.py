@@ -53,9 +53,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         hooked = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         # a label's own new label, offered by its members: the root that was hooked moves all of them
         moved = hooked.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("m"))
-        step = hooked.join(moved, "node", "left").select("node", "old", F.least("label", "m").alias("label"))
+        # written, so that the join splits a large component's label
+        step = written(hooked.join(moved, "node", "left").select("node", "old", F.least("label", "m").alias("label")), "hooked")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(step.join(jump, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        discard(step)
         changed = new.where("old <> label").limit(1).count()
         discard(start)
         start, labels = new, new.select("node", "label")

@@ -364,8 +364,9 @@ def _joined(docs: DataFrame, n: int, percent: int, tile: int) -> DataFrame:
     # copies of one set link with each other and with all that their class links with
     each = classes.select("cls", "copies").join(components.select(F.col("node").alias("cls"), "component"), "cls", "left").join(near, "cls", "left")
     each = each.select("cls", F.coalesce("component", "cls").alias("component"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    named = signed.join(each, "cls", "left")
-    ids = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join splits a large component
+    named = written(signed.join(each, "cls", "left"), "named")
+    ids = written(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
     out = named.join(ids, "component", "left")
     return out.select("doc_id", "key", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
