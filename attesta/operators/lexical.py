@@ -135,13 +135,16 @@ def fingerprint(docs: DataFrame) -> str:
     return hashlib.sha1("\n".join(parts).encode()).hexdigest()
 
 
-def stored_index(docs: DataFrame, cid: str = "id", text: str = "text", analyzer: Analyzer = PLAIN) -> Index:
-    """The index of ``docs`` in the shared folder, built where there is none yet of these files and this analyzer."""
+def stored_index(docs: DataFrame, cid: str = "id", text: str = "text", analyzer: Analyzer = PLAIN, prepare=None, tag: str = "") -> Index:
+    """The index of ``docs`` in the shared folder, built where there is none yet of these files and this analyzer.
+
+    prepare: a function of the text column, for an index of what it gives; ``tag`` is its name.
+    """
     spark = docs.sparkSession
     own = docs.select(F.col(cid).alias("id"), F.col(text).alias("text"))
-    path = f"{shared_dir(spark).rstrip('/')}/lexical-{fingerprint(own)}-{hashlib.sha1(repr(analyzer).encode()).hexdigest()[:8]}"
+    path = f"{shared_dir(spark).rstrip('/')}/lexical-{fingerprint(own)}-{hashlib.sha1(f'{analyzer!r} {tag}'.encode()).hexdigest()[:8]}"
     if not own.inputFiles() or not _exists(spark, f"{path}/stats/_SUCCESS"):
-        build_index(own, path, analyzer=analyzer)
+        build_index(own.withColumn("text", prepare(F.col("text"))) if prepare else own, path, analyzer=analyzer)
     return read_index(spark, path, analyzer)
 
 
@@ -193,6 +196,20 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 40, *, cid: str =
     return search(stored_index(docs, cid, text, analyzer), questions, k, qid=qid, qtext=qtext, digits=digits)
 
 
+def holding(ix: Index, wanted: DataFrame, rarest: int = 4) -> DataFrame:
+    """(question_id, id) of the documents that hold the ``rarest`` terms of each question, or all where it has fewer; wanted: (question_id, term).
+
+    A term that the index lacks is held by no document.
+    """
+    known = wanted.distinct().join(ix.terms.select("term", "df"), "term", "left")
+    order = Window.partitionBy("question_id").orderBy(F.asc_nulls_first("df"), "term")
+    few = written(known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rarest).select("question_id", "term"), "rarest")
+    need = few.groupBy("question_id").agg(F.count(F.lit(1)).alias("need"))
+    rows = ix.blocks.select("window", "term", "ids").join(few, "term").select("window", "question_id", F.explode("ids").alias("id"))
+    held = rows.groupBy("window", "question_id", "id").agg(F.count(F.lit(1)).alias("have"))
+    return held.join(need, "question_id").where("have = need").select("question_id", "id")
+
+
 def positions(ix: Index) -> DataFrame:
     """(term, id, tf, places) as the index holds them."""
     rows = ix.blocks.select("term", F.explode(F.arrays_zip("ids", "tfs", "gaps")).alias("d"))

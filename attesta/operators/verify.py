@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKER, MIN_SPAN, base_id, cited_ids, needle, normalize, outer_span, quote_pairs, segments
+from ..functions.text import MARKER, MIN_SPAN, base_id, cited_ids, needle, normalize, outer_span, quote_pairs, segments, tokens
 from ..sources.scratch import written
+from . import lexical
 from .events import asof
 
 
@@ -146,3 +147,23 @@ def corpus_containment(spans: DataFrame, docs: DataFrame, sid: str = "span_id",
         long_ = near.join(d, "id").where(F.contains("t", "needle")).select("span_id", "id")
     short = _short_spans(d, s.where(F.size("w") < 6))
     return (long_ if short is None else long_.unionByName(short)).distinct()
+
+
+def indexed_containment(spans: DataFrame, docs: DataFrame, sid: str = "span_id", span: str = "span", cid: str = "id", text: str = "text", compose: bool = True) -> DataFrame:
+    """The rows of :func:`corpus_containment`, from a stored index of the normalised documents.
+
+    All words of a span but its first and last stand in a document that holds it, as whole words; the rarest of them name the few
+    documents that are read and tested.  A span of fewer than three words names none and is tested as before.  The index is built
+    where these documents have none yet.
+    """
+    s = written(spans.select(F.col(sid).alias("span_id"), needle(span, compose).alias("needle")).where("needle <> ''").distinct(), "needles")
+    d = docs.select(F.col(cid).alias("id"), F.col(text).alias("t"))
+    ix = lexical.stored_index(d, text="t", prepare=lambda c: normalize(c, compose), tag=f"normalized-{compose}")
+    worded = s.withColumn("w", tokens("needle"))
+    # several spans may share an id
+    long_ = worded.where(F.size("w") >= 3).withColumn("q", F.xxhash64("span_id", "needle"))
+    named = lexical.holding(ix, long_.select(F.col("q").alias("question_id"), F.explode(F.slice("w", F.lit(2), F.size("w") - 2)).alias("term")))
+    met = written(named.join(long_.select(F.col("q").alias("question_id"), "span_id", "needle"), "question_id").select("id", "span_id", "needle"), "named")
+    found = d.join(met, "id").where(F.contains(normalize("t", compose), F.col("needle"))).select("span_id", "id")
+    short = _short_spans(d.withColumn("t", normalize("t", compose)), worded.where(F.size("w") < 3))
+    return (found if short is None else found.unionByName(short)).distinct()

@@ -313,7 +313,7 @@ def segment_reading(t):
 @query(f"SELECT b.item_id AS span_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains({NORM_SQL.format('d.text')}, {NEEDLE_SQL.format('b.text')}) WHERE {NEEDLE_SQL.format('b.text')} <> ''")
 def verify_spans(t):
     """Every benchmark item against every document."""
-    return verify.corpus_containment(t("benchmark").select(F.col("item_id").alias("span_id"), F.col("text").alias("span")), documents(t).select("id", "text"))
+    return verify.indexed_containment(t("benchmark").select(F.col("item_id").alias("span_id"), F.col("text").alias("span")), documents(t).select("id", "text"))
 
 
 @query(f"{CHECK_SQL} SELECT question_id, string_agg(cid, ' ' ORDER BY pos) AS ids FROM cited GROUP BY question_id")
@@ -477,7 +477,7 @@ HOLD_SQL = f"expected AS (SELECT b.item_id AS question_id, d.doc_id AS id FROM b
 
 def expected(t) -> DataFrame:
     """(question_id, expected): the documents that hold an item word for word, for items that some document holds."""
-    held = verify.corpus_containment(t("benchmark").select(F.col("item_id").alias("span_id"), F.col("text").alias("span")), documents(t).select("id", "text"))
+    held = verify.indexed_containment(t("benchmark").select(F.col("item_id").alias("span_id"), F.col("text").alias("span")), documents(t).select("id", "text"))
     return held.groupBy(F.col("span_id").alias("question_id")).agg(F.sort_array(F.collect_set("id")).alias("expected"))
 
 

@@ -53,8 +53,6 @@ def test_corpus_containment_short_and_long(spark):
 def test_large_and_small_sets_take_other_ways_to_the_same_rows(spark, monkeypatch):
     import random
 
-    from attesta.operators import lexical
-
     r = random.Random(3)
     words = "alpha beta gamma delta eps zeta eta theta".split()
     text = lambda n: " ".join(r.choice(words) for _ in range(n))
@@ -62,14 +60,20 @@ def test_large_and_small_sets_take_other_ways_to_the_same_rows(spark, monkeypatc
     asked = [(i, text(r.choice([1, 2, 5, 6, 8]))) for i in range(25)] + [(90, "lph"), (91, "zzz"), (92, "")]
     spans = spark.createDataFrame(asked, "span_id long, span string")
     want = sorted((i, d.id) for i, s in asked for d in docs.collect() if s and d.text and s in d.text)
-    questions = spark.createDataFrame(asked, "question_id long, question string")
-    best = lexical.bm25_topk(docs, questions, 5).orderBy("question_id", "lex_rank").collect()
     assert sorted(tuple(x) for x in verify.corpus_containment(spans, docs).collect()) == want
     monkeypatch.setattr(verify, "ANCHORS", 2)
     monkeypatch.setattr(verify, "SHORT", 3)
-    monkeypatch.setattr(lexical, "VOCABULARY", 2)
     assert sorted(tuple(x) for x in verify.corpus_containment(spans, docs).collect()) == want
-    assert lexical.bm25_topk(docs, questions, 5).orderBy("question_id", "lex_rank").collect() == best
+    assert sorted(tuple(x) for x in verify.indexed_containment(spans, docs).collect()) == want
+
+
+def test_containment_by_index_with_folding_and_cut_words(spark, tmp_path):
+    docs = [(1, "The “quick” brown ﬁx jumps [a-b#1] over"), (2, "xthe \"quick\" brown fix jumps over it"), (3, "the quick brown fix jumps over"), (4, None), (5, "…dots and—dashes, everywhere in it.")]
+    spans = [(1, "the 'quick' brown"), (1, 'the "quick" brown fix jum'), (2, "he “quick” brown fix"), (3, "brown fix jumps over."), (4, "it"), (5, "dots and-dashes, every"), (6, None), (7, "brown nowhere fix here")]
+    spark.createDataFrame(docs, "id long, text string").write.parquet(str(tmp_path / "docs"))
+    d, s = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame(spans, "span_id long, span string")
+    want = sorted(tuple(x) for x in verify.corpus_containment(s, d).collect())
+    assert want == sorted(tuple(x) for x in verify.indexed_containment(s, d).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 2), (4, 5), (5, 5)]
 
 
 def test_plans_of_the_corpus_wide_legs(spark):
