@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -172,3 +173,19 @@ def test_lines_of_an_empty_table(spark):
 def test_equal_documents_count_once(spark, copies):
     df = spark.createDataFrame([(i, "this very line stands here\nand this one too") for i in range(copies)], "doc_id long, text string")
     assert {x.n_dropped for x in lines.line_dedup(df).collect()} == {0}
+
+
+def test_very_long_lines_and_very_many_dropped_lines(spark):
+    """What a row costs grows with its tokens and lines, not with their square."""
+    r = random.Random(9)
+    word = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    base = [word(r.randrange(5000)) for _ in range(20_000)]
+    near = [" ".join([*base[:100], f"own{word(k)}", *base[101:]]) for k in range(12)]
+    many = "\n".join(f"common words of line {i} here" for i in range(50_000))
+    rows = [(i, f"head {i}\n{t}") for i, t in enumerate(near)] + [(100 + i, f"{many}\nown line of document {i} alone") for i in range(3)]
+    p = lines.LineParams(min_docs=2, long_tokens=10**9)
+    start = time.time()
+    got = {x.doc_id: x for x in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), p).select("doc_id", "n_dropped", F.length("text").alias("n")).collect()}
+    assert time.time() - start < 120  # with the square of either it took many minutes
+    assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 for i in range(1, 12))
+    assert got[100].n_dropped == 49_999 and all(got[i].n_dropped == 50_001 and got[i].n == 0 for i in (101, 102))
