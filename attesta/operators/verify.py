@@ -149,6 +149,12 @@ def corpus_containment(spans: DataFrame, docs: DataFrame, sid: str = "span_id",
     return (long_ if short is None else long_.unionByName(short)).distinct()
 
 
+def normalized_index(docs: DataFrame, cid: str = "id", text: str = "text", compose: bool = True) -> lexical.Index:
+    """The stored index of the normalised documents, built where there is none yet."""
+    d = docs.select(F.col(cid).alias("id"), F.col(text).alias("t"))
+    return lexical.stored_index(d, text="t", prepare=lambda c: normalize(c, compose), tag=f"normalized-{compose}")
+
+
 def indexed_containment(spans: DataFrame, docs: DataFrame, sid: str = "span_id", span: str = "span", cid: str = "id", text: str = "text", compose: bool = True) -> DataFrame:
     """The rows of :func:`corpus_containment`, from a stored index of the normalised documents.
 
@@ -158,7 +164,7 @@ def indexed_containment(spans: DataFrame, docs: DataFrame, sid: str = "span_id",
     """
     s = written(spans.select(F.col(sid).alias("span_id"), needle(span, compose).alias("needle")).where("needle <> ''").distinct(), "needles")
     d = docs.select(F.col(cid).alias("id"), F.col(text).alias("t"))
-    ix = lexical.stored_index(d, text="t", prepare=lambda c: normalize(c, compose), tag=f"normalized-{compose}")
+    ix = normalized_index(docs, cid, text, compose)
     worded = s.withColumn("w", tokens("needle"))
     # several spans may share an id
     long_ = worded.where(F.size("w") >= 3).withColumn("q", F.xxhash64("span_id", "needle"))

@@ -145,6 +145,13 @@ def stored(t) -> lexical.Index:
     return lexical.stored_index(documents(t))
 
 
+def build_indexes(spark: SparkSession, sf_dir: str) -> None:
+    """Builds what the queries below find stored: the index of the documents, and that of their normalised texts."""
+    docs = documents(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    lexical.stored_index(docs)
+    verify.normalized_index(docs)
+
+
 @query(f"WITH {LEX_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
 def bm25_index(t):
     return stored(t).terms
