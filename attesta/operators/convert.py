@@ -257,14 +257,21 @@ def _gather(nodes: list[Node]) -> Node:
     return top
 
 
+def _slices(batches, rows: int = 64):
+    """A few pages at a time, so that a task holds the rows of these alone."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def convert(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:
     """Block rows of each page (``BLOCK_SCHEMA``)."""
 
     def work(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            rows = [(d, i, *b) for d, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, b in enumerate(blocks(parse(page or "")))]
+        for part in _slices(batches):
+            rows = [(d, i, *b) for d, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for i, b in enumerate(blocks(parse(page or "")))]
             cols = list(zip(*rows)) or [()] * 9
             types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
@@ -278,9 +285,9 @@ def dispositions(pages: DataFrame, doc: str = "page_id", html: str = "html") ->
     def work(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for part in _slices(batches):
             rows = []
-            for d, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for d, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 root = parse(page or "")
                 blocks(root)
                 rows += [(d, i, t.up.tag, t.state or "unaccounted", len(t.text.strip())) for i, t in enumerate(texts(root)) if t.text.strip()]

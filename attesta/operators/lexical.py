@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.analyze import PLAIN, Analyzer
-from ..sources.scratch import _remove, shared_dir, written
+from ..sources.scratch import _remove, scratch, shared_dir, written
 
 K1, B = 1.2, 0.75
 #: Documents of a window at about, windows of a bucket at most.
@@ -125,7 +125,7 @@ def read_index(spark: SparkSession, path: str, analyzer: Analyzer = PLAIN) -> In
 
 
 def fingerprint(docs: DataFrame) -> str:
-    """A name for what ``docs`` would read now: its plan, and its files with their sizes and times.  A table without files has none of its own and is named by its plan."""
+    """A name for what ``docs`` would read now: its plan, and its files with their sizes and times."""
     context = docs.sparkSession.sparkContext
     conf, parts = context._jsc.hadoopConfiguration(), [str(docs.semanticHash()), str(docs.schema)]
     for f in sorted(docs.inputFiles()):
@@ -138,12 +138,15 @@ def fingerprint(docs: DataFrame) -> str:
 def stored_index(docs: DataFrame, cid: str = "id", text: str = "text", analyzer: Analyzer = PLAIN, prepare=None, tag: str = "") -> Index:
     """The index of ``docs`` in the shared folder, built where there is none yet of these files and this analyzer.
 
+    Documents that come from no file have an index of their own each time, which goes like any scratch table.
     prepare: a function of the text column, for an index of what it gives; ``tag`` is its name.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(cid).alias("id"), F.col(text).alias("text"))
-    path = f"{shared_dir(spark).rstrip('/')}/lexical-{fingerprint(own)}-{hashlib.sha1(f'{analyzer!r} {tag}'.encode()).hexdigest()[:8]}"
-    if not own.inputFiles() or not _exists(spark, f"{path}/stats/_SUCCESS"):
+    files = bool(own.inputFiles())
+    name = f"lexical-{fingerprint(own)}-{hashlib.sha1(f'{analyzer!r} {tag}'.encode()).hexdigest()[:8]}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}" if files else scratch(spark, "lexical")
+    if not files or not _exists(spark, f"{path}/stats/_SUCCESS"):
         build_index(own.withColumn("text", prepare(F.col("text"))) if prepare else own, path, analyzer=analyzer)
     return read_index(spark, path, analyzer)
 
