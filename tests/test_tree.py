@@ -42,7 +42,7 @@ def test_under_and_outermost(spark):
     nodes = tree.page_tree(spark.createDataFrame([(1, "<div id=a><p>x</p><div id=a2><i>y</i></div></div><p>z</p><div id=a3>w</div>")], "page_id long, html string"))
     tops = nodes.where("ident = 'a'")
     texts = nodes.where("text is not null")
-    assert texts.join(tree.under(texts, tops), ["doc_id", "pre"]).select("text").collect() == [("x",), ("y",)]
+    assert [r.text for r in texts.join(tree.under(texts, tops), ["doc_id", "pre"]).orderBy("pre").collect()] == ["x", "y"]
     own = tree.outermost(nodes, F.startswith("ident", F.lit("a")))
     at = {r.ident: r.pre for r in nodes.where("ident is not null").collect()}
     assert {r.text: r.owner for r in own.where("text is not null").collect()} == {"x": at["a"], "y": at["a"], "z": None, "w": at["a3"]}
