@@ -101,8 +101,27 @@ def log_chances(context, with_it, seen: np.ndarray, after: np.ndarray, strength:
     return np.log(p)
 
 
+class Tables:
+    """Counts by class and kind, sent as the cells that hold any and laid out at their first use in a process."""
+
+    def __init__(self, cell: np.ndarray, n: np.ndarray, cells: int):
+        self.rows = cell.astype(np.int32), n.astype(np.int32 if len(n) == 0 or n.max() < 2**31 else np.int64), cells
+        self.full: np.ndarray | None = None
+
+    def __reduce__(self):
+        return Tables, self.rows
+
+    def dense(self) -> np.ndarray:
+        """[class, kind, cell]; class 1 is accepted, kind 0 counts contexts and kind 1 contexts with a character."""
+        if self.full is None:
+            cell, n, cells = self.rows
+            self.full = np.zeros(4 * cells, n.dtype)
+            self.full[cell] = n
+        return self.full.reshape(2, 2, -1)
+
+
 def fit(df: DataFrame, params: UrlParams = UrlParams(), labels: DataFrame | None = None):
-    """(tables, threshold) from ``parsed`` rows and ``labels`` (url, accepted boolean); tables[c, 0] counts contexts, tables[c, 1] contexts with a character, c 1 for accepted."""
+    """(broadcast :class:`Tables`, threshold) from ``parsed`` rows and ``labels`` (url, accepted boolean)."""
     labelled = df.where((F.col("host") != "") & F.col("by_rule").isNotNull()).select("url", (F.col("by_rule") == "allow").cast("int").alias("label"))
     if labels is not None:
         labelled = labelled.unionByName(labels.where("url is not null and accepted is not null").select(F.col("url").cast("string").alias("url"), F.col("accepted").cast("int").alias("label")))
@@ -126,9 +145,8 @@ def fit(df: DataFrame, params: UrlParams = UrlParams(), labels: DataFrame | None
         yield pa.RecordBatch.from_pydict({"cell": pa.array(some), "n": pa.array(flat[some])})
 
     rows = labelled.where("not held").select("url", "label").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    tables = np.zeros(4 * cells, np.int64)
-    tables[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(tables.reshape(2, 2, cells))  # 4 * cells numbers
+    # 4 * cells numbers at most
+    shared = df.sparkSession.sparkContext.broadcast(Tables(rows.column("cell").to_numpy(), rows.column("n").to_numpy(), cells))
     held = labelled.where("held").withColumn("score", scorer(shared, params)("url"))
     edge = F.least(F.greatest(F.floor(F.col("score") * params.bins / 4), F.lit(-params.bins)), F.lit(params.bins - 1))
     hist = held.groupBy("label", edge.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -153,7 +171,7 @@ def scorer(shared, params: UrlParams):
     def score(urls):
         import pyarrow as pa
 
-        tables = shared.value
+        tables = shared.value.dense()
         text, n, context, with_it = contexts(urls, params)
         diff = log_chances(context, with_it, tables[1, 0], tables[1, 1], params.strength) - log_chances(context, with_it, tables[0, 0], tables[0, 1], params.strength)
         return pa.array(np.bincount(text, diff, minlength=n) / np.maximum(np.bincount(text, minlength=n), 1))
