@@ -161,3 +161,29 @@ def test_nothing_to_index(spark, tmp_path):
     q = spark.createDataFrame([(1, "a b")], "question_id long, question string")
     assert ix.n == 0 and lexical.search(ix, q).count() == 0 and lexical.phrase_match(ix, q).count() == 0 and lexical.near(ix, q).count() == 0
     assert lexical.positions(ix).select(F.size("places")).count() == 0
+
+
+def test_windows_to_read_are_never_broadcast(spark, tmp_path):
+    """What a search reads grows with the documents: it meets the blocks in their buckets, and a bucket holds few windows."""
+    d = spark.createDataFrame([(i, "alpha beta" if i % 7 else "alpha gamma") for i in range(400)], "id long, text string")
+    lexical.build_index(d, str(tmp_path / "ix"), window=4)
+    ix = lexical.read_index(spark, str(tmp_path / "ix"))
+    assert spark.read.parquet(str(tmp_path / "ix" / "stats")).first().buckets == 13
+    q = spark.createDataFrame([(1, "alpha gamma")], "question_id long, question string")
+    plan = lexical.search(ix, q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.count("BroadcastHashJoin") == 1
+
+
+def test_rows_of_one_document_and_digests(spark, tmp_path):
+    """Rows of one id and length are one document; digests run over ids in order, across windows."""
+    import hashlib
+
+    rows = [(i, f"w{i % 5} x w{i % 5}") for i in range(60)] + [(7, "x w2 x"), (8, None)]
+    lexical.build_index(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "ix"), window=8)
+    ix = lexical.read_index(spark, str(tmp_path / "ix"))
+    places = {}
+    for i, t in rows:
+        for p, w in enumerate((t or "").split()):
+            places.setdefault(w, {}).setdefault(i, []).append(p)
+    want = {w: (len(v), hashlib.md5(";".join(f"{i}:{','.join(map(str, sorted(v[i])))}" for i in sorted(v)).encode()).hexdigest()) for w, v in places.items()}
+    assert {r.term: (r.df, r.places_md5) for r in lexical.places_digest(ix).collect()} == want
