@@ -5,6 +5,7 @@ import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.llm import lines, quality
@@ -88,6 +89,15 @@ def test_verdicts_are_brute_force(spark):
     assert not got[len(good)].kept
 
 
+def test_every_label_counts(spark):
+    """Documents beyond the 20,000 of the smallest hash are trusted like the others, so their words are no rarer in the target than in the corpus."""
+    order = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id")).withColumn("r", order).select("doc_id", F.when(F.col("r") > 20_000, F.repeat(F.lit("late words "), 6)).otherwise(F.repeat(F.lit("early word "), 6)).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    model = quality.fit(docs, labels)
+    assert all(abs(w) < 1 for w in model.weights)
+
+
 def test_no_labels_and_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = frame(spark, ["a b c d e f g h i j k", "x"])
