@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, written
 from .events import covered
 
 HEADING = r"^(#{1,4})\s+(.*?)(?:\s*\{#([^}]*)\})?\s*$"
@@ -153,7 +154,11 @@ def unclaimed(pars: DataFrame, chunks_: DataFrame) -> DataFrame:
     """Non-heading paragraphs whose offset lies in no chunk: an anti join of points and intervals by one sort of both."""
     p = headings(pars).where("level is null").select("doc_id", "pos", "offset", "par")
     c = chunks_.select("doc_id", F.col("offset").alias("lo"), (F.col("offset") + F.col("chars")).alias("hi"))
-    return covered(p, c, ["doc_id"], "offset", "lo", "hi").where("not inside").drop("inside")
+    # written, since the range sort reads its input twice, to sample it first
+    p, c = written(p, "points"), written(c, "intervals")
+    out = covered(p, c, ["doc_id"], "offset", "lo", "hi").where("not inside").drop("inside")
+    discard(p, c)  # the sort has written both
+    return out
 
 
 def size_report(chunks_: DataFrame) -> DataFrame:
