@@ -187,3 +187,13 @@ def test_rows_of_one_document_and_digests(spark, tmp_path):
             places.setdefault(w, {}).setdefault(i, []).append(p)
     want = {w: (len(v), hashlib.md5(";".join(f"{i}:{','.join(map(str, sorted(v[i])))}" for i in sorted(v)).encode()).hexdigest()) for w, v in places.items()}
     assert {r.term: (r.df, r.places_md5) for r in lexical.places_digest(ix).collect()} == want
+
+
+def test_places_are_packed_and_digests_sort_text(spark, tmp_path):
+    """A block's places are one binary value, and neither they nor a document's words are sorted as nested arrays."""
+    d = spark.createDataFrame([(i, "b a b a a") for i in range(3)], "id long, text string")
+    lexical.build_index(d, str(tmp_path / "ix"))
+    ix = lexical.read_index(spark, str(tmp_path / "ix"))
+    assert dict(ix.blocks.dtypes)["gaps"] == "binary" and {len(r.gaps) for r in ix.blocks.where("term = 'a'").collect()} == {3 * 3 * 4}
+    assert "aggregate(" not in lexical.places_digest(ix)._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, tuple(r.places)) for r in lexical.positions(ix).where("term = 'a'").collect()} == {(i, (1, 3, 4)) for i in range(3)}
