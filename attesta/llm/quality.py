@@ -128,6 +128,11 @@ def labelled_ids(labels: DataFrame, trusted: bool = True) -> DataFrame:
     return labels.where((good if trusted else bad) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
+def labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with these ids, which are as many as labels: never broadcast, so small and large inputs shuffle the same share."""
+    return docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
+
+
 def score(w: Column, h: Column, model: QualityModel, params: QualityParams) -> Column:
     """Log-likelihood ratio by length: the n-grams' sum over their number and ``prior_length``; null without any."""
     table = F.split(F.lit(",".join(f"{x:.5g}" for x in model.weights)), ",").cast("array<double>")
@@ -145,9 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
         found = let(words(F.col("text")), lambda w: let(hashes(w), lambda h: ngram_buckets(w, h, params)))
         return d.select(F.lit(t).alias("t"), F.explode(found).alias("b"))
 
-    # ids are as many as labels: nothing asks for their broadcast
-    shown = docs.select("doc_id", "text").where(~held).join(known.where(~held), "doc_id", "left_semi")
-    both = grams(docs, 0).unionByName(grams(shown, 1))
+    both = grams(docs, 0).unionByName(grams(labelled(docs.where(~held), known.where(~held)), 1))
     rows = both.groupBy("b").agg(F.sum(1 - F.col("t")).alias("raw"), F.sum("t").alias("target")).collect()
     raw, target = [0] * params.buckets, [0] * params.buckets
     for r in rows:

@@ -199,3 +199,12 @@ def test_very_long_lines_and_very_many_dropped_lines(spark):
     assert time.time() - start < 120  # with the square of either it took many minutes
     assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 for i in range(1, 12))
     assert got[100].n_dropped == 49_999 and all(got[i].n_dropped == 50_001 and got[i].n == 0 for i in (101, 102))
+
+
+def test_labelled_texts_meet_their_labels_by_shuffle(spark):
+    """However few labels there are: what is shuffled follows the input from the smallest on."""
+    docs = frame(spark, ["a b c", "d e f"])
+    found = quality.labelled(docs, docs.where("doc_id = 1").select("doc_id"))
+    assert [tuple(r) for r in found.collect()] == [(1, "d e f")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
