@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX")
 
 
+#: Rows that a task sorts, at about.
+ROWS = 250_000
+
+
+def _dealt(df: DataFrame, by: str, rows: int = ROWS) -> DataFrame:
+    """``df`` dealt to as many tasks as it has ``rows`` rows, each ``by`` whole in one, so that a task's memory doesn't grow with the input.  Counts when called."""
+    return df.repartition(max(1, -(-df.count() // rows)), by)
+
+
 def sequence_faults(rows: DataFrame, by: str, order: str | list[str], label: str) -> DataFrame:
     """(by, order, label, stem, fault): labels that are no number, repeat one, fall below the running maximum or leave a gap.
 
@@ -17,6 +26,7 @@ def sequence_faults(rows: DataFrame, by: str, order: str | list[str], label: str
     keys = [order] if isinstance(order, str) else order
     df = rows.select(by, *keys, F.col(label).cast("string").alias("label"))
     df = df.withColumns({"stem": F.expr("try_cast(regexp_extract(label, '^([0-9]+)[a-z]*$', 1) as bigint)"), "letter": F.regexp_extract("label", "^[0-9]+([a-z]*)$", 1) != ""})
+    df = _dealt(df, by)
     w = Window.partitionBy(by).orderBy(*keys)
     top = F.max("stem").over(w.rowsBetween(Window.unboundedPreceding, -1))
     seen = F.row_number().over(Window.partitionBy(by, "label").orderBy(*keys))
