@@ -110,8 +110,13 @@ def roles(nodes: DataFrame, part: str) -> DataFrame:
 
 def _text(rows: DataFrame, name: str) -> DataFrame:
     """(doc_id, owner, name): the texts of each owner in page order, on one line."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "")
-    return rows.groupBy("doc_id", "owner").agg(F.trim(F.regexp_replace(joined, r"(?U)\s+", " ")).alias(name))
+    return rows.groupBy("doc_id", "owner").agg(_line(F.array_sort(F.collect_list(F.struct("pre", "text")))).alias(name))
+
+
+def _line(texts: Column | str) -> Column:
+    """The texts of an array of (pre, text), which is sorted, on one line."""
+    joined = F.array_join(F.transform(texts, lambda x: x["text"]), "")
+    return F.trim(F.regexp_replace(joined, r"(?U)\s+", " "))
 
 
 def structural_walk(nodes: DataFrame, part: str = "enacting") -> DataFrame:
@@ -120,32 +125,37 @@ def structural_walk(nodes: DataFrame, part: str = "enacting") -> DataFrame:
     part: enacting (articles, annexes, divisions, formula, footnotes) or recitals.  The topmost node that a rule knows claims all below it; what a
     rule drops has a row of role ``drop:<rule>``, so that every text is in one row, and text that no rule knows is in rows ``unaccounted``, one for each
     node.  heading: an article's number and title, an annex's label and titles, a division's label with the title that follows it at once.
+    ``nodes`` is read once and shuffled once, by page.
     """
     if part not in ("enacting", "recitals"):
         raise ValueError("an act has enacting terms and recitals")
-    claimed = outermost(roles(nodes, part), F.col("role").isNotNull())
-    owner = claimed.where("owner = pre").select("doc_id", "owner", "role", "number", "ident")
-    words = claimed.where("text is not null")
-    loose = words.where(F.col("owner").isNull() & F.col("text").rlike(r"(?U)\S"))
-    # headings inside an owner, from the texts below the heading elements
     kind = F.when(has_class(NUMBER), 0).when(has_class(TITLE), 1).when(has_class(ANNEX), 2)
-    heads = outermost(claimed.withColumn("__k", kind), F.col("__k").isNotNull() & (F.col("pre") != F.col("owner")), "head")
-    kinds = heads.where("head = pre").select("doc_id", "head", "owner", "__k")
-    said = _text(heads.where("text is not null and head is not null").select("doc_id", F.col("head").alias("owner"), "pre", "text"), "said").withColumnRenamed("owner", "head")
-    told = kinds.join(said, ["doc_id", "head"]).groupBy("doc_id", "owner").agg(*[F.sort_array(F.collect_list(F.when(F.col("__k") == k, F.struct("head", "said")))).alias(n) for k, n in enumerate(("numbers", "titles", "labels"))])
-    rows = owner.join(_text(words.where("owner is not null").select("doc_id", "owner", "pre", "text"), "text"), ["doc_id", "owner"], "left").join(told, ["doc_id", "owner"], "left")
+    # the other elements have neither a role nor a heading
+    telling = nodes.where("text is not null or ident is not null or classes is not null or tag in ('script', 'style')")
+    marked = roles(telling, part).withColumn("__k", F.when(F.col("text").isNull() & F.col("classes").isNotNull(), kind))
+    claimed = outermost(marked.select("doc_id", "pre", "last", "ident", "text", "role", "number", "__k"), F.col("role").isNotNull())
+    heads = outermost(claimed, F.col("__k").isNotNull() & (F.col("pre") != F.col("owner")), "head")
+    # a text that nothing claims is a row of its own; all groups lie within a page, so no more is shuffled
+    one = heads.where(F.col("owner").isNotNull() | F.col("text").rlike(r"(?U)\S")).withColumn("ord", F.coalesce("owner", "pre"))
+    said = one.groupBy("doc_id", "ord", "head").agg(
+        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pre", "text")))).alias("texts"), F.max(F.when(F.col("head") == F.col("pre"), F.col("__k"))).alias("__k"),
+        F.max(F.when(F.col("owner") == F.col("pre"), F.struct("role", "number", "ident"))).alias("own"),
+    )
+    head = F.when(F.size("texts") > 0, F.struct("head", _line("texts").alias("said")))
+    rows = said.groupBy("doc_id", "ord").agg(_line(F.array_sort(F.flatten(F.collect_list("texts")))).alias("text"), F.max("own").alias("own"), *[F.array_sort(F.collect_list(F.when(F.col("__k") == k, head))).alias(n) for k, n in enumerate(("numbers", "titles", "labels"))])
+    rows = rows.select("doc_id", "ord", F.coalesce("own.role", F.lit("unaccounted")).alias("role"), "own.number", F.col("own.ident").alias("anchor"), "text", "numbers", "titles", "labels")
     first = lambda c: F.try_element_at(c, F.lit(1))["said"]
-    annex = F.concat_ws(" — ", F.coalesce(first(F.col("labels")), F.concat(F.lit("ANNEX "), F.col("number"))), _blank(F.array_join(F.transform(F.slice("labels", 2, 1000), lambda x: x["said"]), " ")))
-    heading = F.when(F.col("role") == "article", F.concat_ws(" — ", _blank(first(F.col("numbers"))), _blank(first(F.col("titles"))))).when(F.col("role") == "annex", annex).when(F.col("role").isin("division", "division-title"), F.coalesce("text", F.lit("")))
-    rows = rows.select("doc_id", F.col("owner").alias("ord"), "role", "number", heading.alias("heading"), F.col("ident").alias("anchor"), F.coalesce("text", F.lit("")).alias("text"))
+    more = F.transform(F.slice("labels", F.lit(2), F.greatest(F.size("labels"), F.lit(1))), lambda x: x["said"])
+    annex = F.concat_ws(" — ", F.coalesce(first(F.col("labels")), F.concat(F.lit("ANNEX "), F.col("number"))), _blank(F.array_join(more, " ")))
+    heading = F.when(F.col("role") == "article", F.concat_ws(" — ", _blank(first(F.col("numbers"))), _blank(first(F.col("titles"))))).when(F.col("role") == "annex", annex).when(F.col("role").isin("division", "division-title"), F.col("text"))
+    rows = rows.select("doc_id", "ord", "role", "number", heading.alias("heading"), "anchor", "text")
     # a division's title goes to the division's label where it follows at once
     kept = Window.partitionBy("doc_id", "__d").orderBy("ord")
-    rows = rows.withColumn("__d", F.startswith("role", F.lit("drop:")))
+    rows = rows.withColumn("__d", F.startswith("role", F.lit("drop:")).cast("int") + 2 * (F.col("role") == "unaccounted").cast("int"))
     rows = rows.withColumns({"__n": F.lead("role").over(kept), "__h": F.lead("heading").over(kept), "__p": F.lag("role").over(kept)})
     takes = (F.col("role") == "division") & (F.col("__n") == "division-title")
     rows = rows.withColumn("heading", F.when(takes, F.concat_ws(" — ", "heading", "__h")).otherwise(F.col("heading"))).where(~((F.col("role") == "division-title") & F.coalesce(F.col("__p") == "division", F.lit(False))))
-    free = loose.select("doc_id", F.col("pre").alias("ord"), F.lit("unaccounted").alias("role"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("anchor"), F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"))
-    return rows.drop("__d", "__n", "__h", "__p").unionByName(free)
+    return rows.drop("__d", "__n", "__h", "__p")
 
 
 def _blank(c: Column) -> Column:

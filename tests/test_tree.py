@@ -89,6 +89,18 @@ def test_every_text_is_in_one_row(act):
         assert walked == there - titles  # a division's title stands in its heading
 
 
+def test_nodes_are_read_once(spark):
+    nodes = tree.page_tree(spark.createDataFrame([(1, ACT)], "page_id long, html string"))
+    plan = tree.structural_walk(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_every_label_of_an_annex(spark):
+    labels = "".join(f'<p class="oj-doc-ti">L{i} </p>' for i in range(1500))
+    nodes = tree.page_tree(spark.createDataFrame([(1, f'<div id="anx_I">{labels}</div>')], "page_id long, html string"))
+    assert [r.heading for r in tree.structural_walk(nodes).collect()] == ["L0 — " + " ".join(f"L{i}" for i in range(1, 1500))]
+
+
 def test_modifying_acts(spark, act):
     assert [tuple(r) for r in tree.modifying_acts(act).collect()] == [(1, "corrected_by", ["32024R0001", "32024R0001R(02)"])]
     other = tree.page_tree(spark.createDataFrame([(2, "<p>x <a href='?uri=celex:32026R1744'>y</a></p>"), (3, "<p>none</p>")], "page_id long, html string"))
