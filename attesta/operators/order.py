@@ -10,7 +10,8 @@ REPEAT   stands there too, but not as often as here;
 ABSENT   stands nowhere there, and is whole blocks;
 DROPOUT  stands nowhere there, and is part of a block or ends inside one.
 
-Blocks are numbered and placed by sums carried over sorted stretches, so one document may hold any share of the rows.  Only a document's
+Blocks are numbered and placed by sums carried over sorted stretches, so one document may hold any share of the rows.  Shingles of documents up to
+``LONG`` words are matched in one shuffle, by document and shingle, and longer documents by such sums, with the same rows.  Only a document's
 runs come together in a task: as many as there are breaks in its order, not as there are words.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -26,6 +27,8 @@ from ..sources.scratch import written
 from .running import in_order, running
 
 SHINGLE = 4
+#: Words of both sides up to which a document's occurrences of one shingle, and its matches on one diagonal, may meet in a task.
+LONG = 1 << 20
 
 
 def _meet(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -39,9 +42,10 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> Data
 
 def _stream(rows: DataFrame, key: str, pos: str, text: str, n: int, words) -> tuple[DataFrame, DataFrame]:
     """(blocks, shingles): blocks (key, block, start, words) with the place of their first word; shingles (key, h, place)."""
-    split = rows.select(F.col(key).alias("key"), F.col(pos).alias("block"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    whole = rows.select(F.col(key).alias("key"), F.col(pos).alias("block"), F.col(text).alias("text"))
     size = F.size("w").cast("long")
-    blocks = running(in_order(split, ["key"], ["block"]), ["key"], {"end": ("sum", size), "no": ("sum", F.lit(1).cast("long"))})
+    split = in_order(whole, ["key"], ["block"], then=lambda df: df.select("key", "block", words(F.col("text")).alias("w")).where(F.size("w") > 0))
+    blocks = running(split, ["key"], {"end": ("sum", size), "no": ("sum", F.lit(1).cast("long"))})
     blocks = written(blocks.select("key", "block", "no", (F.col("end") - size).alias("start"), "w"), "blocks")
     # the next words after a block, from the heads of up to n - 1 blocks behind it
     heads = blocks.select("key", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("d"), "no", F.slice("w", 1, n - 1).alias("head")).withColumn("no", F.col("no") - F.col("d"))
@@ -110,10 +114,43 @@ def _gaps(kept: list[tuple[int, int]], moved: list[tuple[int, int, int]], repeat
     return [tuple(x) for x in out]
 
 
-def _one_way(source: tuple[DataFrame, DataFrame], ranked: DataFrame, other: DataFrame, n: int) -> DataFrame:
-    blocks, _ = source
-    met = written(_meet(ranked, other, ["key", "h", "r"], "left").select("key", "h", "i", "j"), "met")
-    hit = met.where("j is not null").select("key", "i", "j")
+def _matched(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key, i, j, there): a row for each shingle of either side; there: an unmatched one stands on the other side all the same."""
+    both = a.select("key", "h", F.lit(0).alias("side"), "place").unionByName(b.select("key", "h", F.lit(1).alias("side"), "place")).repartition("key", "h")
+    group = Window.partitionBy("key", "h").orderBy("side", "place")
+    before = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max("side").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = both.withColumns({"n": F.count(F.lit(1)).over(before), "first": F.sum(1 - F.col("side")).over(before), "last": last})
+    own = lambda side: F.max(F.when(F.col("side") == side, F.col("place")))
+    rows = rows.withColumn("r", F.when(F.col("side") == 0, F.col("n")).otherwise(F.col("n") - F.col("first")))
+    there = F.max(F.when(F.col("side") == 0, F.col("last") == 1).otherwise(F.col("first") > 0))
+    return rows.groupBy("key", "h", "r").agg(own(0).alias("i"), own(1).alias("j"), there.alias("there")).select("key", "i", "j", "there")
+
+
+def _matched_long(a: DataFrame, b: DataFrame) -> DataFrame:
+    """:func:`_matched` of documents of any length."""
+    i, j = (written(_ranked(x, name), "ranked") for x, name in ((a, "i"), (b, "j")))
+
+    def alone(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        rest = _meet(own, other.select("key", "h", "r"), ["key", "h", "r"], "left_anti")
+        return _meet(rest, other.select("key", "h").distinct().withColumn("there", F.lit(True)), ["key", "h"], "left").select("key", name, F.coalesce("there", F.lit(False)).alias("there"))
+
+    none = F.lit(None).cast("long")
+    met = _meet(i, j, ["key", "h", "r"]).select("key", "i", "j", F.lit(True).alias("there"))
+    met = met.unionByName(alone(i, j, "i").withColumn("j", none)).unionByName(alone(j, i, "j").withColumn("i", none))
+    return met.select("key", "i", "j", "there")
+
+
+def _runs(hit: DataFrame) -> DataFrame:
+    """(key, i, j, size): matches (key, i, j) that go on side by side."""
+    way = Window.partitionBy("key", "d").orderBy("i")
+    rows = hit.withColumn("d", F.col("j") - F.col("i")).withColumn("new", F.coalesce(F.col("i") - F.lag("i").over(way) != 1, F.lit(True)).cast("long"))
+    rows = rows.withColumn("k", F.sum("new").over(way.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.groupBy("key", "d", "k").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("size")).select("key", "i", (F.col("i") + F.col("d")).alias("j"), "size")
+
+
+def _runs_long(hit: DataFrame) -> DataFrame:
+    """:func:`_runs` of documents of any length."""
 
     def edges(step: int, name: str) -> DataFrame:
         """Matches whose neighbour a step away is none, numbered along their diagonal."""
@@ -123,11 +160,14 @@ def _one_way(source: tuple[DataFrame, DataFrame], ranked: DataFrame, other: Data
         return running(o, ["key", "d"], {"k": ("sum", F.lit(1).cast("long"))}).drop("place")
 
     first, last = edges(-1, "starts"), edges(1, "ends").select("key", "d", "k", F.col("i").alias("to"))
-    runs = _meet(first, last, ["key", "d", "k"]).select("key", F.lit(0).alias("kind"), "i", "j", (F.col("to") - F.col("i") + 1).alias("size"))
+    return _meet(first, last, ["key", "d", "k"]).select("key", "i", "j", (F.col("to") - F.col("i") + 1).alias("size"))
+
+
+def _one_way(blocks: DataFrame, met: DataFrame, runs: DataFrame, n: int) -> DataFrame:
+    """One direction: met (key, i, j, there), runs (key, i, j, size), with i on the side of ``blocks``."""
+    runs = runs.select("key", F.lit(0).alias("kind"), "i", "j", "size")
     # unmatched shingles that the other side has all the same
-    there = other.select("key", "h").distinct()
-    short = met.where("j is null").select("key", "h", "i")
-    short = _meet(short, there, ["key", "h"], "left_semi").select("key", F.lit(1).alias("kind"), "i", F.lit(None).cast("long").alias("j"), F.lit(1).cast("long").alias("size"))
+    short = met.where("i is not null and j is null and there").select("key", F.lit(1).alias("kind"), "i")
     # a stretch of these is one row for every 4096 places at least
     short = short.groupBy("key", "kind", F.floor(F.col("i") / 4096).alias("b")).agg(F.sort_array(F.collect_list("i")).alias("s"))
     short = short.select("key", "kind", F.explode(_stretches(F.col("s"))).alias("x")).select("key", "kind", "x.i", F.lit(None).cast("long").alias("j"), "x.size")
@@ -189,17 +229,27 @@ def _stretches(s: Column) -> Column:
     return F.aggregate(s, start, step)
 
 
-def order_runs(source: DataFrame, corpus: DataFrame, key: str, pos: str, text: str, n: int = SHINGLE, words=tokens) -> DataFrame:
+def order_runs(source: DataFrame, corpus: DataFrame, key: str, pos: str, text: str, n: int = SHINGLE, words=tokens, long: int = LONG) -> DataFrame:
     """(key, direction, class, start, words, to): runs of words out of the shared order, source -> corpus and corpus -> source.
 
     start: the run's first word in its own stream, from 0; to: where a SPLICE stands on the other side.  A document of one side alone is
     ABSENT as a whole; blocks without a word, null texts among them, are no blocks; a null key is a document like any other; an
     empty side is one without blocks.  Blocks of a document are ordered by ``pos``.
     """
-    sides = [_stream(df, key, pos, text, n, words) for df in (source, corpus)]
-    ranked = [written(_ranked(s[1], name), "ranked") for s, name in zip(sides, ("i", "j"))]
-    there = _one_way(sides[0], ranked[0], ranked[1], n)
-    swap = [r.withColumnRenamed(a, b) for r, a, b in ((ranked[1], "j", "i"), (ranked[0], "i", "j"))]
-    back = _one_way(sides[1], swap[0], swap[1], n)
+    (a, grams_a), (b, grams_b) = (_stream(df, key, pos, text, n, words) for df in (source, corpus))
+    sizes = a.select("key", "words").unionByName(b.select("key", "words")).groupBy("key").agg(F.sum("words").alias("words"))
+    # a row for each ``long`` words at most
+    large = written(sizes.where(F.col("words") > long).select("key"), "long")
+    if not large.head(1):
+        met = written(_matched(grams_a, grams_b), "met")
+        runs = _runs(met.where("i is not null and j is not null").select("key", "i", "j"))
+    else:
+        of = lambda df, how: _meet(df, F.broadcast(large), ["key"], how)
+        met = written(_matched(of(grams_a, "left_anti"), of(grams_b, "left_anti")).unionByName(_matched_long(of(grams_a, "left_semi"), of(grams_b, "left_semi"))), "met")
+        hit = met.where("i is not null and j is not null").select("key", "i", "j")
+        runs = _runs(of(hit, "left_anti")).unionByName(_runs_long(of(hit, "left_semi")))
+    runs = written(runs, "runs")
+    swap = lambda df: df.select(*[F.col({"i": "j", "j": "i"}.get(c, c)).alias(c) for c in df.columns])
+    there, back = _one_way(a, met, runs, n), _one_way(b, swap(met), swap(runs), n)
     both = there.withColumn("direction", F.lit("source -> corpus")).unionByName(back.withColumn("direction", F.lit("corpus -> source")))
     return both.select(F.col("key").alias(key), "direction", "class", "start", "words", "to")

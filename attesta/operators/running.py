@@ -7,6 +7,8 @@ group reaches over the border of two stretches, so what is carried has two rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,15 @@ SHIFT = 33
 KINDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def in_order(df: DataFrame, by: list[str], order: list[Column | str], name: str = "ordered", stretches: int | None = None) -> DataFrame:
-    """``df``, written, with ``place``: a long that grows along ``by`` and then ``order``.  Ties get some order, which then stays."""
+def in_order(df: DataFrame, by: list[str], order: list[Column | str], name: str = "ordered", stretches: int | None = None, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``df``, written, with ``place``: a long that grows along ``by`` and then ``order``.  Ties get some order, which then stays.
+
+    then: what to make of the sorted rows, one by one and with ``by`` kept, before they are written; the range sort reads ``df`` twice, and this runs once.
+    """
     keys = [*by, *order, F.rand(7)]  # equal rows may be many: they spread over stretches too
     dealt = df.repartitionByRange(stretches, *keys) if stretches else df.repartitionByRange(*keys)
-    return written(dealt.sortWithinPartitions(*by, *order).withColumn("place", F.monotonically_increasing_id()), name)
+    rows = dealt.sortWithinPartitions(*by, *order)
+    return written((then(rows) if then else rows).withColumn("place", F.monotonically_increasing_id()), name)
 
 
 def _same(a: DataFrame, b: DataFrame, by: list[str]) -> Column:

@@ -115,6 +115,24 @@ def test_random_edits(spark, n):
         assert got[d, "corpus -> source"] == plain(b, a, n), d
 
 
+def test_matched_once_and_long_documents(spark, monkeypatch):
+    """Both directions read one table of matches, and documents beyond ``long`` words give the rows that shorter ones give."""
+    from attesta.operators import order
+
+    r, names = random.Random(5), []
+    monkeypatch.setattr(order, "written", lambda df, name, f=order.written: names.append(name) or f(df, name))
+    docs = {}
+    for d in (*range(6), None):
+        source = [[r.choice("abc") if r.random() < 0.6 else f"w{r.randrange(9)}" for _ in range(6)] for _ in range(2 + 2 * (d or 0))]
+        corpus = [list(x) for x in source if r.random() < 0.8]
+        r.shuffle(corpus)
+        docs[d] = (source, corpus + source[:1])
+    rows = lambda long: sorted((tuple(x) for x in order_runs(*frames(spark, docs), "doc", "pos", "text", 2, long=long).collect()), key=repr)
+    plainly = rows(1 << 20)
+    assert names.count("met") == 1 and "ranked" not in names
+    assert rows(60) == rows(0) == plainly and "ranked" in names
+
+
 def test_increasing_runs():
     r = random.Random(0)
     for _ in range(400):
