@@ -1,5 +1,6 @@
 import os
 import sys
+from contextlib import contextmanager
 
 import pytest
 
@@ -25,3 +26,20 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@contextmanager
+def broadcast_rows(spark):
+    """Holds at its end how many rows each broadcast of the block had."""
+    store, bus, sent = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus(), []
+    bus.waitUntilEmpty(30_000)
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    yield sent
+    bus.waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for x in {runs.apply(i).executionId() for i in range(runs.size())} - before:
+        values, nodes = store.executionMetrics(x), store.planGraph(x).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            if n.name() == "BroadcastExchange":
+                found = [m for m in (n.metrics().apply(i) for i in range(n.metrics().size())) if m.name() == "number of output rows"]
+                sent += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in found if values.contains(m.accumulatorId())]

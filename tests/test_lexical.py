@@ -12,6 +12,8 @@ from attesta.functions.analyze import ENGLISH, PLAIN, STOP, Analyzer, fold_ascii
 from attesta.operators import lexical
 from attesta.sources import chunks as C
 
+from .conftest import broadcast_rows
+
 # Examples of words and stems from the published description of the algorithm.
 STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size
 hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit
@@ -174,6 +176,17 @@ def test_windows_to_read_are_never_broadcast(spark, tmp_path):
     assert "ShuffledHashJoin" in plan and plan.count("BroadcastHashJoin") == 1
 
 
+def test_terms_of_all_documents_are_never_broadcast(spark, tmp_path):
+    docs = spark.range(400).select("id", F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(5))).alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    ix = lexical.stored_index(spark.read.parquet(str(tmp_path / "docs")))
+    assert ix.terms.count() == 2000
+    wanted = spark.createDataFrame([(1, "w1x7"), (1, "w2x7"), (2, "w1x8"), (2, "none")], "question_id long, term string")
+    with broadcast_rows(spark) as sent:
+        assert [tuple(r) for r in lexical.holding(ix, wanted).collect()] == [(1, 7)]
+    assert sent and max(sent) <= 4
+
+
 def test_rows_of_one_document_and_digests(spark, tmp_path):
     """Rows of one id and length are one document; digests run over ids in order, across windows."""
     import hashlib

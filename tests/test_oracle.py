@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import pytest
 
@@ -62,3 +63,12 @@ def test_results_do_not_depend_on_partitions(spark):
         assert rows(base.QUERIES["rrf_fusion"](spark, DATA).toPandas()) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("name", ["citation_correct"])
+def test_few_rows_go_to_the_documents(spark, name):
+    """The rows that a search found are the side that is broadcast; documents are neither broadcast nor shuffled to them."""
+    from attesta.plans import queries as base
+
+    plan = base.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[id#\d+L\], \[id#\d+L\], Inner, BuildLeft", plan)
