@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import Reranker, overlap_reranker
+from ..sources.scratch import written
 
 RRF = 60
 
@@ -24,8 +25,11 @@ def rrf(dense: DataFrame, lexical: DataFrame, k: int = 20) -> DataFrame:
 
 
 def rerank(fused: DataFrame, questions: DataFrame, docs: DataFrame, keep: int = 5, *, reranker: Reranker = overlap_reranker, cid: str = "id", text: str = "text", qid: str = "question_id", qtext: str = "question") -> DataFrame:
-    """The ``keep`` best of each question by the reranker's score, ties in fused order: adds ``rerank`` and ``place`` from 0."""
-    pairs = fused.join(docs.select(F.col(cid).alias("id"), F.col(text).alias("__t")), "id").join(questions.select(F.col(qid).alias("question_id"), F.col(qtext).alias("__q")), "question_id")
+    """The ``keep`` best of each question by the reranker's score, ties in fused order: adds ``rerank`` and ``place`` from 0.
+
+    The few fused rows are written first, so that they go to the documents; else all texts would be shuffled to them.
+    """
+    pairs = written(fused, "fused").join(docs.select(F.col(cid).alias("id"), F.col(text).alias("__t")), "id").join(questions.select(F.col(qid).alias("question_id"), F.col(qtext).alias("__q")), "question_id")
     scored = pairs.withColumn("rerank", F.round(reranker(F.col("__q"), F.col("__t")), 6)).drop("__q", "__t")
     order = Window.partitionBy("question_id").orderBy(F.desc("rerank"), "rank")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).withColumn("place", F.col("place") - 1)

@@ -65,7 +65,7 @@ def test_results_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("name", ["context_pack", "citation_correct"])
+@pytest.mark.parametrize("name", ["context_pack", "hybrid_retrieve", "citation_correct"])
 def test_few_rows_go_to_the_documents(spark, name):
     """The rows that a search found are the side that is broadcast; documents are neither broadcast nor shuffled to them."""
     from attesta.plans import queries as base
